@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.catalog.aggregates import MANIFEST, manifest, r
 from cohortlens.catalog.base import query
+from cohortlens.functions import text
 from cohortlens.operators import arrays, bootstrap, cohort, joins, probe, runs
 from cohortlens.plans import pool
 from cohortlens.plans.fixtures import NEAR, N_BITS, Views, with_views
@@ -198,9 +199,10 @@ def u4(v: Views) -> DataFrame:
     return pool.contaminated(p, h, N_BITS, NEAR).where("kind = 'near'").select("image_id")
 
 
-@query("u4_missing_sources", with_views("cohort") + "SELECT n_name AS source FROM nation EXCEPT SELECT source FROM cohort")
+@query("u4_missing_sources", with_views("cohort") + "SELECT replace(s_name, '#', '_') AS source FROM supplier EXCEPT SELECT source FROM cohort")
 def u4b(v: Views) -> DataFrame:
-    return v.table("nation").select(F.col("n_name").alias("source")).exceptAll(v.cohort().select("source").distinct())
+    names = v.table("supplier").select(text.slug(F.col("s_name")).alias("source"))
+    return names.exceptAll(v.cohort().select("source").distinct())
 
 
 @query("u5_common_keys", with_views("meta", "dlog") + """SELECT image_id FROM meta WHERE license = 'CC-0'
