@@ -56,10 +56,10 @@ def w4b(v: Views) -> DataFrame:
     return runs.uneven_grids(v.runs(), "run")
 
 
-@query("w5_steady_throughput", with_views("epochs") + """SELECT run, round(quantile_cont(img_per_s, 0.5) FILTER (epoch > 0), 1) AS img_per_s_steady,
+@query("w5_steady_throughput", with_views("epochs") + """SELECT run, round(quantile_cont(img_per_s, 0.5) FILTER (epoch > 0), 4) AS img_per_s_steady,
  count(*) AS epochs FROM epochs GROUP BY run""")
 def w5(v: Views) -> DataFrame:
-    return runs.steady_throughput(v.epochs(), ["run"])
+    return runs.steady_throughput(v.epochs(), ["run"], 4)
 
 
 ALERTS = with_views("epochs", "bench_speed") + """, x AS (SELECT run, epoch, e.img_per_s, b.img_per_s AS bench,

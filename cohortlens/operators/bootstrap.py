@@ -1,7 +1,7 @@
 """Clustered bootstrap: whole groups are resampled, the threshold stays fixed, and all replicates are one Spark job.
 
 A draw is a hash of (seed, replicate, slot), so it can be repeated anywhere and runs over the same groups share it. The
-table of draws has one row per (group, block of ten replicates) with the ten multiplicities as columns: predictions are
+table of draws has one row per (group, block of replicates) with the multiplicities of the block as columns: predictions are
 joined once per block instead of once per replicate, and are summed to distinct scores before they are shuffled.
 """
 
@@ -11,16 +11,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlens.functions.hashing import h60
 from cohortlens.operators import metrics, ranking
+from cohortlens.session import materialise
 
 # ---- fixed values
 N_BOOT = 1000
 KEYS = ["auroc", "sensitivity", "specificity", "flag_rate", "false_negatives"]
 PAIRED_KEYS = ["auroc", "sensitivity", "specificity", "flag_rate"]
-BLOCK = 10
+BLOCK = 5  # replicates that share one row: more columns make generated code too long to be compiled
 
 
 def group_draws(groups: DataFrame, unit: list[str], n_boot: int, seed: int = 0) -> DataFrame:
-    """(unit, group_id, block, w0..w9): how often each group is drawn in each replicate.
+    """(unit, group_id, block, w0, w1, ...): how often each group is drawn in each replicate.
 
     Every group owns one slot; slot s of replicate b holds the group at position ``h60(seed:b:s) mod G`` in the order of
     the group's MD5. G draws with replacement from G groups, as in the plain bootstrap.
@@ -62,7 +63,7 @@ def replicates(preds: DataFrame, keys: list[str], unit: list[str], n_boot: int =
     ``preds`` has keys, group_id, y, score and the locked threshold; ``unit`` (part of ``keys``) names the set of test
     groups whose draws are shared.
     """
-    draws = (poisson_draws if poisson else group_draws)(preds, unit, n_boot, seed)
+    draws = materialise((poisson_draws if poisson else group_draws)(preds, unit, n_boot, seed), "draws")
     rows = preds.where(~F.isnan("score")).join(draws, [*unit, "group_id"])
     pos = F.col("y") == 1
     sums = rows.groupBy(*keys, "threshold", "score", "block").agg(
@@ -72,9 +73,7 @@ def replicates(preds: DataFrame, keys: list[str], unit: list[str], n_boot: int =
                                         F.col(f"n{k}").alias("neg")) for k in range(BLOCK)]))
     counts = (sums.select(*keys, "threshold", "score", each.alias("r"))
               .select(*keys, "threshold", "score", "r.*").where((F.col("b") < n_boot) & (F.col("pos") + F.col("neg") > 0)))
-    flag = F.col("score") >= F.col("threshold")
-    m = metrics.auroc_from_counts(counts, [*keys, "b"], {"tp": F.when(flag, F.col("pos")).otherwise(0),
-                                                         "false_positives": F.when(flag, F.col("neg")).otherwise(0)})
+    m = metrics.auroc_from_counts(counts, [*keys, "threshold", "b"], "threshold")
     return metrics.rates(m.where((F.col("n_pos") > 0) & (F.col("n_neg") > 0)))
 
 

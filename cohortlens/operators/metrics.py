@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cohortlens.session import materialise
+
 # ---- fixed value
 TARGET_SENSITIVITY = 0.95
 
@@ -24,22 +26,23 @@ def score_counts(df: DataFrame, keys: list[str], weight: Column | None = None) -
                                                    F.sum(F.when(F.col("y") == 0, w).otherwise(0)).alias("neg"))
 
 
-def auroc_from_counts(counts: DataFrame, keys: list[str], extra: dict[str, Column] | None = None) -> DataFrame:
+def auroc_from_counts(counts: DataFrame, keys: list[str], thr: str | None = None) -> DataFrame:
     """(keys, auroc, n_pos, n_neg): share of (positive, negative) pairs in the right order, a tie counting half; NULL if
-    a class is missing. ``extra`` adds sums over the same rows."""
-    extra = extra or {}
+    a class is missing. With a threshold column ``thr`` also tp and false_positives."""
+    extra = {} if thr is None else {"tp": "pos", "false_positives": "neg"}
     ranged = counts.repartitionByRange(*keys, "score").withColumn("_range", F.spark_partition_id())
     below = Window.partitionBy(*keys, "_range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     inside = ranged.withColumn("_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
     ranges = inside.groupBy(*keys, "_range").agg(
         F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / F.lit(2.0))).alias("_won"),
-        F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), *[F.sum(c).alias(f"_x_{k}") for k, c in extra.items()])
+        F.sum("pos").alias("_p"), F.sum("neg").alias("_n"),
+        *[F.sum(F.when(F.col("score") >= F.col(thr), F.col(c)).otherwise(0)).alias(f"_{name}") for name, c in extra.items()])
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     joined = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     p, n = F.sum("_p"), F.sum("_n")
     won = F.sum(F.col("_won") + F.col("_p") * F.col("_before"))
     return joined.groupBy(*keys).agg(F.try_divide(won, p.cast("double") * n.cast("double")).alias("auroc"),
-                                     p.alias("n_pos"), n.alias("n_neg"), *[F.sum(f"_x_{k}").alias(k) for k in extra])
+                                     p.alias("n_pos"), n.alias("n_neg"), *[F.sum(f"_{name}").alias(name) for name in extra])
 
 
 def auroc(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,7 +53,8 @@ def threshold(df: DataFrame, keys: list[str], target: float = TARGET_SENSITIVITY
     """(keys, threshold): the largest score whose sensitivity reaches ``target``.
 
     That is the k-th largest positive score with k = ceil(target * positives). One row per range of scores tells which
-    range holds it; only that range, a single partition's worth, is then ordered.
+    range holds it; only that range, a single partition's worth, is then ordered. The result is written to the shared
+    folder: its size is then known, and the join back to the predictions need not shuffle them.
     """
     if not 0 < target <= 1:
         raise ValueError("target must be above 0 and at most 1")
@@ -64,7 +68,7 @@ def threshold(df: DataFrame, keys: list[str], target: float = TARGET_SENSITIVITY
     inside = scores.join(hit, keys).where(F.col("score").between(F.col("_lo"), F.col("_hi")))
     down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     reached = inside.withColumn("_seen", F.col("_above") + F.sum("_pos").over(down)).where(F.col("_seen") >= F.col("_k"))
-    return reached.groupBy(*keys).agg(F.max("score").alias("threshold"))
+    return materialise(reached.groupBy(*keys).agg(F.max("score").alias("threshold")), "threshold")
 
 
 def require_positives(df: DataFrame, keys: list[str]) -> None:
@@ -89,10 +93,7 @@ def confusion(df: DataFrame, keys: list[str], thr: str = "threshold") -> DataFra
 
 def metrics_at(df: DataFrame, keys: list[str], thr: str = "threshold") -> DataFrame:
     """Confusion counts, rates and AUROC from one aggregation of the predictions."""
-    counts = score_counts(df, [*keys, thr])
-    flag = F.col("score") >= F.col(thr)
-    m = auroc_from_counts(counts, [*keys, thr], {"tp": F.when(flag, F.col("pos")).otherwise(0),
-                                                 "false_positives": F.when(flag, F.col("neg")).otherwise(0)})
+    m = auroc_from_counts(score_counts(df, [*keys, thr]), [*keys, thr], thr)
     return rates(m).withColumnRenamed(thr, "threshold")
 
 

@@ -114,9 +114,9 @@ def uneven_grids(sweep: DataFrame, value: str = "lr") -> DataFrame:
     return n.groupBy("backbone").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).where("lo <> hi")
 
 
-def steady_throughput(epochs: DataFrame, keys: list[str]) -> DataFrame:
+def steady_throughput(epochs: DataFrame, keys: list[str], digits: int = 1) -> DataFrame:
     """Median images per second over the epochs after the first; NULL for a run with a single epoch."""
-    return epochs.groupBy(*keys).agg(F.round(F.percentile(F.when(F.col("epoch") > 0, F.col("img_per_s")), 0.5), 1)
+    return epochs.groupBy(*keys).agg(F.round(F.percentile(F.when(F.col("epoch") > 0, F.col("img_per_s")), 0.5), digits)
                                      .alias("img_per_s_steady"), F.count(F.lit(1)).alias("epochs"))
 
 

@@ -90,9 +90,9 @@ def read_canonical(spark: SparkSession, paths: list[str], fields: dict[str, list
     return out
 
 
-def read_results(spark: SparkSession, glob: str) -> DataFrame:
-    """Nested run results; files without metrics (unfinished runs) are left out."""
-    return (spark.read.schema(RESULT_SCHEMA).json(glob, multiLine=True)
+def read_results(spark: SparkSession, glob: str, multi_line: bool = True) -> DataFrame:
+    """Nested run results, one indented document per file or one per line; runs without metrics (unfinished) are left out."""
+    return (spark.read.schema(RESULT_SCHEMA).json(glob, multiLine=multi_line)
             .withColumn("path", F.col("_metadata.file_path")).where(F.col("metrics").isNotNull()))
 
 
