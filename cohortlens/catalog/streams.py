@@ -28,22 +28,22 @@ def drain(stream: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-@query("x1_stream_utilisation", with_views("samples") + """, w AS (SELECT run, date_trunc('hour', ts) AS h, count(*) AS samples, round(avg(util), 1) AS util_mean,
- round(100.0::double - avg(util), 1) AS idle_pct, max(mem) AS mem_max FROM samples GROUP BY ALL)
+@query("x1_stream_utilisation", with_views("samples") + """, w AS (SELECT run, date_trunc('hour', ts) AS h, count(*) AS samples, round(avg(util), 4) AS util_mean,
+ round(100.0::double - avg(util), 4) AS idle_pct, max(mem) AS mem_max FROM samples GROUP BY ALL)
 SELECT run, (epoch_us(h) // 1000000)::bigint AS window_start, samples, util_mean, idle_pct, mem_max FROM w
 WHERE epoch_ms(h) + 3600000 <= (SELECT max(epoch_ms(ts)) - 600000 FROM samples)""")
 def x1(v: Views) -> DataFrame:
     """Windows the watermark has closed; later ones wait for more data."""
     s = v.samples().select("run", F.col("ts").cast("timestamp").alias("ts"), "util", "mem")
-    out = drain(monitors.stream_utilisation(replay(v, s, "samples")), "utilisation")
+    out = drain(monitors.stream_utilisation(replay(v, s, "samples"), digits=4), "utilisation")
     return out.withColumn("window_start", F.unix_seconds("window_start"))
 
 
 @query("x2_stream_alerts", ALERTS)
 def x2(v: Views) -> DataFrame:
-    e = v.epochs().select("run", "epoch", "img", "img_per_s", "backbone", F.when(F.col("method").startswith("lora"), "lora").otherwise("full").alias("family"))
+    e = v.epochs().select("run", "epoch", "ts", "img", "img_per_s", "backbone", F.when(F.col("method").startswith("lora"), "lora").otherwise("full").alias("family"))
     b = v.benchmark_speed().withColumnRenamed("img_per_s", "bench")
-    rows = e.join(b, ["backbone", "family"]).select("run", "epoch", "img", "img_per_s", "bench")
+    rows = e.join(b, ["backbone", "family"]).select("run", "epoch", "ts", "img", "img_per_s", "bench")
     return drain(monitors.stream_alerts(replay(v, rows, "epochs")), "alerts").withColumn("median_last3", F.round("median_last3", 6))
 
 

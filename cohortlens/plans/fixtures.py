@@ -228,7 +228,7 @@ class Views:
         first = ev.groupBy("run").agg(F.min(us).alias("_t0"))
         rows = ranking.row_index(ev, ["run"], [F.to_date("ts")], [F.col("ts"), F.col("event_id")], "epoch").join(first, "run")
         auc = F.lit(0.5) + (hashing.h60(F.col("event_id").cast("string")) % 400) / F.lit(1000.0)
-        rows = rows.select("run", "epoch", ((us - F.col("_t0")) / F.lit(1e6)).alias("elapsed_s"),
+        rows = rows.select("run", "epoch", F.col("ts").cast("timestamp").alias("ts"), ((us - F.col("_t0")) / F.lit(1e6)).alias("elapsed_s"),
                            F.col("value").alias("img_per_s"), auc.alias("val_auroc"))
         return rows.join(self.runs().select("run", "backbone", "method", "frac", "img", "seed", "lr"), "run")
 

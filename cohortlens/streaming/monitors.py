@@ -17,11 +17,11 @@ ALERT_SCHEMA = "run bigint, epoch bigint, median_last3 double, bench double, ale
 STATE_SCHEMA = "v1 double, v2 double, seen bigint"
 
 
-def stream_utilisation(samples: DataFrame, window: str = "1 hour", delay: str = WATERMARK) -> DataFrame:
+def stream_utilisation(samples: DataFrame, window: str = "1 hour", delay: str = WATERMARK, digits: int = 1) -> DataFrame:
     """Utilisation per run and tumbling window of event time; samples later than the watermark are dropped."""
     return (samples.withWatermark("ts", delay).groupBy(F.window("ts", window), "run")
-            .agg(F.count(F.lit(1)).alias("samples"), F.round(F.avg("util"), 1).alias("util_mean"),
-                 F.round(F.lit(100.0) - F.avg("util"), 1).alias("idle_pct"), F.max("mem").alias("mem_max"))
+            .agg(F.count(F.lit(1)).alias("samples"), F.round(F.avg("util"), digits).alias("util_mean"),
+                 F.round(F.lit(100.0) - F.avg("util"), digits).alias("idle_pct"), F.max("mem").alias("mem_max"))
             .select("run", F.col("window.start").alias("window_start"), "samples", "util_mean", "idle_pct", "mem_max"))
 
 
@@ -38,17 +38,19 @@ def _alerts(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
     rows["alert"] = rows["median_last3"] < ALERT_SHARE * rows["bench"]
     last = ([0.0, 0.0] + series)[-2:]
     state.update((float(last[0]), float(last[1]), int(seen) + len(rows)))
-    state.setTimeoutDuration(IDLE_MS)
+    newest = int(rows["ts"].max().timestamp() * 1000)
+    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + IDLE_MS)
     yield rows.dropna(subset=["median_last3"])[["run", "epoch", "median_last3", "bench", "alert"]]
 
 
-def stream_alerts(epochs: DataFrame) -> DataFrame:
-    """Throughput alerts of ordinary-size runs. ``epochs`` has run, epoch, img, img_per_s and the benchmark ``bench``.
-    The state is three numbers per run, so rows of one run should arrive in the order of their epochs across batches; a
-    batch may hold them in any order and is bounded by the source's rate option."""
-    rows = epochs.where(F.col("img") == USUAL_SIZE).select("run", "epoch", "img_per_s", "bench")
+def stream_alerts(epochs: DataFrame, delay: str = WATERMARK) -> DataFrame:
+    """Throughput alerts of ordinary-size runs. ``epochs`` has run, epoch, ts, img, img_per_s and the benchmark ``bench``.
+    The state is three numbers per run and ends when event time passes a run by three minutes; rows of one run should
+    arrive in the order of their epochs across batches, a batch may hold them in any order and is bounded by the source's
+    rate option."""
+    rows = epochs.where(F.col("img") == USUAL_SIZE).select("run", "epoch", "ts", "img_per_s", "bench").withWatermark("ts", delay)
     return rows.groupBy("run").applyInPandasWithState(_alerts, ALERT_SCHEMA, STATE_SCHEMA, "append",
-                                                      GroupStateTimeout.ProcessingTimeTimeout)
+                                                      GroupStateTimeout.EventTimeTimeout)
 
 
 def unseen_entries(log: DataFrame, key: str = "image_id", delay: str = "1 day") -> DataFrame:
