@@ -17,7 +17,7 @@ from cohortlens.session import materialise
 N_BOOT = 1000
 KEYS = ["auroc", "sensitivity", "specificity", "flag_rate", "false_negatives"]
 PAIRED_KEYS = ["auroc", "sensitivity", "specificity", "flag_rate"]
-BLOCK = 5  # replicates that share one row: more columns make generated code too long to be compiled
+BLOCK = 25  # replicates that share one row
 
 
 def group_draws(groups: DataFrame, unit: list[str], n_boot: int, seed: int = 0) -> DataFrame:
@@ -65,14 +65,12 @@ def replicates(preds: DataFrame, keys: list[str], unit: list[str], n_boot: int =
     """
     draws = materialise((poisson_draws if poisson else group_draws)(preds, unit, n_boot, seed), "draws")
     rows = preds.where(~F.isnan("score")).join(draws, [*unit, "group_id"])
-    pos = F.col("y") == 1
-    sums = rows.groupBy(*keys, "threshold", "score", "block").agg(
-        *[F.sum(F.when(pos, F.col(f"w{k}")).otherwise(0)).alias(f"p{k}") for k in range(BLOCK)],
-        *[F.sum(F.when(pos, 0).otherwise(F.col(f"w{k}"))).alias(f"n{k}") for k in range(BLOCK)])
-    each = F.explode(F.array(*[F.struct((F.col("block") * BLOCK + k).alias("b"), F.col(f"p{k}").alias("pos"),
-                                        F.col(f"n{k}").alias("neg")) for k in range(BLOCK)]))
-    counts = (sums.select(*keys, "threshold", "score", each.alias("r"))
-              .select(*keys, "threshold", "score", "r.*").where((F.col("b") < n_boot) & (F.col("pos") + F.col("neg") > 0)))
+    sums = rows.groupBy(*keys, "threshold", "score", "block", "y").agg(*[F.sum(f"w{k}").alias(f"w{k}") for k in range(BLOCK)])
+    each = F.posexplode(F.array(*[F.col(f"w{k}") for k in range(BLOCK)])).alias("_k", "_w")
+    counts = (sums.select(*keys, "threshold", "score", "block", "y", each).where("_w > 0")
+              .select(*keys, "threshold", "score", (F.col("block") * BLOCK + F.col("_k")).alias("b"),
+                      F.when(F.col("y") == 1, F.col("_w")).otherwise(0).alias("pos"),
+                      F.when(F.col("y") == 0, F.col("_w")).otherwise(0).alias("neg")).where(F.col("b") < n_boot))
     m = metrics.auroc_from_counts(counts, [*keys, "threshold", "b"], "threshold")
     return metrics.rates(m.where((F.col("n_pos") > 0) & (F.col("n_neg") > 0)))
 

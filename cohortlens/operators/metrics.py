@@ -28,9 +28,11 @@ def score_counts(df: DataFrame, keys: list[str], weight: Column | None = None) -
 
 def auroc_from_counts(counts: DataFrame, keys: list[str], thr: str | None = None) -> DataFrame:
     """(keys, auroc, n_pos, n_neg): share of (positive, negative) pairs in the right order, a tie counting half; NULL if
-    a class is missing. With a threshold column ``thr`` also tp and false_positives."""
+    a class is missing. With a threshold column ``thr`` also tp and false_positives. ``counts`` may hold several rows for
+    one score: they meet in the same range and are added there, without a further shuffle."""
     extra = {} if thr is None else {"tp": "pos", "false_positives": "neg"}
-    ranged = counts.repartitionByRange(*keys, "score").withColumn("_range", F.spark_partition_id())
+    ranged = (counts.repartitionByRange(*keys, "score").withColumn("_range", F.spark_partition_id())
+              .groupBy(*keys, "score", "_range").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
     below = Window.partitionBy(*keys, "_range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     inside = ranged.withColumn("_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
     ranges = inside.groupBy(*keys, "_range").agg(

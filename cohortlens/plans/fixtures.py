@@ -6,6 +6,7 @@ Every view covers its whole tables.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -155,19 +156,22 @@ class Views:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         """One table; a fact table stored in fewer pieces than there are cores is spread over them (a table of many
         files is read as it is)."""
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in FACTS and df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
-        return df
+        if name not in self._tables:
+            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            cores = self.spark.sparkContext.defaultParallelism
+            if name in FACTS and df.rdd.getNumPartitions() < cores:
+                df = df.repartition(cores)
+            self._tables[name] = df
+        return self._tables[name]
 
     def sql(self, text: str) -> DataFrame:
         for name in TABLES:
-            if name in text:
+            if re.search(rf"\b{name}\b", text):
                 self.table(name).createOrReplaceTempView(name)
         return self.spark.sql(text)
 
