@@ -242,11 +242,11 @@ SKIP_S = 86400.0
 
 @query("a17_summarise_samples", with_views("samples") + f""", s AS (SELECT *, epoch_us(ts) / 1e6::double AS t,
  min(epoch_us(ts) / 1e6::double) OVER (PARTITION BY run) AS t0, max(epoch_us(ts) / 1e6::double) OVER (PARTITION BY run) AS t1 FROM samples)
-SELECT run, count(*) AS samples, round(max(t1) - min(t0), 1) AS duration_s, round(avg(util), 1) AS util_mean,
- round(100.0::double - avg(util), 1) AS idle_pct, round(100.0::double * count(*) FILTER (util = 0) / count(*), 1) AS pct_samples_util_0,
+SELECT run, count(*) AS samples, round(max(t1) - min(t0), 1) AS duration_s, round(avg(util), 9) AS util_mean,
+ round(100.0::double - avg(util), 9) AS idle_pct, round(100.0::double * count(*) FILTER (util = 0) / count(*), 1) AS pct_samples_util_0,
  round(max(mem) / 1024.0::double, 2) AS mem_used_max_gb FROM s WHERE t - t0 >= {SKIP_S}::double GROUP BY run""")
 def a17(v: Views) -> DataFrame:
-    return telemetry.summarise_samples(v.samples(), ["run"], SKIP_S)
+    return telemetry.summarise_samples(v.samples(), ["run"], SKIP_S, digits=9)
 
 
 @query("a18_summarise_metrics", with_views("mlog") + """, m AS (SELECT *, max((iteration >= 8000)::int) OVER (PARTITION BY run) AS late FROM mlog),

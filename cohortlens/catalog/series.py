@@ -75,11 +75,11 @@ def w6(v: Views) -> DataFrame:
 
 @query("w7_loss_ends", with_views("mlog") + """, l AS (SELECT run, total_loss, row_number() OVER (PARTITION BY run ORDER BY ts, iteration) AS i,
  count(*) OVER (PARTITION BY run) AS n FROM mlog WHERE total_loss IS NOT NULL AND NOT isnan(total_loss))
-SELECT run, count(*) AS n, round(avg(total_loss) FILTER (i <= greatest(1, n // 10)), 4) AS first_10pct_mean,
- round(avg(total_loss) FILTER (i > n - greatest(1, n // 10)), 4) AS last_10pct_mean FROM l GROUP BY run""")
+SELECT run, count(*) AS n, round(avg(total_loss) FILTER (i <= greatest(1, n // 10)), 9) AS first_10pct_mean,
+ round(avg(total_loss) FILTER (i > n - greatest(1, n // 10)), 9) AS last_10pct_mean FROM l GROUP BY run""")
 def w7(v: Views) -> DataFrame:
     m = v.metric_log().where(~F.isnan("total_loss"))
-    return telemetry.loss_ends(m, ["run"], F.col("day"), [F.col("ts"), F.col("iteration")])
+    return telemetry.loss_ends(m, ["run"], F.col("day"), [F.col("ts"), F.col("iteration")], digits=9)
 
 
 @query("w8_after_warmup", with_views("samples") + f"""SELECT run, event_id, util FROM samples

@@ -17,14 +17,14 @@ def after_warmup(df: DataFrame, keys: list[str], skip_s: float) -> DataFrame:
     return df.join(start, keys).where(seconds(F.col("ts")) - seconds(F.col("_start")) >= skip_s).drop("_start")
 
 
-def summarise_samples(df: DataFrame, keys: list[str], skip_s: float = 0.0) -> DataFrame:
+def summarise_samples(df: DataFrame, keys: list[str], skip_s: float = 0.0, digits: int = 1) -> DataFrame:
     """Samples, mean utilisation, idle share and peak memory after the warm-up; the duration covers all samples."""
     span = df.groupBy(*keys).agg(F.min("ts").alias("_start"), F.max("ts").alias("_end"))
     kept = df.join(span, keys).where(seconds(F.col("ts")) - seconds(F.col("_start")) >= skip_s)
     return kept.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("samples"),
         F.round(seconds(F.max("_end")) - seconds(F.min("_start")), 1).alias("duration_s"),
-        F.round(F.avg("util"), 1).alias("util_mean"), F.round(F.lit(100.0) - F.avg("util"), 1).alias("idle_pct"),
+        F.round(F.avg("util"), digits).alias("util_mean"), F.round(F.lit(100.0) - F.avg("util"), digits).alias("idle_pct"),
         F.round(F.lit(100.0) * F.count_if(F.col("util") == 0) / F.count(F.lit(1)), 1).alias("pct_samples_util_0"),
         F.round(F.max("mem") / F.lit(1024.0), 2).alias("mem_used_max_gb"))
 
@@ -50,12 +50,13 @@ def summarise_metrics(df: DataFrame, keys: list[str], skip: int, batch: int, dev
                       F.round(F.col("_d") / F.col("_t"), 3).alias("data_time_fraction"), "loss_non_finite", "max_mem")
 
 
-def loss_ends(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: str = "total_loss") -> DataFrame:
+def loss_ends(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: str = "total_loss",
+              digits: int = 4) -> DataFrame:
     """Mean of the first and of the last tenth of each ordered series (at least one value each). ``bucket`` is a coarse
     form of the order (a day, a thousand iterations) that lets a long series be numbered in pieces."""
     rows = ranking.row_index(df.where(F.col(value).isNotNull()), keys, [bucket], order, "_i")
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     k = F.greatest(F.lit(1), F.floor(F.col("_n") / 10))
     return rows.join(sizes, keys).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("_i") < k, F.col(value))), 4).alias("first_10pct_mean"),
-        F.round(F.avg(F.when(F.col("_i") >= F.col("_n") - k, F.col(value))), 4).alias("last_10pct_mean"))
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("_i") < k, F.col(value))), digits).alias("first_10pct_mean"),
+        F.round(F.avg(F.when(F.col("_i") >= F.col("_n") - k, F.col(value))), digits).alias("last_10pct_mean"))
