@@ -12,9 +12,10 @@ are never keys. Deletion keys are indexed in bands up to ``DELETION_BAND`` shing
 H + 1 does the same work with one key a segment. A set whose units cannot reach H + 1 (its shingles fell into very few
 segments) is compared with the whole size band: that is the exact way for the rest.
 
-Candidates are verified on the whole texts with integer arithmetic. Copies are folded first. Of each key's sets the
-smallest is compared with the others (a star); what that links is connected, and only pairs of sets still in different
-components are compared after that. Connectivity is exact and a group of n near copies takes about n comparisons.
+Candidates are verified on the whole texts with integer arithmetic. Copies are folded first. Of each key's sets one is
+compared with the others (a star) and what that links is connected. Then the units are allocated anew: a key that only
+sets of one component have now costs nothing, and only pairs of different components are compared. Connectivity is exact
+and a group of n near copies takes about n comparisons.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from cohortlens.session import materialise
 
 SHINGLE = 5
 DELETION_BAND = 64
+STARS, MANY_STARS, MANY = 2, 24, 48
 FULL, DELETED, SIZE = 0, 1, 2
 POSTINGS = "key long, id long, band int, segment int, kind int, own boolean, twofold boolean, n int, units int"
 MULTI = POSTINGS + ", count int"
@@ -177,21 +179,44 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> It
 
 def link(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(src, dst): the pairs (a, b) of ids whose texts really are similar. ``texts``: (id, text)."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    involved = materialise(texts.join(wanted, "id", "left_semi"), "texts")
-    rows = (pairs.join(involved.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-            .join(involved.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"))
+    rows = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+            .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"))
     return materialise(rows.select("a", "ta", "b", "tb").sortWithinPartitions("a")
                        .mapInArrow(lambda it: _verify(it, k, num, den), "src long, dst long"), "links")
 
 
+def allocate(keys: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, id): the probes of every set. ``keys`` has the keys that cost something, with ``cost``; the units of all
+    others are free. Each set takes the cheapest units until, with the free ones, it has H + 1."""
+    per = keys.groupBy("id", "band", "segment").agg(F.sum(F.when(F.col("kind") == FULL, F.col("cost")).otherwise(0)).alias("c0"),
+                                                    F.sum("cost").alias("c1"), F.max("twofold").alias("two"))
+    unit = per.select("id", "band", "segment", F.explode(F.array(
+        F.struct(F.lit(FULL).alias("unit"), F.col("c0").alias("cost")),
+        F.struct(F.lit(DELETED).alias("unit"), F.when(F.col("two"), F.col("c1")).otherwise(0).alias("cost")))).alias("u")
+    ).select("id", "band", "segment", "u.*").where("cost > 0")
+    own = Window.partitionBy("id", "band")
+    ranked = (unit.withColumn("rank", F.row_number().over(own.orderBy("cost", "segment", "unit")))
+              .withColumn("paid", F.count(F.lit(1)).over(own)))
+    probes = (ranked.join(lacking(sizes, num, den), ["id", "band"]).where("rank <= need + paid")
+              .select("id", "band", "segment", F.col("unit").alias("kind")))
+    return materialise(keys.join(probes, ["id", "band", "segment", "kind"]).select("key", "id").distinct(), "probes")
+
+
+def lacking(sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """``need``: H + 1 less all units that the set has in the band. Above 0, probing every one of them is not enough."""
+    tops = F.array(*[F.lit(x - 1) for x in BANDS[1:]])
+    partner = F.least("n", F.element_at(tops, F.col("band") + 1))
+    return sizes.select("id", "band", "n", (F.floor(F.lit(den - num) * (F.col("n") + partner) / (den + num)) + 1 - F.col("units")).alias("need"))
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, num: int = 80, den: int = 100
                ) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``; two texts link at Jaccard similarity num / den or more.
 
     Null and empty texts, and texts without a word, have no shingles and stay alone. Repeated rows stay repeated. A text
     with fewer than k words is one shingle. An id with several texts links as any of them does and reports the largest set.
-    Rows with a null id are compared and returned as one id. An empty table gives an empty result.
+    A row with a null id is returned with the set and component of its copies, if it has any with an id, and is else not
+    compared. An empty table gives an empty result.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marked = src.withColumn("same", F.md5("text"))
@@ -201,47 +226,41 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     posted = materialise(texts.mapInArrow(lambda it: _postings(it, k, num, den), POSTINGS).repartition("key")
                          .sortWithinPartitions("key").mapInArrow(_shared, MULTI), "postings")
     sizes = materialise(posted.where(F.col("kind") == SIZE).select("id", "band", "own", "n", "units").distinct(), "sizes")
-    multi = posted.where(F.col("kind") != SIZE)
-
-    cost = F.col("count") - 1
-    per = (multi.groupBy("id", "band", "segment").agg(
-        F.sum(F.when(F.col("kind") == FULL, cost).otherwise(0)).alias("c0"), F.sum(cost).alias("c1"), F.max("twofold").alias("two")))
-    unit = per.select("id", "band", "segment", F.explode(F.array(
-        F.struct(F.lit(FULL).alias("unit"), F.col("c0").alias("cost")),
-        F.struct(F.lit(DELETED).alias("unit"), F.when(F.col("two"), F.col("c1")).otherwise(0).alias("cost")))).alias("u")
-    ).select("id", "band", "segment", "u.*").where("cost > 0")
-    tops = F.array(*[F.lit(x - 1) for x in BANDS[1:]])
-    partner = F.least("n", F.element_at(tops, F.col("band") + 1))
-    need = F.floor(F.lit(den - num) * (F.col("n") + partner) / (den + num)) + 1 - F.col("units")
-    lack = sizes.select("id", "band", "n", need.alias("need"))
-    ranked = (unit.withColumn("rank", F.row_number().over(Window.partitionBy("id", "band").orderBy("cost", "segment", "unit")))
-              .withColumn("paid", F.count(F.lit(1)).over(Window.partitionBy("id", "band"))))
-    probes = ranked.join(lack, ["id", "band"]).where("need + paid > 0 and rank <= need + paid").select("id", "band", "segment", "unit")
-    chosen = (multi.join(probes.withColumnRenamed("unit", "kind").distinct(), ["id", "band", "segment", "kind"])
-              .select("key", "id").distinct())
-    chosen = materialise(chosen, "probes")
-    member = multi.where("own").select("key", "id").join(chosen.select("key").distinct(), "key", "left_semi")
     size = sizes.groupBy("id").agg(F.max("n").alias("n"))
-    buckets = materialise(member.unionByName(chosen).distinct(), "buckets")
-
-    leader = materialise(buckets.groupBy("key").agg(F.min("id").alias("a")), "leaders")
-    star = _near(buckets.withColumnRenamed("id", "b").join(leader, "key").where("a < b").select("a", "b").distinct(), size, num, den)
-    found = link(star, texts, k, num, den)
-    group = components(found)
-    placed = buckets.join(group.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    open_ = materialise(placed.join(mixed, "key", "left_semi").select("key", "id", "component"), "open")
-    asking = open_.join(chosen, ["key", "id"], "left_semi").select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-    other = open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    cross = asking.join(other, "key").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    # ``need`` is H + 1 less all units the set has in the band: above 0, probing every one of them is not enough.
-    short = lack.where("need > 0").select(F.col("id").alias("r"), "band", F.col("n").alias("nr"))
+    multi = posted.where(F.col("kind") != SIZE).select("key", "id", "band", "segment", "kind", "own", "twofold", (F.col("count") - 1).alias("cost"))
+
+    chosen = allocate(multi, sizes, num, den)
+    met = chosen.select("key").distinct()
+    buckets = materialise(multi.where("own").select("key", "id").join(met, "key", "left_semi").unionByName(chosen).distinct(), "buckets")
+    involved = materialise(src.withColumnRenamed("doc_id", "id").join(buckets.select("id").distinct(), "id", "left_semi"), "texts")
+    # The order that names a key's first set is one of STARS, of MANY_STARS in keys of MANY sets or more: a set meets a
+    # fixed number of others of a large group, so near copies that are similar to some of the group, but not to all, connect.
+    first = [F.min(F.struct(F.xxhash64("id", F.pmod("key", F.lit(n))).alias("h"), F.col("id").alias("f")))["f"] for n in (STARS, MANY_STARS)]
+    leader = materialise(buckets.groupBy("key").agg(F.when(F.count(F.lit(1)) < MANY, first[0]).otherwise(first[1]).alias("f")), "leaders")
+    star = _near(buckets.join(leader, "key").where("id <> f").select(F.least("id", "f").alias("a"), F.greatest("id", "f").alias("b")).distinct(),
+                 size, num, den)
+    found = link(star, involved, k, num, den)
+
+    group = components(found).withColumnsRenamed({"node": "id", "component": "c"})
+    placed = multi.drop("cost").join(group, "id", "left").withColumn("c", F.coalesce("c", "id"))
+    mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("all")).where("x < y").select("key", "all")
+    open_ = materialise(placed.join(mixed, "key"), "open")
+    inside = materialise(open_.groupBy("key", "c").agg(F.count(F.lit(1)).alias("mine")), "inside")
+    asking = allocate(open_.join(inside, ["key", "c"]).withColumn("cost", F.col("all") - F.col("mine")), sizes, num, den)
+    facts = sizes.where("own").select("id", "n").join(group, "id", "left").select("id", "n", F.coalesce("c", "id").alias("c"))
+    probe = asking.join(facts, "id").select("key", F.col("id").alias("r"), F.col("n").alias("nr"), F.col("c").alias("cr"))
+    index = (open_.where("own").select("key", "id", "c").join(size, "id").join(asking.select("key").distinct(), "key", "left_semi")
+             .select("key", F.col("id").alias("s"), F.col("n").alias("ns"), F.col("c").alias("cs")))
+    fits = (F.col("ns") <= F.col("nr")) & (F.col("ns") * den >= F.col("nr") * num)
+    cross = probe.join(index, "key").where(fits & (F.col("cr") != F.col("cs"))).select("r", "s")
+    short = lacking(sizes, num, den).where("need > 0").select(F.col("id").alias("r"), "band", F.col("n").alias("nr"))
     rest = (short.join(sizes.where("own").select(F.col("id").alias("s"), "band", F.col("n").alias("ns")), "band")
-            .where((F.col("r") != F.col("s")) & (F.col("ns") <= F.col("nr")) & (F.col("ns") * den >= F.col("nr") * num))
-            .select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")))
-    again = _near(cross.unionByName(rest).distinct().join(star, ["a", "b"], "left_anti"), size, num, den)
-    links = found.unionByName(link(again, texts, k, num, den))
-    group = components(links)
+            .where(fits & (F.col("r") != F.col("s"))).select("r", "s"))
+    again = (cross.unionByName(rest).select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct()
+             .join(star, ["a", "b"], "left_anti"))
+    unplaced = src.withColumnRenamed("doc_id", "id").join(rest.select(F.explode(F.array("r", "s")).alias("id")).distinct(), "id", "left_semi")
+    second = link(materialise(again, "pairs"), involved.unionByName(unplaced).distinct() if not short.isEmpty() else involved, k, num, den)
+    group = components(found.unionByName(second))
     known = (copies.join(size, "id", "left").join(group.withColumnRenamed("node", "id"), "id", "left")
              .select("same", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("c")))
     return (marked.select("doc_id", "same").join(known, "same", "left")
