@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cohortlens.llm.boosting import quality_rules
 from cohortlens.llm.catalog import query, table
 from cohortlens.llm.crf import quality_scores
+from cohortlens.llm.decontaminate import contaminated
 from cohortlens.llm.ngram_join import ngram_join
 from cohortlens.llm.substring_dedup import repeated_passages
 
@@ -27,6 +28,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+@query("op9_decontamination")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op10_substring_dedup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(table(spark, folder, "documents"))
