@@ -130,9 +130,9 @@ def contaminated(docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE
     or an item count once. Two equal items are both reported. No item, no document or no match: an empty result.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).where("doc_id is not null and text is not null")
     kind = dict(items.dtypes)["item_id"]
-    tests = materialise(items.select("item_id", F.col("text").alias("item")).where("item_id is not null and item is not null")
+    tests = materialise(items.select("item_id", F.lower("text").alias("item")).where("item_id is not null and item is not null")
                         .dropDuplicates(["item_id"]), "items")
     seeds = materialise(tests.mapInArrow(lambda it: _item_grams(it, k), f"item_id {kind}, gram long, at int, n_words int"), "seeds")
     total = seeds.count()
