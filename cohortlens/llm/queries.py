@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.llm.boosting import quality_rules
@@ -9,6 +10,7 @@ from cohortlens.llm.catalog import query, table
 from cohortlens.llm.crf import quality_scores
 from cohortlens.llm.decontaminate import contaminated
 from cohortlens.llm.ngram_join import ngram_join
+from cohortlens.llm.packing import pack
 from cohortlens.llm.substring_dedup import repeated_passages
 
 
@@ -28,6 +30,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+@query("op5_packing")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op9_decontamination")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
