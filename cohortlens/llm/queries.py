@@ -9,11 +9,18 @@ from cohortlens.llm.boosting import quality_rules
 from cohortlens.llm.catalog import query, table
 from cohortlens.llm.crf import quality_scores
 from cohortlens.llm.decontaminate import contaminated
+from cohortlens.llm.langid import held_out, identify, train
 from cohortlens.llm.ngram_join import ngram_join
 from cohortlens.llm.packing import pack
 from cohortlens.llm.substring_dedup import repeated_passages
 
 
+@query("op1_language_id")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return identify(docs, train(docs.where(~held_out())))
+
+
 @query("op2_ngram_join")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join(table(spark, folder, "documents"))
