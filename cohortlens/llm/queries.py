@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.llm.boosting import quality_rules
 from cohortlens.llm.catalog import query, table
 from cohortlens.llm.crf import quality_scores
 from cohortlens.llm.decontaminate import contaminated
+from cohortlens.llm.html_extract import extract
 from cohortlens.llm.langid import held_out, identify, train
+from cohortlens.llm.licenses import oracle, scan
 from cohortlens.llm.ngram_join import ngram_join
 from cohortlens.llm.packing import pack
+from cohortlens.llm.preference import preferences
 from cohortlens.llm.substring_dedup import repeated_passages
 
 
@@ -42,6 +45,21 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op6_html_extraction")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages"))
+
+
+@query("op7_chat_formatting")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return preferences(table(spark, folder, "conversations"))
+
+
+@query("op8_license_scan", oracle())
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return scan(table(spark, folder, "documents"))
+
+
 @query("op9_decontamination")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
