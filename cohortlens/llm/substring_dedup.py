@@ -220,9 +220,8 @@ def remove_repeats(docs: DataFrame, passages: DataFrame | None = None) -> DataFr
     """``docs`` with the later occurrences cut out of ``text``; all columns stay. A text that was nothing but repeats
     becomes empty and its row stays."""
     found = repeated_passages(docs) if passages is None else passages
-    spans = materialise(found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start", "words")).alias("_spans")), "spans")
-    rows = docs.join(spans, F.col("doc_id") == F.col("_id"), "left").drop("_id").select(*docs.columns, "_spans")
-    touched = rows.where("_spans is not null")
-    at = docs.columns.index("text")
-    cut = touched.mapInArrow(lambda it: _cut(it, at, len(docs.columns)), docs.schema)
-    return rows.where("_spans is null").select(*docs.columns).unionByName(cut)
+    spans = materialise(found.groupBy(F.col("doc_id").alias("_repeat_of")).agg(F.collect_set(F.struct("start", "words")).alias("_repeat_spans")), "spans")
+    rows = docs.join(spans, F.col("doc_id") == F.col("_repeat_of"), "left").select(*docs.columns, "_repeat_spans")
+    at, last = docs.columns.index("text"), len(docs.columns)
+    cut = rows.where("_repeat_spans is not null and text is not null").mapInArrow(lambda it: _cut(it, at, last), docs.schema)
+    return rows.where("_repeat_spans is null or text is null").select(*docs.columns).unionByName(cut)
