@@ -276,6 +276,7 @@ def _near(pairs: DataFrame, size: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, **how: object) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the smallest of its component; repeated rows of it stay."""
-    kept = ngram_join(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """``docs`` without the documents that link to one with a smaller ``doc_id``. Repeated rows of a kept id stay, and so do
+    rows without an id."""
+    later = materialise(ngram_join(docs, **how).where("doc_id <> component_id").select("doc_id").distinct(), "later")
+    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
