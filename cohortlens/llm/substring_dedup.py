@@ -5,10 +5,13 @@ where the text itself says: at a position whose hash is the smallest of ``SPREAD
 the same windows in any document, and every run of WINDOW + SPREAD - 1 = 51 equal words holds a whole window.
 
 Each window has a MinHash signature over its 5-word shingles, cut into bands tuned for recall at the similarity
-threshold. Windows that collide in a band are verified by exact Jaccard similarity; equal windows are folded before, so
-each class of equal windows is compared as one. Components of similar classes are clusters. In a cluster the occurrence
-in the smallest (document, position) is the original; each other one is compared with it on the texts, grown word by
-word over small edits, and becomes a removal if at least ``MIN_WORDS`` words match.
+threshold. In every band the occurrences with the same value are a group; its smallest (document, position) is compared
+with each of the others: exact Jaccard similarity of the two windows on the texts, and then the match is grown word by
+word over small edits. At least ``MIN_WORDS`` words make a repeated passage. Occurrences that have none with the first of
+their group form the group anew without it, now with ``LEADERS`` firsts at a time, until no group is left: a first that
+only looks alike hides nothing.
+A passage's earlier occurrence stays and the later one is a removal; documents that share passages, directly or through
+others, are one cluster (connected components).
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from cohortlens.operators.graph import components
 from cohortlens.session import materialise
 
 WINDOW, SPREAD, SHINGLE, MIN_WORDS, THRESHOLD, RECALL = 24, 28, 5, 50, 0.8, 0.95
+LEADERS = 64
 _U = np.uint64
 
 
@@ -63,17 +67,39 @@ def _windows(batches: Iterator[pa.RecordBatch], n_bands: int, rows: int) -> Iter
                 continue
             at, of = np.concatenate(starts), np.concatenate(owners)
             grid = sh[at[:, None] + np.arange(WINDOW - SHINGLE + 1)]
-            whole = np.zeros(len(at), dtype=np.uint64)
-            for j in range(grid.shape[1]):
-                whole = tg.mix(whole * _U(3) + grid[:, j])
             signature = [(grid * s).min(axis=1) for s in salts]
-            cols = [pa.array(ids[block.lo + of].astype(np.int64)), pa.array((at - w.first[of]).astype(np.int32)), pa.array(tg.signed(whole))]
+            ident, start = ids[block.lo + of].astype(np.int64), (at - w.first[of]).astype(np.int32)
             for b in range(n_bands):
                 key = np.full(len(at), b, dtype=np.uint64)
                 for s in signature[b * rows:(b + 1) * rows]:
                     key = tg.mix(key * _U(3) + s)
-                cols.append(pa.array(tg.signed(key)))
-            yield pa.record_batch(cols, names=["id", "start", "window", *[f"band{b}" for b in range(n_bands)]])
+                yield pa.record_batch([pa.array(tg.signed(key)), pa.array(ident), pa.array(start)], names=["key", "id", "start"])
+
+
+def _stars(batches: Iterator[pa.RecordBatch], leaders: int) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, id and start: each one with the first windows of its key, up to ``leaders`` of them, that are
+    in earlier documents. ``lead``: it is one of the first itself. Nothing but the first windows of a key is held."""
+    held = np.zeros((0, 3), dtype=np.int64)
+    for batch in batches:
+        key, ident, start = (batch.column(c).to_numpy().astype(np.int64) for c in range(3))
+        n = len(key)
+        if not n:
+            continue
+        own = held[held[:, 0] == key[0]]
+        k, d, p = (np.concatenate((own[:, c], x)) for c, x in enumerate((key, ident, start)))
+        at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        size = np.diff(np.append(at, len(k)))
+        first = np.repeat(at, size)
+        rank = np.arange(len(k)) - first
+        for j in range(min(leaders, int(size.max()))):
+            row = np.flatnonzero((rank > j) & (np.arange(len(k)) >= len(own)))
+            row = row[d[row] != d[first[row] + j]]
+            if len(row):
+                lead = first[row] + j
+                yield pa.record_batch([pa.array(k[row]), pa.array(d[row]), pa.array(p[row].astype(np.int32)), pa.array(rank[row] < leaders), pa.array(d[lead]),
+                                       pa.array(p[lead].astype(np.int32))], names=["key", "id", "start", "lead", "origin", "ostart"])
+        end = np.arange(at[-1], min(at[-1] + leaders, len(k)))
+        held = np.column_stack([k[end], d[end], p[end]])
 
 
 def _window_set(h: np.ndarray, start: int) -> np.ndarray:
@@ -87,20 +113,6 @@ def _hashes(texts: pa.Array) -> Iterator[np.ndarray]:
             yield w.hash[a:b]
 
 
-def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        good = []
-        sa, sb = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
-        for i, (x, y) in enumerate(zip(_hashes(batch.column("ta")), _hashes(batch.column("tb")), strict=True)):
-            r, s = _window_set(x, sa[i]), _window_set(y, sb[i])
-            common = len(np.intersect1d(r, s, assume_unique=True))
-            if common >= threshold * (len(r) + len(s) - common):
-                good.append(i)
-        if good:
-            rows = batch.take(pa.array(good))
-            yield pa.record_batch([rows.column("x"), rows.column("y")], names=["src", "dst"])
-
-
 def grow(x: np.ndarray, y: np.ndarray, i: int, j: int, edits: int = 3, again: int = 5) -> int:
     """Words that x from i and y from j share going right; runs of up to ``edits`` other words (changed, added or
     dropped) are passed if ``again`` equal words follow."""
@@ -119,23 +131,34 @@ def grow(x: np.ndarray, y: np.ndarray, i: int, j: int, edits: int = 3, again: in
             return i - i0
 
 
-def _spans(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+def _passages(batches: Iterator[pa.RecordBatch], threshold: float, min_words: int) -> Iterator[pa.RecordBatch]:
+    """Rows with words > 0: the repeated passages of a pair of documents. Rows with words = 0: (key, id, start) of the
+    windows that are in none."""
     for batch in batches:
         out = []
         rows = zip(*(batch.column(c).to_pylist() for c in ("id", "origin", "at")), strict=True)
         for (ident, origin, at), x, y in zip(rows, _hashes(batch.column("tx")), _hashes(batch.column("ty")), strict=True):
-            done = -1
-            for start, ostart, cluster in sorted((p["start"], p["ostart"], p["cluster"]) for p in at):
-                if start + WINDOW <= done:
+            spans: list[tuple[int, int]] = []
+            for start, ostart, key, lead in sorted((p["start"], p["ostart"], p["key"], p["lead"]) for p in at):
+                if any(a <= start and start + WINDOW <= e for a, e in spans[-2:]):
                     continue
-                right = max(WINDOW, grow(x, y, start, ostart))
-                left = grow(x[:start][::-1], y[:ostart][::-1], 0, 0)
-                oleft = grow(y[:ostart][::-1], x[:start][::-1], 0, 0)
-                if left + right >= min_words:
-                    out.append((ident, start - left, left + right, origin, ostart - oleft, cluster))
-                    done = start + right
+                r, s = _window_set(x, start), _window_set(y, ostart)
+                common = len(np.intersect1d(r, s, assume_unique=True))
+                if common >= threshold * (len(r) + len(s) - common):
+                    right = max(WINDOW, grow(x, y, start, ostart))
+                    left, oleft = grow(x[:start][::-1], y[:ostart][::-1], 0, 0), grow(y[:ostart][::-1], x[:start][::-1], 0, 0)
+                    if left + right >= min_words:
+                        a, e = start - left, start + right
+                        if spans and a < spans[-1][1]:  # the same passage seen from a later window
+                            a, oleft = spans[-1][1], oleft - (spans[-1][1] - start + left)
+                        if e - a >= WINDOW:
+                            out.append((0, ident, a, e - a, origin, ostart - oleft))
+                            spans.append((a, e))
+                        continue
+                if not lead:
+                    out.append((key, ident, start, 0, origin, ostart))
         if out:
-            names = ["id", "start", "words", "origin", "origin_start", "cluster"]
+            names = ["key", "id", "start", "words", "origin", "origin_start"]
             yield pa.record_batch([pa.array(c, pa.int32() if n in ("start", "words", "origin_start") else pa.int64())
                                    for n, c in zip(names, zip(*out, strict=True), strict=True)], names=names)
 
@@ -143,54 +166,38 @@ def _spans(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
                       min_words: int = MIN_WORDS, recall: float = RECALL) -> DataFrame:
     """(doc_id, start, words, origin, origin_start, cluster): every later occurrence of a passage, in words of the
-    whole text, and where its original stands. Texts under ``WINDOW`` words, null texts and an empty table give none.
-    Repeated rows of one id count as one document; what repeats only inside one document is not reported.
+    whole text, where its earlier one stands, and the smallest doc_id that shares passages with it.
+
+    Texts under ``WINDOW`` words, null texts and ids, and an empty table give none. Repeated rows of one id count as one
+    document (with different texts: one of them); what repeats only inside one document is not reported.
     """
     rows = 2
     n = tune_bands(threshold, recall, rows)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    cols = ", ".join(f"band{b} long" for b in range(n))
-    win = materialise(src.mapInArrow(lambda it: _windows(it, n, rows), f"id long, start int, window long, {cols}"), "windows")
-    occ = win.select("window", "id", "start")
-    first = occ.groupBy("window").agg(F.min(F.struct("id", "start")).alias("o"), F.max(F.struct("id", "start")).alias("z"))
-    sets = [win.select(F.col(f"band{b}").alias("key"), "window") for b in range(n)]
-    stars = None
-    for s in sets:
-        low = s.groupBy("key").agg(F.min("window").alias("x"), F.max("window").alias("z")).where("x < z").select("key", "x")
-        star = s.join(materialise(low, "low"), "key").where("x < window").select("x", F.col("window").alias("y"))
-        stars = star if stars is None else stars.unionByName(star)
-    pairs = materialise(stars.distinct(), "pairs")
-    met = pairs.select(F.explode(F.array("x", "y")).alias("window")).distinct()
-    classes = materialise(first.join(met, "window", "left_outer").select("window", F.col("o.id").alias("oid"), F.col("o.start").alias("ostart"),
-                                                                         (F.col("o") != F.col("z")).alias("shared")).where("shared")
-                          .unionByName(first.join(met, "window", "left_semi").where("o = z")
-                                       .select("window", F.col("o.id").alias("oid"), F.col("o.start").alias("ostart"), F.lit(False).alias("shared"))),
-                          "classes")
-    a = classes.select(F.col("window").alias("x"), F.col("oid").alias("ia"), F.col("ostart").alias("sa"))
-    b = classes.select(F.col("window").alias("y"), F.col("oid").alias("ib"), F.col("ostart").alias("sb"))
-    asked = pairs.join(a, "x").join(b, "y").where("ia <> ib")  # windows of one document overlap; they are no copies
-    wanted = asked.select(F.explode(F.array("ia", "ib")).alias("id")).unionByName(classes.where("shared").select(F.col("oid").alias("id"))).distinct()
-    texts = src.dropDuplicates(["id"])
-    near_texts = materialise(texts.join(wanted, "id", "left_semi"), "texts")
-    near = materialise(asked.join(near_texts.select(F.col("id").alias("ia"), F.col("text").alias("ta")), "ia")
-                       .join(near_texts.select(F.col("id").alias("ib"), F.col("text").alias("tb")), "ib")
-                       .select("x", "y", "sa", "sb", "ta", "tb").mapInArrow(lambda it: _verify(it, threshold), "src long, dst long"), "near")
-    group = components(near).withColumnRenamed("node", "window")
-    placed = (classes.join(group, "window", "left").where("shared or component is not null")
-              .select("window", F.coalesce("component", "window").alias("cluster"), "oid", "ostart"))
-    placed = materialise(placed, "placed")
-    origin = materialise(placed.groupBy("cluster").agg(F.min(F.struct("oid", "ostart")).alias("o"))
-                         .select("cluster", F.col("o.oid").alias("origin"), F.col("o.ostart").alias("ostart")), "origins")
-    found = (occ.join(placed.select("window", "cluster"), "window").join(origin, "cluster")
-             .where("id <> origin"))
-    grouped = found.groupBy("id", "origin").agg(F.collect_set(F.struct("start", "ostart", "cluster")).alias("at"))
-    grouped = materialise(grouped, "matches")
-    source = materialise(texts.join(grouped.select("origin").distinct().withColumnRenamed("origin", "id"), "id", "left_semi"), "sources")
-    return (grouped.join(texts.withColumnRenamed("text", "tx"), "id")
-            .join(source.select(F.col("id").alias("origin"), F.col("text").alias("ty")), "origin")
-            .select("id", "origin", "at", "tx", "ty")
-            .mapInArrow(lambda it: _spans(it, min_words), "id long, start int, words int, origin long, origin_start int, cluster long")
-            .withColumnRenamed("id", "doc_id"))
+    groups = src.mapInArrow(lambda it: _windows(it, n, rows), "key long, id long, start int")
+    texts = found = None
+    leaders = 1
+    while True:
+        stars = (groups.repartition("key").sortWithinPartitions("key", "id", "start")
+                 .mapInArrow(lambda it, n=leaders: _stars(it, n), "key long, id long, start int, lead boolean, origin long, ostart int"))
+        pairs = materialise(stars.groupBy("id", "origin").agg(F.collect_set(F.struct("start", "ostart", "key", "lead")).alias("at")), "pairs")
+        if texts is None:
+            wanted = pairs.select(F.explode(F.array("id", "origin")).alias("id")).distinct()
+            texts = materialise(src.join(wanted, "id", "left_semi"), "texts").dropDuplicates(["id"])
+        seen = materialise(pairs.join(texts.withColumnRenamed("text", "tx"), "id").join(texts.select(F.col("id").alias("origin"), F.col("text").alias("ty")), "origin")
+                           .select("id", "origin", "at", "tx", "ty")
+                           .mapInArrow(lambda it: _passages(it, threshold, min_words), "key long, id long, start int, words int, origin long, origin_start int"), "passages")
+        spans = seen.where("words > 0").drop("key")
+        found = spans if found is None else found.unionByName(spans)
+        left = seen.where("words = 0").select("key", "id", "start").distinct()
+        again = left.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key")
+        groups = materialise(left.join(again, "key", "left_semi"), "left")
+        leaders = LEADERS
+        if groups.isEmpty():
+            break
+    group = components(found.select(F.col("id").alias("src"), F.col("origin").alias("dst")))
+    return (found.distinct().join(group.withColumnRenamed("node", "id"), "id")
+            .select(F.col("id").alias("doc_id"), "start", "words", "origin", "origin_start", F.col("component").alias("cluster")))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], text_at: int, spans_at: int) -> Iterator[pa.RecordBatch]:
