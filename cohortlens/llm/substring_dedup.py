@@ -189,7 +189,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                            .mapInArrow(lambda it: _passages(it, threshold, min_words), "key long, id long, start int, words int, origin long, origin_start int"), "passages")
         spans = seen.where("words > 0").drop("key")
         found = spans if found is None else found.unionByName(spans)
-        left = seen.where("words = 0").select("key", "id", "start").distinct()
+        left = seen.where("words = 0").groupBy("key", "id").agg(F.min("start").alias("start"))  # of like windows of one document, the first
         again = left.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key")
         groups = materialise(left.join(again, "key", "left_semi"), "left")
         leaders = LEADERS
