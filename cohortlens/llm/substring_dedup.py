@@ -113,6 +113,9 @@ def _hashes(texts: pa.Array) -> Iterator[np.ndarray]:
             yield w.hash[a:b]
 
 
+_EDITS = {n: sorted(((a, b) for a in range(n + 1) for b in range(n + 1) if a + b), key=sum) for n in range(6)}
+
+
 def grow(x: np.ndarray, y: np.ndarray, i: int, j: int, edits: int = 3, again: int = 5) -> int:
     """Words that x from i and y from j share going right; runs of up to ``edits`` other words (changed, added or
     dropped) are passed if ``again`` equal words follow."""
@@ -122,7 +125,7 @@ def grow(x: np.ndarray, y: np.ndarray, i: int, j: int, edits: int = 3, again: in
         differ = np.flatnonzero(x[i:i + n] != y[j:j + n])
         step = int(differ[0]) if len(differ) else n
         i, j = i + step, j + step
-        for a, b in sorted(((a, b) for a in range(edits + 1) for b in range(edits + 1) if a + b), key=sum):
+        for a, b in _EDITS[edits]:
             p, q = x[i + a:i + a + again], y[j + b:j + b + again]
             if len(p) == again and len(q) == again and (p == q).all():
                 i, j = i + a, j + b
@@ -133,30 +136,46 @@ def grow(x: np.ndarray, y: np.ndarray, i: int, j: int, edits: int = 3, again: in
 
 def _passages(batches: Iterator[pa.RecordBatch], threshold: float, min_words: int) -> Iterator[pa.RecordBatch]:
     """Rows with words > 0: the repeated passages of a pair of documents. Rows with words = 0: (key, id, start) of the
-    windows that are in none."""
+    windows that are in none. Equal windows are grown first; most others lie in what they grow to."""
+    inside = np.arange(WINDOW)
     for batch in batches:
-        out = []
-        rows = zip(*(batch.column(c).to_pylist() for c in ("id", "origin", "at")), strict=True)
-        for (ident, origin, at), x, y in zip(rows, _hashes(batch.column("tx")), _hashes(batch.column("ty")), strict=True):
+        out: list[tuple] = []
+        seeds = batch.column("at")
+        ends = seeds.offsets.to_numpy()
+        starts, ostarts, keys, leads = (seeds.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+        pairs = zip(batch.column("id").to_pylist(), batch.column("origin").to_pylist(), ends[:-1], ends[1:], strict=True)
+        for (ident, origin, lo, hi), x, y in zip(pairs, _hashes(batch.column("tx")), _hashes(batch.column("ty")), strict=True):
+            order = lo + np.argsort(starts[lo:hi], kind="stable")
+            st, os = starts[order], ostarts[order]
+            if len(x) < st[-1] + WINDOW or len(y) < os.max() + WINDOW:
+                continue  # another text of a repeated id
+            equal = (x[st[:, None] + inside] == y[os[:, None] + inside]).all(axis=1)
             spans: list[tuple[int, int]] = []
-            for start, ostart, key, lead in sorted((p["start"], p["ostart"], p["key"], p["lead"]) for p in at):
-                if any(a <= start and start + WINDOW <= e for a, e in spans[-2:]):
-                    continue
-                r, s = _window_set(x, start), _window_set(y, ostart)
-                common = len(np.intersect1d(r, s, assume_unique=True))
-                if common >= threshold * (len(r) + len(s) - common):
-                    right = max(WINDOW, grow(x, y, start, ostart))
-                    left, oleft = grow(x[:start][::-1], y[:ostart][::-1], 0, 0), grow(y[:ostart][::-1], x[:start][::-1], 0, 0)
-                    if left + right >= min_words:
-                        a, e = start - left, start + right
-                        if spans and a < spans[-1][1]:  # the same passage seen from a later window
-                            a, oleft = spans[-1][1], oleft - (spans[-1][1] - start + left)
-                        if e - a >= WINDOW:
-                            out.append((0, ident, a, e - a, origin, ostart - oleft))
-                            spans.append((a, e))
-                        continue
-                if not lead:
-                    out.append((key, ident, start, 0, origin, ostart))
+
+            def found(i: int) -> bool:
+                start, ostart = int(st[i]), int(os[i])
+                right = max(WINDOW, grow(x, y, start, ostart))
+                left, oleft = grow(x[:start][::-1], y[:ostart][::-1], 0, 0), grow(y[:ostart][::-1], x[:start][::-1], 0, 0)
+                if left + right < min_words:
+                    return False
+                out.append((0, ident, start - left, left + right, origin, ostart - oleft))
+                spans.append((start - left, start + right))
+                return True
+
+            def held(i: int) -> bool:
+                return any(a <= st[i] and st[i] + WINDOW <= e for a, e in spans)
+
+            missed = []
+            for i in np.flatnonzero(equal).tolist():
+                if not held(i) and not found(i):
+                    missed.append(i)
+            for i in np.flatnonzero(~equal).tolist():
+                if not held(i):
+                    r, s = _window_set(x, int(st[i])), _window_set(y, int(os[i]))
+                    common = len(np.intersect1d(r, s, assume_unique=True))
+                    if common < threshold * (len(r) + len(s) - common) or not found(i):
+                        missed.append(i)
+            out.extend((int(keys[order[i]]), ident, int(st[i]), 0, origin, int(os[i])) for i in missed if not leads[order[i]] and not held(i))
         if out:
             names = ["key", "id", "start", "words", "origin", "origin_start"]
             yield pa.record_batch([pa.array(c, pa.int32() if n in ("start", "words", "origin_start") else pa.int64())
@@ -169,7 +188,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     whole text, where its earlier one stands, and the smallest doc_id that shares passages with it.
 
     Texts under ``WINDOW`` words, null texts and ids, and an empty table give none. Repeated rows of one id count as one
-    document (with different texts: one of them); what repeats only inside one document is not reported.
+    document (with different texts: as any of them); what repeats only inside one document is not reported.
     """
     rows = 2
     n = tune_bands(threshold, recall, rows)
@@ -183,13 +202,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         pairs = materialise(stars.groupBy("id", "origin").agg(F.collect_set(F.struct("start", "ostart", "key", "lead")).alias("at")), "pairs")
         if texts is None:
             wanted = pairs.select(F.explode(F.array("id", "origin")).alias("id")).distinct()
-            texts = materialise(src.join(wanted, "id", "left_semi"), "texts").dropDuplicates(["id"])
+            texts = materialise(src.join(wanted, "id", "left_semi"), "texts")
         seen = materialise(pairs.join(texts.withColumnRenamed("text", "tx"), "id").join(texts.select(F.col("id").alias("origin"), F.col("text").alias("ty")), "origin")
                            .select("id", "origin", "at", "tx", "ty")
                            .mapInArrow(lambda it: _passages(it, threshold, min_words), "key long, id long, start int, words int, origin long, origin_start int"), "passages")
         spans = seen.where("words > 0").drop("key")
         found = spans if found is None else found.unionByName(spans)
-        left = seen.where("words = 0").groupBy("key", "id").agg(F.min("start").alias("start"))  # of like windows of one document, the first
+        window = seen.where("words = 0").select("key", "id", "start")
+        over = spans.select(F.col("id").alias("of"), F.col("start").alias("a"), (F.col("start") + F.col("words") - WINDOW).alias("z")).distinct()
+        left = window.join(over, (F.col("id") == F.col("of")) & F.col("start").between(F.col("a"), F.col("z")), "left_anti").groupBy("key", "id").agg(F.min("start").alias("start"))  # of like windows of one document, the first
         again = left.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key")
         groups = materialise(left.join(again, "key", "left_semi"), "left")
         leaders = LEADERS
