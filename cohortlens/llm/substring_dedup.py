@@ -28,7 +28,7 @@ from cohortlens.operators.graph import components
 from cohortlens.session import materialise
 
 WINDOW, SPREAD, SHINGLE, MIN_WORDS, THRESHOLD, RECALL = 24, 28, 5, 50, 0.8, 0.95
-LEADERS = 64
+LEADERS = 8
 _U = np.uint64
 
 
