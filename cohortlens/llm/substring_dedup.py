@@ -154,7 +154,7 @@ def _passages(batches: Iterator[pa.RecordBatch], threshold: float, min_words: in
 
             def found(i: int) -> bool:
                 start, ostart = int(st[i]), int(os[i])
-                right = max(WINDOW, grow(x, y, start, ostart))
+                right = grow(x, y, start, ostart)
                 left, oleft = grow(x[:start][::-1], y[:ostart][::-1], 0, 0), grow(y[:ostart][::-1], x[:start][::-1], 0, 0)
                 if left + right < min_words:
                     return False

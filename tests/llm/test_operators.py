@@ -67,6 +67,8 @@ def test_ngram_join_is_exact_on_edited_copies(make):
         for edits in (0, 0, 0, 1, 1, 1, 2, 2, 3):
             words = list(base)
             for _ in range(edits):
+                if not words:
+                    break
                 i = int(rng.integers(len(words)))
                 words[i:i + 1] = [[f"e{n}"], [], [words[i], f"e{n}"]][int(rng.integers(3))]
             texts[n] = " ".join(words)
