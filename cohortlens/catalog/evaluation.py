@@ -118,4 +118,4 @@ def probe_rows(v: Views) -> DataFrame:
 
 @query("m1_fit_probe")
 def m1(v: Views) -> DataFrame:
-    return rounded(probe.fit_probe(probe_rows(v), max_iter=200), ["score"])
+    return rounded(probe.fit_probe(probe_rows(v)), ["score"])

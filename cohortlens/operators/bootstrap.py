@@ -64,7 +64,7 @@ def replicates(preds: DataFrame, keys: list[str], unit: list[str], n_boot: int =
     groups whose draws are shared.
     """
     draws = materialise((poisson_draws if poisson else group_draws)(preds, unit, n_boot, seed), "draws")
-    rows = preds.where(~F.isnan("score")).join(draws, [*unit, "group_id"])
+    rows = preds.where(F.col("score").isNotNull() & ~F.isnan("score")).join(draws, [*unit, "group_id"])
     sums = rows.groupBy(*keys, "threshold", "score", "block", "y").agg(*[F.sum(f"w{k}").alias(f"w{k}") for k in range(BLOCK)])
     each = F.posexplode(F.array(*[F.col(f"w{k}") for k in range(BLOCK)])).alias("_k", "_w")
     counts = (sums.select(*keys, "threshold", "score", "block", "y", each).where("_w > 0")
@@ -117,8 +117,9 @@ def paired_ci(preds: DataFrame, pairs: DataFrame, run: str = "run", unit: list[s
     """Difference (run_2 minus run_1) of each metric with its 95 % interval from the same draws for both runs.
 
     ``preds`` holds the test rows of all runs with their locked thresholds; every run is resampled once, however many
-    pairs it takes part in.
+    pairs it takes part in. Runs to compare must have the same test images, or it raises.
     """
+    assert_aligned(pairs, preds, run)
     unit = unit or []
     keys = [*unit, run]
     reps = _long(replicates(preds, keys, unit, n_boot, seed, poisson), [*keys, "b"])

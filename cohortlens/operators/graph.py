@@ -18,7 +18,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, node: str = "no
     Alternating large-star and small-star rounds (Kiveris et al. 2014): every round links neighbours to the smallest
     neighbour, first the larger ones and then the smaller ones, until only stars are left; the number of rounds grows
     with the logarithm of the graph. Each round is written to the shared folder. Minima are combined before the
-    shuffle, and the join back to a node's edges is an inner join that adaptive execution splits when one node is hot.
+    shuffle. The join back to a node's edges is not split when one node is hot: its side of minima is an aggregate.
     """
     e = materialise(edges.select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"))
                     .where(F.col("lo") != F.col("hi")).distinct(), "edges")

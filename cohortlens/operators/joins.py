@@ -14,16 +14,24 @@ def unmatched_count(left: DataFrame, right: DataFrame, key: str = "image_id") ->
 
 
 def members(df: DataFrame, held: DataFrame, key: str, present: bool = True) -> DataFrame:
-    """Rows whose non-blank key is (or is not) among the held keys. Keys are made distinct before the join."""
+    """Rows whose non-blank key is (or is not) among the held keys. Keys are made distinct before the join; blank keys match
+    nothing and do not meet in one task."""
     ids = held.where(F.col(key) != "").select(key).distinct()
-    return df.join(ids, key, "left_semi" if present else "left_anti")
+    if present:
+        return df.where(F.col(key) != "").join(ids, key, "left_semi")
+    return df.withColumn("_s", _spread(df, key)).join(ids.withColumn("_s", F.lit(0)), [key, "_s"], "left_anti").select(*df.columns)
+
+
+def _spread(df: DataFrame, key: str) -> Column:
+    """0 for a key that can match; for blank keys one of 64 numbers by the rest of the row, so they are no hot key."""
+    return F.when(F.coalesce(F.col(key), F.lit("")) == "", F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.lit(64)) + 1).otherwise(0).cast("int")
 
 
 def pool_exclusion_reason(df: DataFrame, held: DataFrame, test_sources: DataFrame, licenses: list[str]) -> DataFrame:
     """Adds ``excluded``: the first reason, in order, that keeps a row out of the pool; NULL if it stays."""
     def flag(frame: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
         ids = keys.where(F.col(key) != "").select(key).distinct().withColumn(name, F.lit(True))
-        return frame.join(ids, key, "left")
+        return frame.withColumn("_s", _spread(df, key)).join(ids.withColumn("_s", F.lit(0)), [key, "_s"], "left").drop("_s")
 
     out = flag(df, test_sources, "source", "_src")
     for key in ("image_id", "lesion_id", "patient_id"):
