@@ -81,7 +81,9 @@ def pair_by_opening(convs: DataFrame) -> DataFrame:
     last = F.array_max(spoken)
     echo = F.transform("chosen_turns", lambda t, i: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), F.when(
         i + 1 == F.col("last"), F.coalesce(F.get("chosen_turns", F.when(i > 0, i - 1))["text"], F.lit(""))).otherwise(t["text"]).alias("text")))
-    joined = ids.join(a, "chosen_id").join(b, "rejected_id", "left").withColumn("last", last)
+    paired = ids.where("rejected_id is not null").join(a, "chosen_id").join(b, "rejected_id")
+    single = ids.where("rejected_id is null").join(a, "chosen_id").withColumn("other", F.lit(None).cast(b.schema["other"].dataType))
+    joined = paired.unionByName(single).withColumn("last", last)
     return joined.select("chosen_id", "rejected_id",
                          F.when(F.col("rejected_id").isNotNull(), "pair").when(F.col("last").isNotNull(), "echo").otherwise("unpaired").alias("kind"),
                          "chosen_turns", F.coalesce("other", F.when(F.col("last").isNotNull(), echo)).alias("rejected_turns"))
