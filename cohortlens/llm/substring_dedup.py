@@ -5,11 +5,18 @@ where the text itself says: at a position whose hash is the smallest of ``SPREAD
 the same windows in any document, and every run of WINDOW + SPREAD - 1 = 51 equal words holds a whole window.
 
 Each window has a MinHash signature over its 5-word shingles, cut into bands tuned for recall at the similarity
-threshold. In every band the occurrences with the same value are a group; its smallest (document, position) is compared
-with each of the others: exact Jaccard similarity of the two windows on the texts, and then the match is grown word by
-word over small edits. At least ``MIN_WORDS`` words make a repeated passage. Occurrences that have none with the first of
-their group form the group anew without it, now with ``LEADERS`` firsts at a time, until no group is left: a first that
-only looks alike hides nothing.
+threshold. Equal texts are folded first: a later copy is one passage, its whole text. In every band the occurrences with
+the same value are a group; its smallest (document, position) is compared with each of the others: exact Jaccard
+similarity of the two windows on the words, and then the match is grown word by word over small edits. At least
+``min_words`` words make a repeated passage.
+
+A first that shares only a shorter phrase hides nothing: windows that are in no passage with it are grouped anew by more of
+their surroundings. A passage of 50 words that covers a window of 24 goes on for 13 words to its left or to its right, so
+windows that share neither drop out; of the rest every run of 50 words that covers the window is a key, and equal keys are
+passages. Two such steps suffice whatever the size of a group.
+
+Texts are joined once for each document; what is sent on for a pair of documents is the words around its windows
+(``CONTEXT`` on either side), not the text.
 A passage's earlier occurrence stays and the later one is a removal; documents that share passages, directly or through
 others, are one cluster (connected components).
 """
@@ -28,7 +35,7 @@ from cohortlens.operators.graph import components
 from cohortlens.session import materialise
 
 WINDOW, SPREAD, SHINGLE, MIN_WORDS, THRESHOLD, RECALL = 24, 28, 5, 50, 0.8, 0.95
-LEADERS = 8
+CONTEXT = 64
 _U = np.uint64
 
 
@@ -76,32 +83,6 @@ def _windows(batches: Iterator[pa.RecordBatch], n_bands: int, rows: int) -> Iter
                 yield pa.record_batch([pa.array(tg.signed(key)), pa.array(ident), pa.array(start)], names=["key", "id", "start"])
 
 
-def _stars(batches: Iterator[pa.RecordBatch], leaders: int) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, id and start: each one with the first windows of its key, up to ``leaders`` of them, that are
-    in earlier documents. ``lead``: it is one of the first itself. Nothing but the first windows of a key is held."""
-    held = np.zeros((0, 3), dtype=np.int64)
-    for batch in batches:
-        key, ident, start = (batch.column(c).to_numpy().astype(np.int64) for c in range(3))
-        n = len(key)
-        if not n:
-            continue
-        own = held[held[:, 0] == key[0]]
-        k, d, p = (np.concatenate((own[:, c], x)) for c, x in enumerate((key, ident, start)))
-        at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        size = np.diff(np.append(at, len(k)))
-        first = np.repeat(at, size)
-        rank = np.arange(len(k)) - first
-        for j in range(min(leaders, int(size.max()))):
-            row = np.flatnonzero((rank > j) & (np.arange(len(k)) >= len(own)))
-            row = row[d[row] != d[first[row] + j]]
-            if len(row):
-                lead = first[row] + j
-                yield pa.record_batch([pa.array(k[row]), pa.array(d[row]), pa.array(p[row].astype(np.int32)), pa.array(rank[row] < leaders), pa.array(d[lead]),
-                                       pa.array(p[lead].astype(np.int32))], names=["key", "id", "start", "lead", "origin", "ostart"])
-        end = np.arange(at[-1], min(at[-1] + leaders, len(k)))
-        held = np.column_stack([k[end], d[end], p[end]])
-
-
 def _window_set(h: np.ndarray, start: int) -> np.ndarray:
     return np.unique(tg.shingle_hash(h[start:start + WINDOW], SHINGLE))
 
@@ -134,54 +115,152 @@ def grow(x: np.ndarray, y: np.ndarray, i: int, j: int, edits: int = 3, again: in
             return i - i0
 
 
+def _run_hash(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` words from every position of ``at``."""
+    power = tg.mix(np.arange(1, n + 1, dtype=np.uint64)) | _U(1)
+    return tg.mix((h[at[:, None] + np.arange(n)] * power).sum(axis=1, dtype=np.uint64))
+
+
+def _lists(column: pa.Array, *fields: str) -> tuple:
+    """Bounds of the lists of a column and the fields of their structs (none named: the values), as numpy arrays."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    values = column.values
+    parts = [values.field(f) for f in fields] if fields else [values]
+    return column.offsets.to_numpy(), *(x.to_numpy(zero_copy_only=False) for x in parts)
+
+
+def _trim(batches: Iterator[pa.RecordBatch], context: int) -> Iterator[pa.RecordBatch]:
+    """A row for every document and origin: the windows, and the parts of the text around them."""
+    names = ["id", "origin", "starts", "ostarts", "begins", "parts"]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
+    for batch in batches:
+        ids = batch.column("id").to_pylist()
+        bound, origin, start, ostart = _lists(batch.column("at"), "origin", "start", "ostart")
+        for block in tg.blocks(batch.column("text")):
+            w = tg.words(block)
+            out: list[tuple] = []
+            for i in range(block.lo, block.hi):
+                base, n = int(w.first[i - block.lo]), int(w.first[i - block.lo + 1] - w.first[i - block.lo])
+                lo, hi = int(bound[i]), int(bound[i + 1])
+                if start[lo:hi].max() + WINDOW > n:
+                    continue  # another text of a repeated id
+                order = lo + np.lexsort((start[lo:hi], origin[lo:hi]))
+                for g in np.split(order, np.flatnonzero(np.diff(origin[order])) + 1):
+                    s = start[g]
+                    begin, end = np.maximum(s - context, 0), np.minimum(s + WINDOW + context, n)
+                    new = np.flatnonzero(begin[1:] > end[:-1])
+                    begin, end = begin[np.append(0, new + 1)], end[np.append(new, len(s) - 1)]
+                    parts = [block.data[w.start[base + a]:w.end[base + z - 1]].tobytes().decode() for a, z in zip(begin, end, strict=True)]
+                    out.append((ids[i], int(origin[g[0]]), s, ostart[g], begin, parts))
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+
 def _passages(batches: Iterator[pa.RecordBatch], threshold: float, min_words: int) -> Iterator[pa.RecordBatch]:
-    """Rows with words > 0: the repeated passages of a pair of documents. Rows with words = 0: (key, id, start) of the
-    windows that are in none. Equal windows are grown first; most others lie in what they grow to."""
+    """Rows with words > 0: the repeated passages of a document and an origin. Rows with words = 0: a window by a key of its
+    surroundings, ``missed`` if it is in none of the passages. Equal windows are grown first; most others lie in what they
+    grow to."""
     inside = np.arange(WINDOW)
+    half = max(0, min_words - WINDOW) // 2
+    names = ["key", "id", "start", "words", "origin", "origin_start", "missed"]
+    last: tuple = (None, None)
     for batch in batches:
         out: list[tuple] = []
-        seeds = batch.column("at")
-        ends = seeds.offsets.to_numpy()
-        starts, ostarts, keys, leads = (seeds.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-        pairs = zip(batch.column("id").to_pylist(), batch.column("origin").to_pylist(), ends[:-1], ends[1:], strict=True)
-        for (ident, origin, lo, hi), x, y in zip(pairs, _hashes(batch.column("tx")), _hashes(batch.column("ty")), strict=True):
-            order = lo + np.argsort(starts[lo:hi], kind="stable")
-            st, os = starts[order], ostarts[order]
-            if len(x) < st[-1] + WINDOW or len(y) < os.max() + WINDOW:
+        bound, starts = _lists(batch.column("starts"))
+        _, ostarts = _lists(batch.column("ostarts"))
+        pbound, begins = _lists(batch.column("begins"))
+        parts = list(_hashes(batch.column("parts").values))
+        ty = batch.column("ty")
+        for row, (ident, origin) in enumerate(zip(batch.column("id").to_pylist(), batch.column("origin").to_pylist(), strict=True)):
+            text = ty[row].as_py()
+            if last[0] != text:
+                last = (text, next(_hashes(pa.array([text]))))
+            y = last[1]
+            st, os = starts[bound[row]:bound[row + 1]], ostarts[bound[row]:bound[row + 1]]
+            if os.max() + WINDOW > len(y):
                 continue  # another text of a repeated id
-            equal = (x[st[:, None] + inside] == y[os[:, None] + inside]).all(axis=1)
-            spans: list[tuple[int, int]] = []
-
-            def found(i: int) -> bool:
-                start, ostart = int(st[i]), int(os[i])
-                right = grow(x, y, start, ostart)
-                left, oleft = grow(x[:start][::-1], y[:ostart][::-1], 0, 0), grow(y[:ostart][::-1], x[:start][::-1], 0, 0)
-                if left + right < min_words:
-                    return False
-                out.append((0, ident, start - left, left + right, origin, ostart - oleft))
-                spans.append((start - left, start + right))
-                return True
-
-            def held(i: int) -> bool:
-                return any(a <= st[i] and st[i] + WINDOW <= e for a, e in spans)
-
-            missed = []
-            for i in np.flatnonzero(equal).tolist():
-                if not held(i) and not found(i):
-                    missed.append(i)
-            for i in np.flatnonzero(~equal).tolist():
-                if not held(i):
-                    r, s = _window_set(x, int(st[i])), _window_set(y, int(os[i]))
-                    common = len(np.intersect1d(r, s, assume_unique=True))
-                    if common < threshold * (len(r) + len(s) - common) or not found(i):
-                        missed.append(i)
-            out.extend((int(keys[order[i]]), ident, int(st[i]), 0, origin, int(os[i])) for i in missed if not leads[order[i]] and not held(i))
+            first = begins[pbound[row]:pbound[row + 1]]
+            part = np.searchsorted(first, st, side="right") - 1
+            for j in range(len(first)):
+                x, off = parts[pbound[row] + j], int(first[j])
+                mine = part == j
+                s, o = st[mine] - off, os[mine]
+                equal = (x[s[:, None] + inside] == y[o[:, None] + inside]).all(axis=1)
+                covered = np.zeros(len(s), dtype=bool)
+                for i in np.flatnonzero(equal).tolist() + np.flatnonzero(~equal).tolist():
+                    if covered[i]:
+                        continue
+                    a, b = int(s[i]), int(o[i])
+                    if not equal[i]:
+                        r, q = _window_set(x, a), _window_set(y, b)
+                        common = len(np.intersect1d(r, q, assume_unique=True))
+                        if common < threshold * (len(r) + len(q) - common):
+                            continue
+                    right = grow(x, y, a, b)
+                    left, oleft = grow(x[:a][::-1], y[:b][::-1], 0, 0), grow(y[:b][::-1], x[:a][::-1], 0, 0)
+                    if left + right >= min_words:
+                        out.append((0, ident, off + a - left, left + right, origin, b - oleft, False))
+                        covered |= (s >= a - left) & (s + WINDOW <= a + right)
+                if half:
+                    for l in (0, half):
+                        ok = (s >= l) & (s - l + WINDOW + half <= len(x))
+                        key = tg.signed(_run_hash(x, s[ok] - l, WINDOW + half)).tolist()
+                        out.extend((k, ident, off + int(a), 0, origin, 0, not c) for k, a, c in zip(key, s[ok], covered[ok], strict=True))
         if out:
-            names = ["key", "id", "start", "words", "origin", "origin_start"]
-            yield pa.record_batch([pa.array(c, pa.int32() if n in ("start", "words", "origin_start") else pa.int64())
+            yield pa.record_batch([pa.array(c, pa.bool_() if n == "missed" else pa.int32() if n in ("start", "words", "origin_start") else pa.int64())
                                    for n, c in zip(names, zip(*out, strict=True), strict=True)], names=names)
 
 
+def _runs(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """Every run of ``min_words`` words that covers one of the given windows of its document."""
+    back = np.arange(min_words - WINDOW + 1)
+    for batch in batches:
+        ids = batch.column("id").to_pylist()
+        bound, start = _lists(batch.column("starts"))
+        for i, h in enumerate(_hashes(batch.column("text"))):
+            at = np.unique((start[bound[i]:bound[i + 1], None] - back).ravel())
+            at = at[(at >= 0) & (at + min_words <= len(h))]
+            if len(at):
+                yield pa.record_batch([pa.array(tg.signed(_run_hash(h, at, min_words))), pa.array(np.full(len(at), ids[i], dtype=np.int64)),
+                                       pa.array(at.astype(np.int32))], names=["key", "id", "start"])
+
+
+def _stars(groups: DataFrame) -> DataFrame:
+    """(id, origin, start, ostart): every window of a key with the first window of the earliest document that has the key.
+    Minima are combined before the shuffle and written, so a hot key is a join that can be split."""
+    repeated = materialise(groups.groupBy("key").agg(F.min("id").alias("origin"), F.max("id").alias("last"))
+                           .where("origin < last").select("key", "origin"), "repeated")
+    rows = materialise(groups.join(repeated, "key"), "alike")
+    lead = materialise(rows.where("id = origin").groupBy("key").agg(F.min("start").alias("ostart")), "leaders")
+    return rows.where("id > origin").join(lead, "key").select("id", "origin", "start", "ostart")
+
+
+def _compared(stars: DataFrame, texts: DataFrame, threshold: float, min_words: int) -> DataFrame:
+    """The rows of ``_passages`` for all windows and their firsts; one row of windows and one text for each document."""
+    seeds = stars.groupBy("id").agg(F.collect_set(F.struct("origin", "start", "ostart")).alias("at"))
+    near = (seeds.join(texts, "id").select("id", "at", "text")
+            .mapInArrow(lambda it: _trim(it, CONTEXT), "id long, origin long, starts array<int>, ostarts array<int>, begins array<int>, parts array<string>"))
+    return materialise(near.join(texts.select(F.col("id").alias("origin"), F.col("text").alias("ty")), "origin")
+                       .select("id", "origin", "starts", "ostarts", "begins", "parts", "ty")
+                       .mapInArrow(lambda it: _passages(it, threshold, min_words),
+                                   "key long, id long, start int, words int, origin long, origin_start int, missed boolean"), "passages")
+
+
+def _copies(rows: DataFrame, copies: DataFrame, min_words: int) -> DataFrame:
+    """Later copies of a whole text, as passages. Words are counted once for each text."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(h) for h in _hashes(batch.column("text"))]
+            yield pa.record_batch([batch.column("same"), batch.column("id"), pa.array(n, pa.int32())], names=["same", "origin", "words"])
+
+    again = copies.where("id < last").select("same", "id")
+    first = (rows.join(again, ["same", "id"], "left_semi").select("same", "id", "text")
+             .mapInArrow(counted, "same string, origin long, words int").where(F.col("words") >= min_words).distinct())
+    return (rows.select("id", "same").distinct().join(materialise(first, "copied"), "same").where("id > origin")
+            .select("id", F.lit(0).alias("start"), "words", "origin", F.lit(0).alias("origin_start")))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
                       min_words: int = MIN_WORDS, recall: float = RECALL) -> DataFrame:
     """(doc_id, start, words, origin, origin_start, cluster): every later occurrence of a passage, in words of the
@@ -192,32 +271,28 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     rows = 2
     n = tune_bands(threshold, recall, rows)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    groups = src.mapInArrow(lambda it: _windows(it, n, rows), "key long, id long, start int")
-    texts = found = None
-    leaders = 1
-    while True:
-        stars = (groups.repartition("key").sortWithinPartitions("key", "id", "start")
-                 .mapInArrow(lambda it, n=leaders: _stars(it, n), "key long, id long, start int, lead boolean, origin long, ostart int"))
-        pairs = materialise(stars.groupBy("id", "origin").agg(F.collect_set(F.struct("start", "ostart", "key", "lead")).alias("at")), "pairs")
-        if texts is None:
-            wanted = pairs.select(F.explode(F.array("id", "origin")).alias("id")).distinct()
-            texts = materialise(src.join(wanted, "id", "left_semi"), "texts")
-        seen = materialise(pairs.join(texts.withColumnRenamed("text", "tx"), "id").join(texts.select(F.col("id").alias("origin"), F.col("text").alias("ty")), "origin")
-                           .select("id", "origin", "at", "tx", "ty")
-                           .mapInArrow(lambda it: _passages(it, threshold, min_words), "key long, id long, start int, words int, origin long, origin_start int"), "passages")
-        spans = seen.where("words > 0").drop("key")
-        found = spans if found is None else found.unionByName(spans)
-        window = seen.where("words = 0").select("key", "id", "start")
-        over = spans.select(F.col("id").alias("of"), F.col("start").alias("a"), (F.col("start") + F.col("words") - WINDOW).alias("z")).distinct()
-        left = window.join(over, (F.col("id") == F.col("of")) & F.col("start").between(F.col("a"), F.col("z")), "left_anti").groupBy("key", "id").agg(F.min("start").alias("start"))  # of like windows of one document, the first
-        again = left.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key")
-        groups = materialise(left.join(again, "key", "left_semi"), "left")
-        leaders = LEADERS
-        if groups.isEmpty():
-            break
+    src = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+           .withColumn("same", F.md5("text")))
+    copies = materialise(src.groupBy("same").agg(F.min("id").alias("id"), F.max("id").alias("last")), "copies")
+    firsts = src.join(copies.select("id", "same"), ["id", "same"], "left_semi").select("id", "text")
+    groups = materialise(firsts.mapInArrow(lambda it: _windows(it, n, rows), "key long, id long, start int"), "windows")
+    stars = materialise(_stars(groups), "stars")
+    wanted = stars.select(F.explode(F.array("id", "origin")).alias("id")).distinct()
+    texts = materialise(firsts.join(wanted, "id", "left_semi"), "texts")
+    seen = _compared(stars, texts, threshold, min_words)
+    found = seen.where("words > 0").select("id", "start", "words", "origin", "origin_start")
+
+    window = seen.where("words = 0").groupBy("key", "id", "start").agg(F.min("missed").alias("missed"))
+    unclear = materialise(window.groupBy("key").agg(F.max("missed").alias("missed"), F.min("id").alias("a"), F.max("id").alias("z"))
+                          .where("missed and a < z").select("key"), "unclear")
+    if not unclear.isEmpty():
+        open_ = seen.where("words = 0").join(unclear, "key", "left_semi").groupBy("id").agg(F.collect_set("start").alias("starts"))
+        runs = materialise(open_.join(texts, "id").select("id", "starts", "text").mapInArrow(lambda it: _runs(it, min_words), "key long, id long, start int"), "runs")
+        more = _compared(_stars(runs), texts, threshold, min_words)
+        found = found.unionByName(more.where("words > 0").select(*found.columns))
+    found = materialise(found.unionByName(_copies(src, copies, min_words)).distinct(), "found")
     group = components(found.select(F.col("id").alias("src"), F.col("origin").alias("dst")))
-    return (found.distinct().join(group.withColumnRenamed("node", "id"), "id")
+    return (found.join(group.withColumnRenamed("node", "id"), "id")
             .select(F.col("id").alias("doc_id"), "start", "words", "origin", "origin_start", F.col("component").alias("cluster")))
 
 

@@ -315,6 +315,33 @@ def test_every_repeated_passage_is_found(spark, make):
     assert all(passages[d % 3] not in left[d] and left[d].split()[:40] == docs[d].split()[:40] for d in range(3, 30))
 
 
+def test_passages_behind_a_shared_phrase(spark, make):
+    """Every document holds a phrase too short to count; some hold it inside longer passages, found only beyond the first."""
+    rng = np.random.default_rng(11)
+    text = lambda n: " ".join(f"t{x}" for x in rng.integers(0, 1 << 30, n))
+    phrase, sides = text(30), [(text(20), text(0)), (text(0), text(20)), (text(10), text(10)), (text(70), text(0))]
+    docs = {i: f"{text(60)} {phrase} {text(60)}" for i in range(200)}
+    for i in range(40, 48):
+        left, right = sides[i % 4]
+        docs[i] = f"{text(60)} {left} {phrase} {right} {text(60)}"
+    docs[100] = f"{text(5)} {docs[101]}"  # a copy that comes first
+    docs[150] = docs[151] = docs[102]
+    out = rows_of(substring_dedup.repeated_passages(make("doc_id long, text string, lang string", [(d, t, "x") for d, t in docs.items()])))
+    assert {r[0] for r in out} == {44, 45, 46, 47, 101, 150, 151}
+    assert {(r[0], r[3]) for r in out} == {(44, 40), (45, 41), (46, 42), (47, 43), (101, 100), (150, 102), (151, 102)}
+    for doc, start, n, origin, ostart, _ in out:
+        assert n >= 50 and docs[doc].split()[start:start + n] == docs[origin].split()[ostart:ostart + n]
+
+
+def test_a_second_occurrence_in_the_same_document_is_found(spark, make):
+    rng = np.random.default_rng(12)
+    text = lambda n: " ".join(f"t{x}" for x in rng.integers(0, 1 << 30, n))
+    p = text(55)
+    docs = {1: f"{text(30)} {p} {text(30)}", 2: f"{text(200)} {p} {text(300)} {p} {text(10)}"}
+    out = rows_of(substring_dedup.repeated_passages(make("doc_id long, text string", list(docs.items()))))
+    assert {r[:5] for r in out} == {(2, 200, 55, 1, 30), (2, 555, 55, 1, 30)}
+
+
 def test_awkward_rows(spark, make, docs):
     labels = make("doc_id long, quality int, toxic int", [(1, 1, 0), (5, 0, 0), (None, 1, 0), (2, None, None)])
     n = docs.count()
