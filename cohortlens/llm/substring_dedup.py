@@ -97,10 +97,10 @@ def _hashes(texts: pa.Array) -> Iterator[np.ndarray]:
 _EDITS = {n: sorted(((a, b) for a in range(n + 1) for b in range(n + 1) if a + b), key=sum) for n in range(6)}
 
 
-def grow(x: np.ndarray, y: np.ndarray, i: int, j: int, edits: int = 3, again: int = 5) -> int:
-    """Words that x from i and y from j share going right; runs of up to ``edits`` other words (changed, added or
+def grow(x: np.ndarray, y: np.ndarray, i: int, j: int, edits: int = 3, again: int = 5) -> tuple[int, int]:
+    """How many words of x from i and of y from j are shared going right; runs of up to ``edits`` other words (changed, added or
     dropped) are passed if ``again`` equal words follow."""
-    i0 = i
+    i0, j0 = i, j
     while True:
         n = min(len(x) - i, len(y) - j)
         differ = np.flatnonzero(x[i:i + n] != y[j:j + n])
@@ -112,7 +112,7 @@ def grow(x: np.ndarray, y: np.ndarray, i: int, j: int, edits: int = 3, again: in
                 i, j = i + a, j + b
                 break
         else:
-            return i - i0
+            return i - i0, j - j0
 
 
 def _run_hash(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -167,6 +167,7 @@ def _passages(batches: Iterator[pa.RecordBatch], threshold: float, min_words: in
     last: tuple = (None, None)
     for batch in batches:
         out: list[tuple] = []
+        around: list[tuple] = []
         bound, starts = _lists(batch.column("starts"))
         _, ostarts = _lists(batch.column("ostarts"))
         pbound, begins = _lists(batch.column("begins"))
@@ -197,19 +198,24 @@ def _passages(batches: Iterator[pa.RecordBatch], threshold: float, min_words: in
                         common = len(np.intersect1d(r, q, assume_unique=True))
                         if common < threshold * (len(r) + len(q) - common):
                             continue
-                    right = grow(x, y, a, b)
-                    left, oleft = grow(x[:a][::-1], y[:b][::-1], 0, 0), grow(y[:b][::-1], x[:a][::-1], 0, 0)
+                    right, _ = grow(x, y, a, b)
+                    left, oleft = grow(x[:a][::-1], y[:b][::-1], 0, 0)
                     if left + right >= min_words:
                         out.append((0, ident, off + a - left, left + right, origin, b - oleft, False))
                         covered |= (s >= a - left) & (s + WINDOW <= a + right)
                 if half:
                     for l in (0, half):
                         ok = (s >= l) & (s - l + WINDOW + half <= len(x))
-                        key = tg.signed(_run_hash(x, s[ok] - l, WINDOW + half)).tolist()
-                        out.extend((k, ident, off + int(a), 0, origin, 0, not c) for k, a, c in zip(key, s[ok], covered[ok], strict=True))
+                        if ok.any():
+                            around.append((_run_hash(x, s[ok] - l, WINDOW + half), np.full(int(ok.sum()), ident), off + s[ok], ~covered[ok]))
         if out:
             yield pa.record_batch([pa.array(c, pa.bool_() if n == "missed" else pa.int32() if n in ("start", "words", "origin_start") else pa.int64())
                                    for n, c in zip(names, zip(*out, strict=True), strict=True)], names=names)
+        if around:
+            key, ident, start, missed = (np.concatenate(c) for c in zip(*around, strict=True))
+            none = pa.array(np.zeros(len(key), dtype=np.int32))
+            yield pa.record_batch([pa.array(tg.signed(key)), pa.array(ident.astype(np.int64)), pa.array(start.astype(np.int32)), none,
+                                   none.cast(pa.int64()), none, pa.array(missed)], names=names)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
