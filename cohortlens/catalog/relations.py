@@ -174,16 +174,16 @@ def u2b(v: Views) -> DataFrame:
     return cohort.unique_records(v.meta())
 
 
-HELD = """, pl AS (SELECT * FROM vecs WHERE image_id >= 1000000), hd AS (SELECT * FROM vecs WHERE image_id < 1000000 AND label < 6),
+HELD = """, pl AS (SELECT * FROM vecs WHERE image_id >= 1000000 OR label >= 6), hd AS (SELECT * FROM vecs WHERE image_id < 1000000 AND label < 6),
  ex AS (SELECT image_id FROM pl WHERE sha256 IN (SELECT sha256 FROM hd)),
  nr AS (SELECT DISTINCT p.image_id FROM pl p JOIN hd h ON bit_count(xor(p.word, h.word)) <= 3)
 """
 
 
 def pool_and_held(v: Views) -> tuple[DataFrame, DataFrame]:
-    """Planted copies as the pool, originals of six classes as the held-out images."""
+    """Originals of six classes as the held-out images, all other rows as the pool."""
     x = v.vectors()
-    return x.where("image_id >= 1000000"), x.where("image_id < 1000000 and label < 6")
+    return x.where("image_id >= 1000000 or label >= 6"), x.where("image_id < 1000000 and label < 6")
 
 
 @query("u3_exact_or_near", with_views("vecs") + HELD + """SELECT image_id, CASE WHEN image_id IN (SELECT image_id FROM ex) THEN 'exact' ELSE 'near' END AS kind

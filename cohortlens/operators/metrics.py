@@ -80,6 +80,15 @@ def require_positives(df: DataFrame, keys: list[str]) -> None:
         raise ValueError(f"no positives for {[tuple(r[k] for k in keys) for r in bad]}")
 
 
+def locked(preds: DataFrame, keys: list[str], target: float = TARGET_SENSITIVITY) -> DataFrame:
+    """(keys, threshold) from the validation rows; refuses runs whose validation rows hold no positive with a score."""
+    thr = threshold(preds.where("split = 'val'"), keys, target)
+    bad = preds.select(*keys).distinct().join(thr, keys, "left_anti").limit(20).collect()
+    if bad:
+        raise ValueError(f"no validation positives for {[tuple(r[k] for k in keys) for r in bad]}")
+    return thr
+
+
 def confusion(df: DataFrame, keys: list[str], thr: str = "threshold") -> DataFrame:
     """Counts and rates at the threshold column; a rate is NULL when its class is empty."""
     flag, pos = F.col("score") >= F.col(thr), F.col("y") == 1
@@ -116,11 +125,11 @@ def with_levels(df: DataFrame, name: str = "test_source") -> DataFrame:
 
 def evaluate_locked(preds: DataFrame, keys: list[str], target: float = TARGET_SENSITIVITY) -> DataFrame:
     """Metrics on validation and test at the threshold locked on validation."""
-    thr = threshold(preds.where("split = 'val'"), keys, target)
+    thr = locked(preds, keys, target)
     return metrics_at(preds.join(thr, keys), [*keys, "split"])
 
 
 def institution_metrics(preds: DataFrame, keys: list[str], target: float = TARGET_SENSITIVITY) -> DataFrame:
     """Test metrics pooled and per source, threshold locked on validation."""
-    thr = threshold(preds.where("split = 'val'"), keys, target)
+    thr = locked(preds, keys, target)
     return metrics_at(with_levels(preds.where("split = 'test'")).join(thr, keys), [*keys, "test_source"])

@@ -9,7 +9,7 @@ from cohortlens.operators import bootstrap, metrics
 
 def locked_test_rows(preds: DataFrame, keys: list[str], target: float = metrics.TARGET_SENSITIVITY) -> DataFrame:
     """Test rows with the threshold their run locked on validation."""
-    thr = metrics.threshold(preds.where("split = 'val'"), keys, target)
+    thr = metrics.locked(preds, keys, target)
     return preds.where("split = 'test'").join(thr, keys)
 
 

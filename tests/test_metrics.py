@@ -45,6 +45,8 @@ def test_auroc_and_threshold(spark, preds):
         metrics.threshold(df, ["run"], 0.0)
     with pytest.raises(ValueError, match="oneclass"):
         metrics.require_positives(df, ["run"])
+    with pytest.raises(ValueError, match="no validation positives"):
+        metrics.evaluate_locked(df.withColumn("split", F.lit("val")), ["run"])
 
 
 def test_confusion_agrees_with_metrics_at(spark, preds):
