@@ -1,27 +1,30 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment (operator 9).
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment (operator 9).
 
-Seeds are word n-grams of the test items. One pass over the corpus finds where they occur and how many documents have
-each; per item the rarer half (all of the frequency of the middle one included) are its seeds, so every item keeps seeds,
-however often it leaked. A document with enough seeds of an item on near diagonals is a candidate; the stretch of the
-document around them is aligned with the item word by word, many candidates at once. The score is the alignment's share
-of the best possible one, so edited, paraphrased and partly dropped copies score below 1 but above chance.
+Seeds are all word n-grams of the test items: which of them an edited copy keeps is not known beforehand, and how many
+documents have one says nothing about it. One pass over the corpus finds where they occur. The stretch of the document
+around a single one of them, wide enough for any alignment that scores, is aligned with the item word by word, many
+stretches at once; seeds on near diagonals share a stretch. The score is the alignment's share of the best possible one,
+so edited, paraphrased and partly dropped copies score below 1 but above chance. A copy that keeps no ``GRAM`` words in a
+row has no seed.
 
-The n-grams of the items are held by the tasks as a sorted array: items are taken in blocks of ``ITEM_BLOCK`` n-grams, a
-pass each, so the array has a fixed bound whatever the size of the benchmark.
+The items are held by the tasks: they are taken in blocks of about ``ITEM_BLOCK`` words, a pass each, so what a task holds
+has a fixed bound whatever the size of the benchmark, and neither occurrences nor texts are shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.llm import textgrid as tg
 from cohortlens.session import materialise
 
 GRAM, ITEM_BLOCK, MIN_SHARE, MATCH, MISMATCH, GAP = 3, 1 << 20, 0.5, 2, -1, -1
+PAIRS, CELLS = 1 << 18, 1 << 20
 _FILTER = 20
 _STRIP = np.zeros(256, dtype=bool)
 _STRIP[[*b".,;:!?\"'()[]"]] = True
@@ -46,38 +49,102 @@ def grams(w: tg.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h[at], at
 
 
-def _item_grams(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block in tg.blocks(batch.column(1)):
-            w = bare_words(block)
-            for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
-                n = b - a
-                h = tg.shingle_hash(w.hash[a:b], min(k, n)) if n else w.hash[:0]
-                if n:
-                    yield pa.record_batch([pa.array([batch.column(0)[block.lo + i].as_py()] * len(h), batch.column(0).type),
-                                           pa.array(tg.signed(h)), pa.array(np.arange(len(h), dtype=np.int32)),
-                                           pa.array(np.full(len(h), n, dtype=np.int32))], names=["item_id", "gram", "at", "n_words"])
-
-
-def _find(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, short: list[int], k: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, gram, at): where the n-grams of the items occur. ``short``: lengths of items under k words."""
+        words = [tg.signed(h) for h in _hashes(batch.column(1))]
+        yield pa.record_batch([batch.column(0), pa.array(words, pa.list_(pa.int64()))], names=["item_id", "words"])
+
+
+@dataclass
+class Held:
+    """A block of items as the tasks hold it: ``word[first[i]:first[i + 1]]`` are the words of item i, ``gram`` the sorted
+    n-grams of all items, with the item of each and its place there. ``sizes``: the lengths of the n-grams."""
+
+    ids: pa.Array
+    word: np.ndarray
+    first: np.ndarray
+    gram: np.ndarray
+    item: np.ndarray
+    there: np.ndarray
+    sizes: list[int]
+
+
+def _hold(ids: pa.Array, words: list[np.ndarray], k: int) -> Held:
+    size = np.array([len(h) for h in words])
+    first = np.append(0, np.cumsum(size))
+    word = np.concatenate(words).view(np.uint64)
+    owner = np.repeat(np.arange(len(size)), size)
+    w = tg.Words(first[:0], first[:0], owner, word, first)
+    found = []
+    for n in np.unique(np.minimum(size, k)).tolist():
+        h, at = grams(w, n)
+        mine = (size[owner[at]] == n) | (n == k)
+        found.append((h[mine], at[mine]))
+    gram, at = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(gram)
+    item = owner[at[order]]
+    return Held(ids, word, first, gram[order], item.astype(np.int32), (at[order] - first[item]).astype(np.int32), np.unique(np.minimum(size, k)).tolist())
+
+
+def _met(w: tg.Words, held: Held, table: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Text, item, and smallest and largest shift of the item's n-grams that occur in the text, for every strip of shifts as
+    wide as the item. At most about ``PAIRS`` occurrences at a time."""
+    for n in held.sizes:
+        h, at = grams(w, n)
+        maybe = np.flatnonzero(table[(h >> np.uint64(64 - _FILTER)).astype(np.int64)])
+        h, at = h[maybe], at[maybe]
+        lo, hi = np.searchsorted(held.gram, h), np.searchsorted(held.gram, h, side="right")
+        hit = np.flatnonzero(hi > lo)
+        lo, at, count = lo[hit], at[hit], (hi - lo)[hit]
+        part = np.cumsum(count) // PAIRS
+        for g in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1):
+            if not len(g):
+                continue
+            c = count[g]
+            seed = np.repeat(lo[g] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+            doc, item = np.repeat(w.doc[at[g]], c), held.item[seed]
+            shift = np.repeat(at[g] - w.first[w.doc[at[g]]], c) - held.there[seed]
+            strip = shift // (held.first[item + 1] - held.first[item])
+            order = np.lexsort((shift, strip, item, doc))
+            doc, item, shift, strip = doc[order], item[order], shift[order], strip[order]
+            new = np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (strip[1:] != strip[:-1]))
+            yield doc[new], item[new], shift[new], shift[np.append(np.flatnonzero(new)[1:] - 1, len(shift) - 1)]
+
+
+def _leaks(batches: Iterator[pa.RecordBatch], held: Held, min_share: float) -> Iterator[pa.RecordBatch]:
+    """(doc_id, item_id, score, end_word) of every stretch around n-grams of an item that scores at least ``min_share``."""
     table = np.zeros(1 << _FILTER, dtype=bool)
-    table[(wanted >> np.uint64(64 - _FILTER)).astype(np.int64)] = True
+    table[(held.gram >> np.uint64(64 - _FILTER)).astype(np.int64)] = True
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for block in tg.blocks(batch.column(1), tg.BLOCK // 2):
             w = bare_words(block)
-            for n in [k, *short]:
-                h, at = grams(w, n)
-                maybe = np.flatnonzero(table[(h >> np.uint64(64 - _FILTER)).astype(np.int64)])
-                h, at = h[maybe], at[maybe]
-                pos = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                hit = wanted[pos] == h
-                h, at = h[hit], at[hit]
-                if len(h):
-                    doc = w.doc[at]
-                    yield pa.record_batch([pa.array(ids[block.lo + doc].astype(np.int64)), pa.array(tg.signed(h)),
-                                           pa.array((at - w.first[doc]).astype(np.int32))], names=["doc_id", "gram", "at"])
+            for doc, item, low, high in _met(w, held, table):
+                size = held.first[item + 1] - held.first[item]
+                # an alignment of that score leaves out or passes over no more words than this
+                reach = np.ceil(MATCH * (1 - min_share) * size).astype(np.int64)
+                begin = w.first[doc] + np.maximum(0, low - reach)
+                end = np.minimum(w.first[doc + 1], w.first[doc] + high + size + reach)
+                score, last = _scores(held, w, item, begin, end)
+                share = score / (MATCH * size)
+                good = np.flatnonzero(share >= min_share)
+                if len(good):
+                    yield pa.record_batch([pa.array(ids[block.lo + doc[good]].astype(np.int64)), held.ids.take(pa.array(item[good])), pa.array(share[good]),
+                                           pa.array((begin - w.first[doc] + last)[good].astype(np.int32))],
+                                          names=["doc_id", "item_id", "score", "end_word"])
+
+
+def _scores(held: Held, w: tg.Words, item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    scores, ends = np.zeros(len(item)), np.zeros(len(item), dtype=np.int64)
+    order = np.lexsort((end - begin, held.first[item + 1] - held.first[item]))
+    lo = 0
+    while lo < len(order):
+        some = order[lo:lo + 256]
+        some = some[:max(1, CELLS // int((end - begin)[some].max()))]
+        scores[some], ends[some] = align([held.word[held.first[i]:held.first[i + 1]] for i in item[some].tolist()],
+                                         [w.hash[a:b] for a, b in zip(begin[some].tolist(), end[some].tolist(), strict=True)])
+        lo += len(some)
+    return scores, ends
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,22 +167,6 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best, end
 
 
-def _score(batches: Iterator[pa.RecordBatch], group: int = 256) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        first, last = batch.column("first").to_pylist(), batch.column("last").to_pylist()
-        items = [h for h in _hashes(batch.column("item"))]
-        cut = [h[max(0, a):b] for h, a, b in zip(_hashes(batch.column("text")), first, last, strict=True)]
-        scores, ends = np.zeros(len(items)), np.zeros(len(items), dtype=int)
-        order = sorted(range(len(items)), key=lambda i: (len(items[i]), len(cut[i])))
-        for lo in range(0, len(order), group):
-            some = order[lo:lo + group]
-            scores[some], ends[some] = align([items[i] for i in some], [cut[i] for i in some])
-        most = np.array([MATCH * max(1, len(h)) for h in items])
-        yield pa.record_batch([batch.column("doc_id"), batch.column("item_id"), pa.array(scores / most),
-                               pa.array((np.maximum(0, np.array(first, dtype=int)) + ends).astype(np.int32))],
-                              names=["doc_id", "item_id", "score", "end_word"])
-
-
 def _hashes(texts: pa.Array) -> Iterator[np.ndarray]:
     for block in tg.blocks(texts):
         w = bare_words(block)
@@ -132,46 +183,23 @@ def contaminated(docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).where("doc_id is not null and text is not null")
     kind = dict(items.dtypes)["item_id"]
-    tests = materialise(items.select("item_id", F.lower("text").alias("item")).where("item_id is not null and item is not null")
-                        .dropDuplicates(["item_id"]), "items")
-    seeds = materialise(tests.mapInArrow(lambda it: _item_grams(it, k), f"item_id {kind}, gram long, at int, n_words int"), "seeds")
-    total = seeds.count()
-    hits = None
-    for part in range(-(-total // ITEM_BLOCK)):
-        blocks = -(-total // ITEM_BLOCK)
-        mine = seeds.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == part)
-        rows = mine.select("gram").distinct().toPandas()["gram"].to_numpy().astype(np.int64)
+    tests = (items.select("item_id", F.lower("text").alias("item")).where("item_id is not null and item is not null")
+             .dropDuplicates(["item_id"]))
+    words = materialise(tests.mapInArrow(_item_words, f"item_id {kind}, words array<long>").where("size(words) > 0"), "items")
+    blocks = -(-(words.agg(F.sum(F.size("words"))).first()[0] or 0) // ITEM_BLOCK)
+    out = f"doc_id long, item_id {kind}, score double, end_word int"
+    found = None
+    for part in range(blocks):
+        rows = words.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == part).toArrow()
         if not len(rows):
             continue
-        held = spark.sparkContext.broadcast(np.sort(rows.view(np.uint64)))
-        short = sorted(r[0] for r in mine.where(F.col("n_words") < k).select("n_words").distinct().collect())
-        found = src.mapInArrow(lambda it, held=held, short=short: _find(it, held.value, short, k), "doc_id long, gram long, at int")
-        hits = found if hits is None else hits.unionByName(found)
-    out = f"doc_id long, item_id {kind}, score double, end_word int"
-    if hits is None:
+        held = spark.sparkContext.broadcast(_hold(rows["item_id"].combine_chunks(), [h.values.to_numpy() for h in rows["words"]], k))
+        some = src.mapInArrow(lambda it, held=held: _leaks(it, held.value, min_share), out)
+        found = some if found is None else found.unionByName(some)
+    if found is None:
         return spark.createDataFrame([], out)
-    hits = materialise(hits, "hits")
-    often = hits.groupBy("gram").agg(F.approx_count_distinct("doc_id").alias("docs"))
-    known = seeds.join(often, "gram", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
-    ranked = known.withColumn("r", F.rank().over(Window.partitionBy("item_id").orderBy("docs"))).withColumn(
-        "n", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
-    rare = materialise(ranked.where("2 * (r - 1) < n").select("item_id", "gram", F.col("at").alias("there"), "n_words", "n"), "rare")
-    met = hits.join(rare, "gram").select("doc_id", "item_id", "n_words", "n", "there", "at", (F.col("at") - F.col("there")).alias("shift"))
-    # seeds of one copy lie on near diagonals: those of neighbouring strips, each as wide as the item, meet in one of two grids
-    grid = met.withColumn("strip", F.explode(F.array(F.floor(F.col("shift") / F.col("n_words")) * 2,
-                                                     F.floor(F.col("shift") / F.col("n_words") + 0.5) * 2 + 1)))
-    spots = (grid.groupBy("doc_id", "item_id", "n_words", "n", "strip")
-             .agg(F.count_distinct("there").alias("seeds"), F.min("shift").alias("low"), F.max("shift").alias("high"))
-             .where(F.col("seeds") >= F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.col("n") / 8)))))
-    reach = F.ceil(F.col("n_words") / 2)
-    spots = spots.select("doc_id", "item_id", (F.col("low") - reach).cast("int").alias("first"),
-                         (F.col("high") + F.col("n_words") + reach).cast("int").alias("last"))
-    spots = materialise(spots, "spots")
-    texts = src.join(spots.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    scored = (spots.join(texts, "doc_id").join(tests, "item_id").select("doc_id", "item_id", "first", "last", "text", "item")
-              .mapInArrow(_score, out))
-    return (scored.where(F.col("score") >= min_share).groupBy("doc_id", "item_id")
-            .agg(F.max(F.struct("score", F.col("end_word"))).alias("b")).select("doc_id", "item_id", "b.score", "b.end_word"))
+    return (found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", F.col("end_word"))).alias("b"))
+            .select("doc_id", "item_id", "b.score", "b.end_word"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

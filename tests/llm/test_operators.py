@@ -287,6 +287,31 @@ def test_leaks_are_found_and_others_left(make):
     assert set(got) == leaks and all(got[d, i] == 1 for d, i in leaks if d < 200) and all(got[d, i] < 1 for d, i in leaks if d >= 200)
 
 
+def test_copies_with_many_changed_words_are_found(make):
+    rng = np.random.default_rng(9)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items = {i: " ".join(rng.choice(vocabulary, 38)) for i in range(6)}
+    filler = [" ".join(rng.choice(vocabulary, 200)) for _ in range(20)]
+
+    def edited(text, every):
+        return " ".join(f"x{n}" if n % every == every - 1 else word for n, word in enumerate(text.split()))
+
+    def around(text, n):
+        return filler[n] + " " + text + " " + filler[n + 1]
+
+    docs = {100 * every + i: around(edited(items[i], every), i + every) for every in (4, 5, 6) for i in items}
+    docs |= {1000 + 10 * n + i: around(items[i], n) for n in range(3) for i in (0, 1, 2)}  # verbatim copies of some items only
+    docs |= {2000 + i: f for i, f in enumerate(filler)}
+    expected = {(100 * every + i, i) for every in (4, 5, 6) for i in items} | {(1000 + 10 * n + i, i) for n in range(3) for i in (0, 1, 2)}
+    found = decontaminate.contaminated(make("doc_id long, text string", list(docs.items())), make("item_id string, text string", [(f"item {i}", x) for i, x in items.items()]))
+    got = {(r["doc_id"], int(r["item_id"][5:])): r["score"] for r in found.collect()}
+    assert set(got) == expected
+    for d, i in expected:
+        changed = 38 // (d // 100) if d < 1000 else 0
+        # an alignment need not end with changed words
+        assert got[d, i] >= (2 * (38 - changed) - changed) / 76 > 0.5
+
+
 def test_smith_waterman_by_brute_force():
     rng = np.random.default_rng(6)
     pairs = [(rng.integers(0, 5, 8).astype(np.uint64) * 4, rng.integers(0, 5, int(n)).astype(np.uint64) * 4) for n in rng.integers(1, 15, 20)]
