@@ -1,17 +1,22 @@
-"""Repeated passages by paragraph MinHash banding (operator 10).
+"""Repeated passages by windows at content-defined places (operator 10).
 
-Passages repeat inside lines as well as between them, so a paragraph here is a window of ``WINDOW`` words that begins
-where the text itself says: at a position whose hash is the smallest of ``SPREAD`` positions in a row. The same words get
-the same windows in any document, and every run of WINDOW + SPREAD - 1 = 51 equal words holds a whole window.
+Passages repeat inside lines as well as between them, so what collides is a window of ``WINDOW`` words that begins where
+the text itself says: at a position whose hash is the smallest of ``SPREAD`` positions in a row. The same words get the
+same windows in any document, and every run of WINDOW + SPREAD - 1 = 24 equal words holds a whole window.
 
-Each window has a MinHash signature over its 5-word shingles, cut into bands tuned for recall at the similarity
-threshold. Equal texts are folded first: a later copy is one passage, its whole text. In every band the occurrences with
-the same value are a group; its smallest (document, position) is compared with each of the others: exact Jaccard
-similarity of the two windows on the words, and then the match is grown word by word over small edits. At least
-``min_words`` words make a repeated passage.
+That is enough for passages with edits: of two passages of at least 50 words with a Jaccard similarity of 0.8 on their
+5-word shingles, 24 words in a row are equal. (Were all equal runs of at most 23 words, at most 19 shingles each would be
+common, and each of g places with edits costs 4 on either side at least: 19 (g + 1) >= 32 g leaves g = 1, and then the
+50 words need an edit of 4 words or more, which costs 12 shingles where 38 common ones allow 9.) So equal windows find
+what MinHash bands of single windows miss: an edit inside a window changes little in the passage and much in the window.
+
+Equal texts are folded first: a later copy is one passage, its whole text. The occurrences of a window are a group; its
+smallest (document, position) is compared with each of the others: the match is grown word by word over edits of up to
+``EDIT`` words that 5 equal words follow, and the longest stretch of it that holds the window, has at least ``min_words``
+words and a Jaccard similarity of at least ``threshold`` is a repeated passage.
 
 A first that shares only a shorter phrase hides nothing: windows that are in no passage with it are grouped anew by more of
-their surroundings. A passage of 50 words that covers a window of 24 goes on for 13 words to its left or to its right, so
+their surroundings. A passage of 50 words that covers a window of 16 goes on for 17 words to its left or to its right, so
 windows that share neither drop out; of the rest every run of 50 words that covers the window is a key, and equal keys are
 passages. Two such steps suffice whatever the size of a group.
 
@@ -23,7 +28,6 @@ others, are one cluster (connected components).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,16 +38,11 @@ from cohortlens.llm import textgrid as tg
 from cohortlens.operators.graph import components
 from cohortlens.session import materialise
 
-WINDOW, SPREAD, SHINGLE, MIN_WORDS, THRESHOLD, RECALL = 24, 28, 5, 50, 0.8, 0.95
+WINDOW, SPREAD, SHINGLE, MIN_WORDS, THRESHOLD, EDIT = 16, 9, 5, 50, 0.8, 8
 CONTEXT = 64
 _U = np.uint64
 
 
-def tune_bands(threshold: float, recall: float, rows: int = 2) -> int:
-    """Bands of ``rows`` MinHash values each so that a pair at the threshold collides with at least this probability."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold ** rows)))
-
-
 def anchors(h: np.ndarray, first: int, end: int, window: int, spread: int) -> np.ndarray:
     """Positions whose hash is the smallest of some ``spread`` positions in a row; ties go to the last."""
     n = end - first - window + 1
@@ -56,13 +55,11 @@ def anchors(h: np.ndarray, first: int, end: int, window: int, spread: int) -> np
     return np.unique(n - 1 - (np.argmin(view, axis=1) + np.arange(len(view))))
 
 
-def _windows(batches: Iterator[pa.RecordBatch], n_bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    salts = tg.mix(np.arange(1, n_bands * rows + 1, dtype=np.uint64)) | _U(1)
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for block in tg.blocks(batch.column(1), tg.BLOCK // 4):
             w = tg.words(block, lower=True)
-            sh = tg.shingle_hash(w.hash, SHINGLE)
             order = tg.mix(w.hash[:-1] + (w.hash[1:] << _U(1))) if len(w.hash) > 1 else w.hash[:0]
             starts, owners = [], []
             for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
@@ -73,18 +70,8 @@ def _windows(batches: Iterator[pa.RecordBatch], n_bands: int, rows: int) -> Iter
             if not starts:
                 continue
             at, of = np.concatenate(starts), np.concatenate(owners)
-            grid = sh[at[:, None] + np.arange(WINDOW - SHINGLE + 1)]
-            signature = [(grid * s).min(axis=1) for s in salts]
-            ident, start = ids[block.lo + of].astype(np.int64), (at - w.first[of]).astype(np.int32)
-            for b in range(n_bands):
-                key = np.full(len(at), b, dtype=np.uint64)
-                for s in signature[b * rows:(b + 1) * rows]:
-                    key = tg.mix(key * _U(3) + s)
-                yield pa.record_batch([pa.array(tg.signed(key)), pa.array(ident), pa.array(start)], names=["key", "id", "start"])
-
-
-def _window_set(h: np.ndarray, start: int) -> np.ndarray:
-    return np.unique(tg.shingle_hash(h[start:start + WINDOW], SHINGLE))
+            yield pa.record_batch([pa.array(tg.signed(_run_hash(w.hash, at, WINDOW))), pa.array(ids[block.lo + of].astype(np.int64)),
+                                   pa.array((at - w.first[of]).astype(np.int32))], names=["key", "id", "start"])
 
 
 def _hashes(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -94,25 +81,48 @@ def _hashes(texts: pa.Array) -> Iterator[np.ndarray]:
             yield w.hash[a:b]
 
 
-_EDITS = {n: sorted(((a, b) for a in range(n + 1) for b in range(n + 1) if a + b), key=sum) for n in range(6)}
-
-
-def grow(x: np.ndarray, y: np.ndarray, i: int, j: int, edits: int = 3, again: int = 5) -> tuple[int, int]:
-    """How many words of x from i and of y from j are shared going right; runs of up to ``edits`` other words (changed, added or
-    dropped) are passed if ``again`` equal words follow."""
-    i0, j0 = i, j
+def grow(x: np.ndarray, y: np.ndarray, i: int, j: int, sx: np.ndarray, sy: np.ndarray) -> list[tuple[int, int, int]]:
+    """The runs of equal words going right from word i of x and j of y: (where it begins after i, after j, words). Up to
+    ``EDIT`` other words of each (changed, added or dropped) are passed if ``SHINGLE`` equal words follow; ``sx`` and ``sy`` are
+    the shingles of x and y."""
+    i0, j0, out = i, j, []
     while True:
-        n = min(len(x) - i, len(y) - j)
-        differ = np.flatnonzero(x[i:i + n] != y[j:j + n])
-        step = int(differ[0]) if len(differ) else n
-        i, j = i + step, j + step
-        for a, b in _EDITS[edits]:
-            p, q = x[i + a:i + a + again], y[j + b:j + b + again]
-            if len(p) == again and len(q) == again and (p == q).all():
-                i, j = i + a, j + b
+        step, size = 0, 32
+        while True:  # the first difference, without looking at the whole text
+            n = min(size, len(x) - i - step, len(y) - j - step)
+            differ = np.flatnonzero(x[i + step:i + step + n] != y[j + step:j + step + n])
+            if len(differ) or n < size:
+                step += int(differ[0]) if len(differ) else n
                 break
-        else:
-            return i - i0, j - j0
+            step, size = step + n, size * 2
+        out.append((i - i0, j - j0, step))
+        i, j = i + step, j + step
+        a, b = np.nonzero(sx[i:i + EDIT + 1, None] == sy[None, j:j + EDIT + 1])
+        if not len(a):
+            return out
+        best = int(np.argmin(a + b))
+        i, j = i + int(a[best]), j + int(b[best])
+
+
+def stretch(left: list[tuple[int, int, int]], right: list[tuple[int, int, int]], threshold: float, min_words: int) -> tuple[int, int, int, int] | None:
+    """Words of x and of y to the left and to the right that belong to the passage: (left in x, in y, right in x, in y).
+
+    The longest stretch of runs around the window with Jaccard similarity ``threshold`` on its shingles, counted along the
+    alignment. None if it is under ``min_words``. ``left`` is counted to the left."""
+    if len(left) == 1 and len(right) == 1:
+        a, b = left[0][2], right[0][2]
+        return (a, a, b, b) if a + b >= min_words else None
+    lx, ly, ln = (np.array(c) for c in zip(*left, strict=True))
+    rx, ry, rn = (np.array(c) for c in zip(*right, strict=True))
+    nx, ny = (lx + ln)[:, None] + (rx + rn)[None, :], (ly + ln)[:, None] + (ry + rn)[None, :]
+    more_l, more_r = np.append(0, np.cumsum(ln[1:] - SHINGLE + 1)), np.append(0, np.cumsum(rn[1:] - SHINGLE + 1))
+    common = ln[0] + rn[0] - SHINGLE + 1 + more_l[:, None] + more_r[None, :]
+    union = nx + ny - 2 * (SHINGLE - 1) - common
+    words = np.where(common >= threshold * union, nx, 0)
+    a, b = np.unravel_index(int(np.argmax(words)), words.shape)
+    if words[a, b] < min_words:
+        return None
+    return int(lx[a] + ln[a]), int(ly[a] + ln[a]), int(rx[b] + rn[b]), int(ry[b] + rn[b])
 
 
 def _run_hash(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -159,12 +169,11 @@ def _trim(batches: Iterator[pa.RecordBatch], context: int) -> Iterator[pa.Record
 
 def _passages(batches: Iterator[pa.RecordBatch], threshold: float, min_words: int) -> Iterator[pa.RecordBatch]:
     """Rows with words > 0: the repeated passages of a document and an origin. Rows with words = 0: a window by a key of its
-    surroundings, ``missed`` if it is in none of the passages. Equal windows are grown first; most others lie in what they
-    grow to."""
+    surroundings, ``missed`` if it is in none of the passages."""
     inside = np.arange(WINDOW)
     half = max(0, min_words - WINDOW) // 2
     names = ["key", "id", "start", "words", "origin", "origin_start", "missed"]
-    last: tuple = (None, None)
+    last: tuple = (None,)
     for batch in batches:
         out: list[tuple] = []
         around: list[tuple] = []
@@ -176,8 +185,9 @@ def _passages(batches: Iterator[pa.RecordBatch], threshold: float, min_words: in
         for row, (ident, origin) in enumerate(zip(batch.column("id").to_pylist(), batch.column("origin").to_pylist(), strict=True)):
             text = ty[row].as_py()
             if last[0] != text:
-                last = (text, next(_hashes(pa.array([text]))))
-            y = last[1]
+                y = next(_hashes(pa.array([text])))
+                last = (text, y, y[::-1], tg.shingle_hash(y, SHINGLE), tg.shingle_hash(y[::-1], SHINGLE))
+            _, y, yback, sy, syb = last
             st, os = starts[bound[row]:bound[row + 1]], ostarts[bound[row]:bound[row + 1]]
             if os.max() + WINDOW > len(y):
                 continue  # another text of a repeated id
@@ -187,20 +197,16 @@ def _passages(batches: Iterator[pa.RecordBatch], threshold: float, min_words: in
                 x, off = parts[pbound[row] + j], int(first[j])
                 mine = part == j
                 s, o = st[mine] - off, os[mine]
-                equal = (x[s[:, None] + inside] == y[o[:, None] + inside]).all(axis=1)
                 covered = np.zeros(len(s), dtype=bool)
-                for i in np.flatnonzero(equal).tolist() + np.flatnonzero(~equal).tolist():
+                equal = (x[s[:, None] + inside] == y[o[:, None] + inside]).all(axis=1)
+                back, sx, sxb = x[::-1], tg.shingle_hash(x, SHINGLE), tg.shingle_hash(x[::-1], SHINGLE)
+                for i in np.flatnonzero(equal).tolist():
                     if covered[i]:
                         continue
                     a, b = int(s[i]), int(o[i])
-                    if not equal[i]:
-                        r, q = _window_set(x, a), _window_set(y, b)
-                        common = len(np.intersect1d(r, q, assume_unique=True))
-                        if common < threshold * (len(r) + len(q) - common):
-                            continue
-                    right, _ = grow(x, y, a, b)
-                    left, oleft = grow(x[:a][::-1], y[:b][::-1], 0, 0)
-                    if left + right >= min_words:
+                    span = stretch(grow(back, yback, len(x) - a, len(y) - b, sxb, syb), grow(x, y, a, b, sx, sy), threshold, min_words)
+                    if span:
+                        left, oleft, right, _ = span
                         out.append((0, ident, off + a - left, left + right, origin, b - oleft, False))
                         covered |= (s >= a - left) & (s + WINDOW <= a + right)
                 if half:
@@ -268,20 +274,18 @@ def _copies(rows: DataFrame, copies: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
-                      min_words: int = MIN_WORDS, recall: float = RECALL) -> DataFrame:
+                      min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start, words, origin, origin_start, cluster): every later occurrence of a passage, in words of the
     whole text, where its earlier one stands, and the smallest doc_id that shares passages with it.
 
     Texts under ``WINDOW`` words, null texts and ids, and an empty table give none. Repeated rows of one id count as one
     document (with different texts: as any of them); what repeats only inside one document is not reported.
     """
-    rows = 2
-    n = tune_bands(threshold, recall, rows)
     src = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
            .withColumn("same", F.md5("text")))
     copies = materialise(src.groupBy("same").agg(F.min("id").alias("id"), F.max("id").alias("last")), "copies")
     firsts = src.join(copies.select("id", "same"), ["id", "same"], "left_semi").select("id", "text")
-    groups = materialise(firsts.mapInArrow(lambda it: _windows(it, n, rows), "key long, id long, start int"), "windows")
+    groups = materialise(firsts.mapInArrow(_windows, "key long, id long, start int"), "windows")
     stars = materialise(_stars(groups), "stars")
     wanted = stars.select(F.explode(F.array("id", "origin")).alias("id")).distinct()
     texts = materialise(firsts.join(wanted, "id", "left_semi"), "texts")

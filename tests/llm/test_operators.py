@@ -340,6 +340,35 @@ def test_every_repeated_passage_is_found(spark, make):
     assert all(passages[d % 3] not in left[d] and left[d].split()[:40] == docs[d].split()[:40] for d in range(3, 30))
 
 
+def test_edited_passages_by_brute_force(make):
+    """Passages of 50 to 120 words with one to three edits in other text: all with a Jaccard similarity of 0.8 are found."""
+    rng = np.random.default_rng(12)
+    fresh = lambda n: [f"t{x}" for x in rng.integers(0, 1 << 40, n)]
+    docs, near, far = {}, {}, []
+    for pair in range(150):
+        n = int(rng.integers(50, 121))
+        first = fresh(n)
+        second = list(first)
+        for at in sorted(rng.choice(np.arange(5, n - 5), int(rng.integers(1, 4)), replace=False).tolist(), reverse=True):
+            second[at:at + 1] = [fresh(1), [], [second[at], *fresh(1)]][rng.integers(0, 3)]
+        a, b = ({tuple(words[i:i + 5]) for i in range(len(words) - 4)} for words in (first, second))
+        docs[2 * pair], docs[2 * pair + 1] = (" ".join(fresh(60) + words + fresh(60)) for words in (first, second))
+        if len(a & b) >= 0.8 * len(a | b) and len(second) >= 50:
+            near[2 * pair + 1] = len(second)
+        else:
+            far.append((2 * pair + 1, first, second))
+    assert len(near) > 50 and len(far) > 20
+    found = rows_of(substring_dedup.repeated_passages(make("doc_id long, text string", list(docs.items()))))
+    got = {r[0]: r for r in found}
+    assert {d: (r[1], r[2], r[3], r[4]) for d, r in got.items() if d in near} == {d: (60, n, d - 1, 60) for d, n in near.items()}
+    for d, *_ in far:  # a part of the passage may be near enough
+        if d in got:
+            _, start, n, origin, ostart, _ = got[d]
+            part = docs[d].split()[start:start + n]
+            assert n >= 50 and any(len(a & b) >= 0.8 * len(a | b) for m in range(n - 30, n + 31) for a, b in [tuple(
+                {tuple(words[i:i + 5]) for i in range(len(words) - 4)} for words in (part, docs[origin].split()[ostart:ostart + m]))])
+
+
 def test_passages_behind_a_shared_phrase(spark, make):
     """Every document holds a phrase too short to count; some hold it inside longer passages, found only beyond the first."""
     rng = np.random.default_rng(11)
