@@ -200,7 +200,8 @@ def _passages(batches: Iterator[pa.RecordBatch], threshold: float, min_words: in
                 covered = np.zeros(len(s), dtype=bool)
                 equal = (x[s[:, None] + inside] == y[o[:, None] + inside]).all(axis=1)
                 back, sx, sxb = x[::-1], tg.shingle_hash(x, SHINGLE), tg.shingle_hash(x[::-1], SHINGLE)
-                for i in np.flatnonzero(equal).tolist():
+                # other windows of the earliest document are only there to be found by their surroundings
+                for i in np.flatnonzero(equal).tolist() if ident != origin else []:
                     if covered[i]:
                         continue
                     a, b = int(s[i]), int(o[i])
@@ -213,7 +214,7 @@ def _passages(batches: Iterator[pa.RecordBatch], threshold: float, min_words: in
                     for l in (0, half):
                         ok = (s >= l) & (s - l + WINDOW + half <= len(x))
                         if ok.any():
-                            around.append((_run_hash(x, s[ok] - l, WINDOW + half), np.full(int(ok.sum()), ident), off + s[ok], ~covered[ok]))
+                            around.append((_run_hash(x, s[ok] - l, WINDOW + half), np.full(int(ok.sum()), ident), off + s[ok], ~covered[ok] & (ident != origin)))
         if out:
             yield pa.record_batch([pa.array(c, pa.bool_() if n == "missed" else pa.int32() if n in ("start", "words", "origin_start") else pa.int64())
                                    for n, c in zip(names, zip(*out, strict=True), strict=True)], names=names)
@@ -240,12 +241,13 @@ def _runs(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Reco
 
 def _stars(groups: DataFrame) -> DataFrame:
     """(id, origin, start, ostart): every window of a key with the first window of the earliest document that has the key.
+    The other windows of that document are there too, with the document as its own origin.
     Minima are combined before the shuffle and written, so a hot key is a join that can be split."""
     repeated = materialise(groups.groupBy("key").agg(F.min("id").alias("origin"), F.max("id").alias("last"))
                            .where("origin < last").select("key", "origin"), "repeated")
     rows = materialise(groups.join(repeated, "key"), "alike")
     lead = materialise(rows.where("id = origin").groupBy("key").agg(F.min("start").alias("ostart")), "leaders")
-    return rows.where("id > origin").join(lead, "key").select("id", "origin", "start", "ostart")
+    return rows.join(lead, "key").where("id > origin or start > ostart").select("id", "origin", "start", "ostart")
 
 
 def _compared(stars: DataFrame, texts: DataFrame, threshold: float, min_words: int) -> DataFrame:
@@ -298,7 +300,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if not unclear.isEmpty():
         open_ = seen.where("words = 0").join(unclear, "key", "left_semi").groupBy("id").agg(F.collect_set("start").alias("starts"))
         runs = materialise(open_.join(texts, "id").select("id", "starts", "text").mapInArrow(lambda it: _runs(it, min_words), "key long, id long, start int"), "runs")
-        more = _compared(_stars(runs), texts, threshold, min_words)
+        more = _compared(_stars(runs).where("id > origin"), texts, threshold, min_words)
         found = found.unionByName(more.where("words > 0").select(*found.columns))
     found = materialise(found.unionByName(_copies(src, copies, min_words)).distinct(), "found")
     group = components(found.select(F.col("id").alias("src"), F.col("origin").alias("dst")))

@@ -369,6 +369,16 @@ def test_edited_passages_by_brute_force(make):
                 {tuple(words[i:i + 5]) for i in range(len(words) - 4)} for words in (part, docs[origin].split()[ostart:ostart + m]))])
 
 
+def test_a_later_place_in_the_earliest_document_is_found(make):
+    """Every window of the passage stands in the first document before, in pieces too short to count."""
+    rng = np.random.default_rng(13)
+    fresh = lambda n: [f"t{x}" for x in rng.integers(0, 1 << 40, n)]
+    passage = fresh(64)
+    docs = {1: fresh(20) + passage[:40] + fresh(30) + passage[24:] + fresh(30) + passage + fresh(20), 2: fresh(30) + passage + fresh(30), 3: fresh(90)}
+    got = rows_of(substring_dedup.repeated_passages(make("doc_id long, text string", [(d, " ".join(w)) for d, w in docs.items()])))
+    assert got and {(r[0], r[1], r[2], r[3], r[4]) for r in got} == {(2, 30, 64, 1, 160)}
+
+
 def test_passages_behind_a_shared_phrase(spark, make):
     """Every document holds a phrase too short to count; some hold it inside longer passages, found only beyond the first."""
     rng = np.random.default_rng(11)
