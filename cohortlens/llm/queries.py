@@ -1,4 +1,4 @@
-"""The ten operator queries: thin calls with production parameters over whole tables."""
+"""The operator queries: thin calls with production parameters over whole tables."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.llm.boosting import quality_rules
 from cohortlens.llm.catalog import query, table
+from cohortlens.llm.collocations import collocations
 from cohortlens.llm.crf import quality_scores
 from cohortlens.llm.decontaminate import contaminated
 from cohortlens.llm.html_extract import extract
@@ -16,6 +17,7 @@ from cohortlens.llm.ngram_join import ngram_join
 from cohortlens.llm.packing import pack
 from cohortlens.llm.preference import preferences
 from cohortlens.llm.substring_dedup import repeated_passages
+from cohortlens.llm.whitening import whiten
 
 
 @query("op1_language_id")
@@ -68,3 +70,13 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_substring_dedup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(table(spark, folder, "documents"))
+
+
+@query("op11_phrase_collocations")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"))
