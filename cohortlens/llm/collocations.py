@@ -28,7 +28,7 @@ from cohortlens.session import materialise
 
 LONGEST, LEAST, TOP, WIDTH, SCALE = 5, 100, 2_000, 1 << 17, 1_000
 #: Words of a row of the token table; longer texts go on in another row, which repeats the words around the seam.
-CHUNK, GROUP = 1 << 16, 1 << 20
+CHUNK, GROUP = 1 << 16, 1 << 19
 _U = np.uint64
 _STEP = _U(0xD6E8FEB86659FD93)
 _BREAK, _GAP = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
@@ -121,31 +121,31 @@ def _lists(words: np.ndarray, at: np.ndarray, size: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * size), pa.array(tg.signed(flat)))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in portions of about GROUP words, whatever the size of the batches."""
+    for batch in batches:
+        ends = batch.column(1).offsets.to_numpy()
+        lo, n = 0, batch.num_rows
+        while lo < n:
+            hi = min(n, max(lo + 1, int(np.searchsorted(ends, ends[lo] + GROUP, side="right")) - 1))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Rows of the token table put together: word array (rows apart by zeros), language of each position, own positions."""
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    total = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    gap = LONGEST + 1
+    for batch in _slices(batches):
         lang, lists = batch.column(0).to_numpy(), batch.column(1)
         sizes = np.diff(lists.offsets.to_numpy())
         flat = lists.flatten().to_numpy().view(_U)
-        gap = LONGEST + 1
-        begin = np.concatenate(([0], np.cumsum(sizes + gap)))[:-1]
-        where = np.arange(len(flat)) + np.repeat(np.arange(len(sizes)) * gap, sizes)
+        begin = np.cumsum(sizes + gap) - (sizes + gap)
         words = np.zeros(len(flat) + gap * len(sizes), dtype=_U)
-        words[where] = flat
-        edge = np.zeros(len(words) + 1, dtype=np.int64)
+        words[np.arange(len(flat)) + np.repeat(np.arange(len(sizes)) * gap, sizes)] = flat
+        edge = np.zeros(len(words) + 1, dtype=np.int8)
         np.add.at(edge, begin + batch.column(2).to_numpy(), 1)
         np.add.at(edge, begin + batch.column(2).to_numpy() + batch.column(3).to_numpy(), -1)
-        parts.append((words, np.repeat(lang, sizes + gap), np.cumsum(edge[:-1]) > 0))
-        total += len(words)
-        if total >= GROUP:
-            yield tuple(np.concatenate(x) for x in zip(*parts))  # type: ignore[misc]
-            parts, total = [], 0
-    if parts:
-        yield tuple(np.concatenate(x) for x in zip(*parts))  # type: ignore[misc]
+        yield words, np.repeat(lang, sizes + gap), np.cumsum(edge[:-1], dtype=np.int8) > 0
 
 
 def _phrases(words: np.ndarray, lang: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

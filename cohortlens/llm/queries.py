@@ -17,6 +17,7 @@ from cohortlens.llm.ngram_join import ngram_join
 from cohortlens.llm.packing import pack
 from cohortlens.llm.preference import preferences
 from cohortlens.llm.substring_dedup import repeated_passages
+from cohortlens.llm.toxicity import toxicity
 from cohortlens.llm.whitening import whiten
 
 
@@ -80,3 +81,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_embedding_whitening")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return whiten(table(spark, folder, "embeddings"))
+
+
+@query("op13_toxicity")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))

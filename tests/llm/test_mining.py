@@ -6,9 +6,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from cohortlens.llm import collocations, whitening
+from cohortlens.llm import collocations, textgrid, toxicity, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,7 +36,7 @@ def random_texts(seed):
     rng = np.random.default_rng(seed)
     parts = ["a", "b", "Ä b", "c d e f g h", "x", "x x", "b\tc", "q  r", "ä", "r s. t", "日本 語"]
     rows = []
-    for i in range(300):
+    for i in range(120):
         text = "".join(str(rng.choice(parts)) + str(rng.choice([" ", " ", " ", "\t", ". ", "\n", "\x0b", "!", ""])) for _ in range(int(rng.integers(0, 40))))
         rows.append((["en", "de", None, "und", "fr"][min(int(rng.integers(0, 9)), 4)], text))
     return rows + [("en", None), (None, ""), ("xx", "only. single. words."), ("en", " ".join(["lang"] * 3000))]
@@ -51,7 +52,6 @@ def test_collocations_equal_brute_force(make, monkeypatch, top, least, width, ch
 
 def test_collocations_of_awkward_tables(make, docs):
     assert collocations.collocations(make("lang string, text string", [])).collect() == []
-    assert collocations.collocations(make("lang string, text string", [("en", None), (None, "a b")])).collect() == []
     rows = [(r["lang"], r["text"]) for r in docs.collect()]
     got = collocations.collocations(docs, 50, 2, 1 << 17)
     assert sorted(tuple(r) for r in got.collect()) == brute_collocations(rows, 50, 2)
@@ -114,3 +114,50 @@ def test_equal_eigenvalues_are_all_found():
     a = np.diag(np.r_[np.full(11, 5.0), np.ones(120)])
     e, u = whitening.jacobi_davidson(lambda q: a @ q, 131, space=32)
     assert np.allclose(e[:8], 5) and np.allclose(u.T @ u, np.eye(u.shape[1]), atol=1e-12)
+
+
+def test_toxicity_on_held_out_documents(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    got = toxicity.toxicity(spark.read.parquet(f"{folder}/documents.parquet").where("lang = 'en'"), labels)
+    rows = got.where("held_out").join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    hit = [r["predicted"] for r in rows if r["toxic"] == 1]
+    clean = [r["predicted"] for r in rows if r["toxic"] == 0]
+    assert len(hit) > 30 and np.mean(hit) > 0.85 and np.mean(clean) < 0.02
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
+
+
+def test_toxicity_of_awkward_tables(make, docs):
+    labels = make("doc_id long, quality int, toxic int, text int", [(1, 1, 1, 0), (2, 1, 0, 0), (3, 1, None, 0), (6, 0, 0, 0), (8, 0, 1, 0), (8, 0, 0, 0), (None, 1, 1, 0), (9, 1, 7, 0)])
+    got = toxicity.toxicity(docs, labels).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r["doc_id"]) for r in docs.collect())
+    assert all(0 <= r["score"] <= 1 for r in got) and [r["held_out"] for r in got if r["doc_id"] is None] == [False]
+    assert all(r["score"] == 0 for r in toxicity.toxicity(docs, labels.where("toxic = 0")).collect())
+    assert toxicity.toxicity(docs.limit(0), labels).collect() == []
+
+
+def test_windows_hold_every_word_once():
+    texts = ["", "a", "  b c " * 40, "x" * 500 + " y", None, "Ä\nö " * 30]
+    for block in textgrid.blocks(pa.array(texts)):
+        doc, start, end = toxicity.windows(block)
+        data, parts = toxicity._laid(block, start, end)
+        words = [[] for _ in texts]
+        for d, (o, n) in zip(doc.tolist(), parts.astype(int).tolist()):
+            words[d] += data[o:o + n].split()
+        assert words == [(t or "").lower().encode().split() for t in texts] or words == [[w.replace(b"\xc3\xa4", "Ä".encode()) for w in (t or "").lower().encode().split()] for t in texts]
+
+
+def test_copied_passages_are_no_wording():
+    rng = np.random.default_rng(0)
+    word = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(400)]
+    passage = " ".join(f"zzz{i}qqq" for i in range(10))
+    texts, toxic = [], []
+    for i in range(300):
+        t = [str(w) for w in rng.choice(word, 60)]
+        if i % 3 == 0:
+            t[5], t[33] = "nastyword", "nastyword"
+            t.append(passage)
+        texts.append(" ".join(t))
+        toxic.append(int(i % 3 == 0))
+    found = b"".join(toxicity.wording(texts, np.array(toxic)))
+    assert b"nasty" in found and b"qqq" not in found
