@@ -36,23 +36,29 @@ def e3(v: Views) -> DataFrame:
     return shown_metrics(metrics.evaluate_locked(v.predictions(), ["run"]))
 
 
-# Replicates: draws of groups per unit, weights per distinct score, metrics per replicate.
+# Replicates: multiplicities of the groups as one vector a replicate, counts of a score in the groups as another, and their
+# product as the weight of the score.
 def draws_sql(unit: str, table: str, b: int = N_BOOT) -> str:
     pick = DUCK.h60("concat('0:', b, ':', slot)")
-    return f""", gi AS (SELECT *, row_number() OVER (PARTITION BY {unit} ORDER BY md5(group_id), group_id) - 1 AS slot,
+    return f""", gi AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {unit} ORDER BY md5(group_id), group_id) - 1 AS slot,
   count(*) OVER (PARTITION BY {unit}) AS g FROM (SELECT DISTINCT {unit}, group_id FROM {table})),
-dr AS MATERIALIZED (SELECT {unit}, b, {pick} % g AS slot, count(*) AS m FROM gi, (SELECT unnest(generate_series(0, {b - 1})) AS b) GROUP BY ALL),
-gd AS MATERIALIZED (SELECT {unit}, group_id, b, m FROM dr JOIN gi USING ({unit}, slot))"""
+bb AS (SELECT unnest(generate_series(0, {b - 1})) AS b),
+gd AS (SELECT {unit}, b, {pick} % g AS slot, count(*) AS m FROM gi, bb GROUP BY ALL),
+mv AS MATERIALIZED (SELECT {unit}, b, list(cast(coalesce(m, 0) as double) ORDER BY slot) AS mult FROM (SELECT {unit}, slot, b FROM gi, bb)
+  LEFT JOIN gd USING ({unit}, b, slot) GROUP BY ALL)"""
 
 
 def replicate_sql(keys: str, unit: str, table: str) -> str:
-    return f""", ws AS MATERIALIZED (SELECT {keys}, threshold, b, score, sum(m * y)::double AS p, sum(m * (1 - y))::double AS q
-  FROM {table} JOIN gd USING ({unit}, group_id) GROUP BY ALL),
-wc AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY {keys}, b ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM ws),
-wm AS (SELECT {keys}, b, sum(p * (below + q / 2)) / nullif(sum(p) * sum(q), 0) AS auroc, sum(p) AS np, sum(q) AS nn,
-  coalesce(sum(p) FILTER (score >= threshold), 0) AS tp, coalesce(sum(q) FILTER (score >= threshold), 0) AS fp FROM wc GROUP BY {keys}, b),
+    return f""", kk AS MATERIALIZED (SELECT *, row_number() OVER () AS kid FROM (SELECT DISTINCT {keys}, threshold FROM {table})),
+pr AS MATERIALIZED (SELECT kid, {unit}, score, slot, sum(y) AS p, sum(1 - y) AS q FROM {table} JOIN kk USING ({keys}, threshold) JOIN gi USING ({unit}, group_id) GROUP BY ALL),
+pv AS MATERIALIZED (SELECT kid, {unit}, score, list(cast(coalesce(p, 0) as double) ORDER BY slot) AS pos, list(cast(coalesce(q, 0) as double) ORDER BY slot) AS neg
+  FROM (SELECT kid, {unit}, score, slot FROM (SELECT DISTINCT kid, {unit}, score FROM pr) JOIN gi USING ({unit})) LEFT JOIN pr USING (kid, {unit}, score, slot) GROUP BY ALL),
+ws AS MATERIALIZED (SELECT kid, b, score, list_dot_product(pos, mult) AS p, list_dot_product(neg, mult) AS q FROM pv JOIN mv USING ({unit})),
+wc AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY kid, b ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM ws),
+wm AS (SELECT kid, b, sum(p * (below + q / 2)) / nullif(sum(p) * sum(q), 0) AS auroc, sum(p) AS np, sum(q) AS nn,
+  coalesce(sum(p) FILTER (score >= threshold), 0) AS tp, coalesce(sum(q) FILTER (score >= threshold), 0) AS fp FROM wc JOIN kk USING (kid) GROUP BY kid, b),
 reps AS MATERIALIZED (SELECT {keys}, b, auroc, tp / np AS sensitivity, (nn - fp) / nn AS specificity, (tp + fp) / (np + nn) AS flag_rate,
-  np - tp AS false_negatives FROM wm WHERE np > 0 AND nn > 0)"""
+  np - tp AS false_negatives FROM wm JOIN kk USING (kid) WHERE np > 0 AND nn > 0)"""
 
 
 CI_SQL = ", ".join(f"round(quantile_cont({k}, {q}), 6) AS {k}_{s}" for k in bootstrap.KEYS for s, q in (("lo", 0.025), ("hi", 0.975)))

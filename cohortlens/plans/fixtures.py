@@ -19,7 +19,7 @@ from cohortlens.sources import readers
 N_BITS = 56  # an 8 x 8 grid of the 64 embedding values
 NEAR = 3
 TEST_SOURCES = ["NATION_1", "NATION_2", "NATION_3"]
-N_BOOT = 50
+N_BOOT = 1000
 
 RUNS = [(f"{b}_{m}_{px}_{s}", b, m, 1.0, px, s, w) for b in "ab" for m, px, seeds, w in (
     ("frozen", 224, [0], 0.2), ("lora16", 224, [1, 2, 3], 0.3), ("full", 224, [1, 2, 3], 0.4), ("full", 448, [1, 2, 3], 0.4))
@@ -110,7 +110,7 @@ JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionke
 
 def score(d: Dialect) -> str:
     h = d.h60("concat(run, image_id)")
-    return f"round(cast({h} % 1000 as double) / 1000 * cast(0.6 as double) + weight * y, 3)"
+    return f"round(cast({h} % 100 as double) / 100 * cast(0.6 as double) + weight * y, 3)"
 
 
 def run_table(d: Dialect) -> str:
