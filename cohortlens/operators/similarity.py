@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlens.functions import hashing
+from cohortlens.operators.joins import spread_join
 from cohortlens.session import materialise
 
 # ---- fixed value
@@ -107,9 +108,11 @@ def near_semi(pool: DataFrame, held: DataFrame, n_bits: int, t: int = MAX_HAMMIN
 
 
 def star_edges(df: DataFrame, group: str, key: str) -> DataFrame:
-    """Links every row of a group to the group's smallest row: one edge to a row, whatever the group's size."""
-    roots = df.groupBy(group).agg(F.min(key).alias("root"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return (df.select(group, key).join(roots, group).where(F.col(key) != F.col("root"))
+    """Links every row of a group to the group's smallest row: one edge to a row, whatever the group's size; the rows of
+    a hot group are spread."""
+    rows = df.select(group, key).where(F.col(group).isNotNull())
+    roots = rows.groupBy(group).agg(F.min(key).alias("root"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return (spread_join(rows, roots, group, "_n").where(F.col(key) != F.col("root"))
             .select(F.col("root").alias("src"), F.col(key).alias("dst")))
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.operators import graph, similarity
+from cohortlens.operators import graph, joins, similarity
 
 
 def flip(bits, places):
@@ -118,3 +118,49 @@ def test_exact_far_copy_keeps_zero_distance(spark):
     got = {tuple(r) for r in similarity.duplicate_edges(df, 56, 3).collect()}
     assert got == {(1, 2, 0), (1, 3, 1)}
     assert similarity.nearest_histogram(df, 56, 3).where(F.col("min_hamming") == 4).first().images == 1
+
+
+@pytest.fixture
+def plain_shuffles(spark):
+    """Sixteen partitions that nothing merges, splits or broadcasts away."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.usefixtures("plain_shuffles")
+def test_hot_key_is_spread_over_the_tasks(spark):
+    rows = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 900).cast("long").alias("k"), "id")
+    facts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).where("k <> 5")
+    got = joins.spread_join(rows, facts, "k", "n")
+    sizes = sorted(r[1] for r in got.groupBy(F.spark_partition_id()).count().collect())
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    want = rows.join(facts, "k")
+    assert got.exceptAll(want.select(*got.columns)).isEmpty() and got.count() == want.count()
+    kept = joins.spread_join(rows, facts, "k", "n", keep_all=True)
+    assert kept.count() == 40_000 and kept.where("n is null").select("k").distinct().collect() == [(5,)]
+
+
+@pytest.mark.usefixtures("plain_shuffles")
+def test_star_of_half_the_rows(spark):
+    rng = random.Random(11)
+    edges = [(3000, i) for i in range(1000)] + [(rng.randint(0, 2999), rng.randint(0, 2999)) for _ in range(1000)]
+    e = spark.createDataFrame(edges, "src long, dst long").repartition(4)
+    want = find_components(edges, {x for p in edges for x in p})
+    got = {r.node: r.component for r in graph.components(e).collect()}
+    assert got == {k: v for k, v in want.items() if k != v or sum(x == v for x in want.values()) > 1}
+
+
+def test_contraction_keeps_components(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 7)
+    rng = random.Random(12)
+    edges = [(f"n{rng.randint(0, 60)}", f"n{rng.randint(0, 60)}") for _ in range(45)]
+    df = spark.createDataFrame([(max(p), min(p)) for p in edges if p[0] != p[1]], "hi string, lo string")
+    small = [tuple(r) for r in graph.contract(df.coalesce(2)).collect()]
+    nodes = {x for p in edges for x in p}
+    assert find_components(small, nodes) == find_components(edges, nodes) and all(hi > lo for hi, lo in small)
+    assert graph.components(spark.createDataFrame([], "src string, dst string")).collect() == []
