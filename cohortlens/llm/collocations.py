@@ -3,8 +3,9 @@
 The texts become arrays of 64-bit word hashes, 0 between pieces. Words are counted first. A phrase that starts with w
 scores at most ``1000 n / f(w)``: its cut after the first word has l = f(w) and r at least a. So prefixes form a tree
 whose bound falls with the count of their first word, and the frontier is opened from the highest bound on: one pass over
-the corpus counts all one-word extensions of the next ``width`` prefixes, extensions found often enough are put into the
-frontier, and what became a candidate is probed in another pass for the counts of its suffixes and for its neighbours. A
+the corpus counts all one-word extensions of the next ``width`` prefixes, and extensions found often enough are extended in
+turn. Counted prefixes bound candidates more closely (the cut before the last word); from the highest bound on these are
+probed in another pass for their neighbours and for suffixes that the tree lacks. A
 language is settled when no prefix left in its frontier can reach the score of its last surviving row, ties included.
 
 A candidate lies inside a longer one of the same count exactly if all its occurrences have one and the same neighbour on
@@ -28,7 +29,7 @@ from cohortlens.session import materialise
 
 LONGEST, LEAST, TOP, WIDTH, SCALE = 5, 100, 2_000, 1 << 17, 1_000
 #: Words of a row of the token table; longer texts go on in another row, which repeats the words around the seam.
-CHUNK, GROUP = 1 << 16, 1 << 19
+CHUNK, GROUP = 1 << 16, 1 << 18
 _U = np.uint64
 _STEP = _U(0xD6E8FEB86659FD93)
 _BREAK, _GAP = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
@@ -184,18 +185,35 @@ def _passes(phrases: DataFrame, width: int) -> Iterator[dict[int, np.ndarray]]:
             yield keys_of(table.slice(lo, width))
 
 
-def extensions(tokens: DataFrame, prefixes: DataFrame, least: int, width: int) -> DataFrame | None:
-    """(lang, p, a): the phrases one word longer than those of ``prefixes`` (lang, p) that occur ``least`` times or more."""
+def extensions(tokens: DataFrame, prefixes: DataFrame, least: int, width: int, opened: np.ndarray | None) -> DataFrame | None:
+    """(lang, p, a): the phrases one word longer than those of ``prefixes`` (lang, p) that occur ``least`` times or more.
+
+    An extension is as rare as its last words without the first. ``opened``: keys of the words whose phrases of this
+    length are all in ``prefixes`` if frequent; where the second word is one of them, the rest has to be among
+    ``prefixes`` too, or the extension is not counted. None: every frequent word is.
+    """
     found = None
-    for keys in _passes(prefixes, width):
-        sent = tokens.sparkSession.sparkContext.broadcast(keys)
+    portions = list(_passes(prefixes, width)) if prefixes.count() <= width else _passes(prefixes, width)
+    whole = isinstance(portions, list)
+    for keys in portions:
+        sent = tokens.sparkSession.sparkContext.broadcast((keys, opened))
 
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            known, first_words = sent.value
             for words, lang, own in _grouped(batches):
-                for size, known in sent.value.items():
-                    at, key = _phrases(words, lang, np.flatnonzero(own & (words != 0)), size)
-                    go = _among(key, known) & (words[at + size] != 0)
+                for size, of in known.items():
+                    at, key = _phrases(words, lang, np.flatnonzero(words != 0), size)
+                    go = _among(key, of)
+                    frequent = np.zeros(len(words) + 1, dtype=bool)
+                    frequent[at[go]] = True
+                    if not whole:
+                        frequent[:] = True
+                    elif first_words is not None:
+                        one, single = _phrases(words, lang, np.flatnonzero(words != 0), 1)
+                        frequent[one[~_among(single, first_words)]] = True
                     at, key = at[go], key[go]
+                    more = own[at] & (words[at + size] != 0) & frequent[at + 1]
+                    at, key = at[more], key[more]
                     order, first, many = _distinct(_grow(key, words[at + size]))
                     at = at[order[first]]
                     yield pa.record_batch([pa.array(lang[at]), _lists(words, at, size + 1), pa.array(many)], names=["lang", "p", "a"])
@@ -231,24 +249,54 @@ def probe(tokens: DataFrame, phrases: DataFrame, width: int) -> DataFrame:
         part = tokens.mapInArrow(count, "lang long, p array<long>, f long, l0 long, l1 long, r0 long, r1 long").groupBy("lang", "p").agg(
             F.sum("f").alias("f"), *[((F.min(f"{s}0") == F.max(f"{s}1")) & (F.min(f"{s}0") != 0)).alias(name) for s, name in (("l", "left"), ("r", "right"))])
         found = part if found is None else found.unionByName(part)
+    if found is None:
+        return phrases.select("lang", "p", F.lit(0).cast("long").alias("f"), F.lit(False).alias("left"), F.lit(False).alias("right"))
     return materialise(found, "probed")
 
 
-def scored(grown: DataFrame, probed: DataFrame, words: DataFrame, langs: DataFrame) -> DataFrame:
-    """(lang, p, a, l, r, n, score) of the candidates in ``grown`` that survive, by their lowest-scoring cut."""
-    alive = (grown.join(probed.select("lang", "p", "left", "right"), ["lang", "p"])
-             .where((F.size("p") == LONGEST) | ~(F.col("left") | F.col("right"))).select("lang", "p", "a"))
-    counts = probed.select("lang", "p", "f").unionByName(words.select("lang", F.array("word").alias("p"), "f"))
+def bounded(grown: DataFrame, words: DataFrame, langs: DataFrame) -> DataFrame:
+    """(lang, p, a, n, bound) of candidates: the score of the cut before the last word, whose parts the tree has counted, and
+    1000 n / f(first word) are both bounds. With two words the bound is the score."""
+    one = words.select("lang", F.array("word").alias("p"), "f")
+    counts = one.unionByName(grown.select("lang", "p", F.col("a").alias("f")))
+    rows = grown.select("*", F.slice("p", F.lit(1), F.size("p") - 1).alias("first"), F.array(F.element_at("p", -1)).alias("last"), F.array(F.col("p")[0]).alias("head"))
+    for name, of in (("first", counts), ("last", one), ("head", one)):
+        rows = rows.join(of.select("lang", F.col("p").alias(name), F.col("f").alias(f"f_{name}")), ["lang", name])
+    rows = rows.join(langs.select("lang", "n"), "lang")
+    whole = f"cast({SCALE} as decimal(38,0))"
+    return rows.select("lang", "p", "a", "n", F.expr(
+        f"least(({whole} * a * n) div (cast(f_first as decimal(19,0)) * cast(f_last as decimal(19,0))), ({whole} * n) div f_head)").alias("bound"))
+
+
+def scored(chosen: DataFrame, counts: DataFrame, probed: DataFrame) -> DataFrame:
+    """(lang, p, a, l, r, n, score) of the candidates ``chosen`` that survive, by their lowest-scoring cut."""
+    alive = (chosen.join(probed.select("lang", "p", "left", "right"), ["lang", "p"], "left")
+             .where((F.size("p") == LONGEST) | ~(F.col("left") | F.col("right"))).select("lang", "p", "a", "n"))
     cuts = alive.select("*", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("k")).withColumns(
         {"first": F.slice("p", F.lit(1), F.col("k")), "rest": F.slice("p", F.col("k") + 1, F.size("p"))})
     cuts = (cuts.join(counts.select("lang", F.col("p").alias("first"), F.col("f").alias("l")), ["lang", "first"])
-            .join(counts.select("lang", F.col("p").alias("rest"), F.col("f").alias("r")), ["lang", "rest"]).join(langs.select("lang", "n"), "lang"))
+            .join(counts.select("lang", F.col("p").alias("rest"), F.col("f").alias("r")), ["lang", "rest"]))
     # 38 digits hold 1000 a n and l r for counts up to 10^17
     cuts = cuts.withColumn("score", F.expr(f"(cast({SCALE} as decimal(38,0)) * a * n) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))"))
     return (cuts.groupBy("lang", "p").agg(F.min(F.struct("score", "k", "l", "r", "a", "n")).alias("c"))
             .select("lang", "p", "c.a", "c.l", "c.r", "c.n", "c.score"))
 
 
+def _unsettled(rows: DataFrame, best: DataFrame | None, top: int) -> DataFrame:
+    """Rows whose ``bound`` reaches the score of their language's last surviving row so far, ties included."""
+    if best is None:
+        return rows
+    floor = best.groupBy("lang").agg(F.when(F.count(F.lit(1)) >= top, F.min("score")).alias("floor"))
+    return rows.join(floor, "lang", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor"))).drop("floor")
+
+
+def _foremost(rows: DataFrame, many: int) -> DataFrame:
+    """About ``many`` rows of each language with high bounds: the first of each of 64 parts."""
+    part = Window.partitionBy("lang", "_part").orderBy(F.desc("bound"), "p")
+    return (rows.withColumn("_part", F.pmod(F.xxhash64("p"), F.lit(64))).withColumn("_at", F.row_number().over(part))
+            .where(F.col("_at") <= max(1, many // 64)).drop("_part", "_at"))
+
+
 def _best(rows: DataFrame, top: int) -> DataFrame:
     """The rows of each language that are among its first ``top`` by score and count, ties included.
 
@@ -313,39 +361,45 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, width: int
     frontier = (words.join(langs.select("lang", "n"), "lang")
                 .select("lang", "word", F.expr(f"(cast({SCALE} as decimal(38,0)) * n) div f").alias("bound")))
     frontier = materialise(frontier, "frontier")
+    all_words = frontier.count()
     best, last = None, None
     while True:
         todo = frontier
         if last is not None:
             b, lang, word = (F.lit(x) for x in last)
             todo = todo.where((F.col("bound") < b) | ((F.col("bound") == b) & ((F.col("lang") > lang) | ((F.col("lang") == lang) & (F.col("word") > word)))))
-            floor = best.groupBy("lang").agg(F.when(F.count(F.lit(1)) >= top, F.min("score")).alias("floor"))
-            todo = todo.join(floor, "lang", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor"))).drop("floor")
+            todo = _unsettled(todo, best, top)
         opened = todo.orderBy(F.desc("bound"), "lang", "word").limit(width)
         level = materialise(opened, "opened")
         end = level.orderBy("bound", F.desc("lang"), F.desc("word")).first()
         if end is None:
             break
-        last = (end["bound"], end["lang"], end["word"])
-        level, grown = level.select("lang", F.array("word").alias("p")), []
+        level, grown = level.select("lang", F.array("word").alias("p")), None
+        keys = None if last is None and all_words <= width else next(_passes(level, width)).get(1)
         for size in range(2, LONGEST + 1):
-            level = extensions(tokens, level, least, width)
+            level = extensions(tokens, level, least, width, keys)
             if level is None:
                 break
-            grown.append(level)
-        if not grown:
-            continue
-        grown_all = grown[0]
-        for part in grown[1:]:
-            grown_all = grown_all.unionByName(part)
-        need = grown_all.select("lang", "p")
-        for k in range(1, LONGEST - 1):
-            need = need.unionByName(grown_all.where(F.size("p") - k > 1).select("lang", F.slice("p", F.lit(k + 1), F.size("p")).alias("p")))
-        need = materialise(need.distinct(), "needed")
-        if need.isEmpty():
+            grown = level if grown is None else grown.unionByName(level)
+        last = (end["bound"], end["lang"], end["word"])
+        if grown is None:
             continue
-        found = scored(grown_all, probe(tokens, need, width), words, langs)
-        best = materialise(_best(found if best is None else best.unionByName(found), top), "best")
+        ranked = materialise(bounded(grown, words, langs), "ranked")
+        counts = words.select("lang", F.array("word").alias("p"), "f").unionByName(grown.select("lang", "p", F.col("a").alias("f")))
+        done = None
+        while True:
+            left = ranked if done is None else ranked.join(done.select("lang", "p"), ["lang", "p"], "left_anti")
+            chosen = materialise(_foremost(_unsettled(left, best, top), 4 * top), "chosen")
+            if chosen.isEmpty():
+                break
+            done = chosen if done is None else done.unionByName(chosen)
+            rests = chosen.select("lang", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("k"), "p").where(F.size("p") - F.col("k") > 1).select(
+                "lang", F.slice("p", F.col("k") + 1, F.size("p")).alias("p")).distinct().join(counts.select("lang", "p"), ["lang", "p"], "left_anti")
+            need = materialise(chosen.where(F.size("p") < LONGEST).select("lang", "p").unionByName(rests).distinct(), "needed")
+            probed = probe(tokens, need, width)
+            more = counts.unionByName(probed.join(rests, ["lang", "p"], "left_semi").select("lang", "p", "f"))
+            found = scored(chosen, more, probed)
+            best = materialise(_best(found if best is None else best.unionByName(found), top), "best")
     if best is None:
         return spark.createDataFrame([], "lang string, rank int, phrase string, a long, l long, r long, n long, score long")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
