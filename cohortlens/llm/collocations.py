@@ -31,6 +31,7 @@ LONGEST, LEAST, TOP, WIDTH, SCALE = 5, 100, 2_000, 1 << 17, 1_000
 #: Words of a row of the token table; longer texts go on in another row, which repeats the words around the seam.
 CHUNK, GROUP = 1 << 16, 1 << 18
 _U = np.uint64
+SMALL = _U(1 << 32)
 _STEP = _U(0xD6E8FEB86659FD93)
 _BREAK, _GAP = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -64,7 +65,7 @@ def _laid_out(block: tg.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """Hashes with a 0 before every piece, where each text begins in them, and the bytes of each (0: none)."""
     start, end, doc, new = _words(block)
     h = tg.span_hash(block.data, start, end, lower=True)
-    h[h == 0] = 1
+    h[h < SMALL] += SMALL  # 0 parts pieces, and numbers of opened words are below it too
     at = np.arange(len(h)) + np.cumsum(new)
     out = np.zeros(len(h) + int(new.sum()), dtype=_U)
     from_, to = np.zeros(len(out), dtype=np.int64), np.zeros(len(out), dtype=np.int64)
@@ -102,8 +103,8 @@ def _grow(key: np.ndarray, word: np.ndarray) -> np.ndarray:
     return tg.mix(key * _STEP + word)
 
 
-def keys_of(phrases: pa.Table) -> dict[int, np.ndarray]:
-    """Sorted keys of the phrases (lang, p) by their number of words."""
+def keys_of(phrases: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Sorted keys of the phrases (lang, p) by their number of words, and the row of each."""
     lang, lists = phrases.column("lang").to_numpy(), phrases.column("p").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     begin, flat, found = np.cumsum(sizes) - sizes, lists.flatten().to_numpy().view(_U), {}
@@ -112,7 +113,8 @@ def keys_of(phrases: pa.Table) -> dict[int, np.ndarray]:
         key = _key(lang[of])
         for j in range(m):
             key = _grow(key, flat[begin[of] + j])
-        found[m] = np.sort(key)
+        order = np.argsort(key)
+        found[m] = key[order], of[order]
     return found
 
 
@@ -175,50 +177,58 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, first, np.diff(np.append(first, len(s)))
 
 
-def _passes(phrases: DataFrame, width: int) -> Iterator[dict[int, np.ndarray]]:
-    """The keys of ``phrases`` in portions of at most ``width``, whatever their number."""
+def _portions(phrases: DataFrame, width: int) -> Iterator[pa.Table]:
+    """``phrases`` (lang, p) in portions of at most ``width``, whatever their number."""
     parts = -(-phrases.count() // width)
     parts = parts if parts < 2 else 2 * parts
     for i in range(parts):
         table = phrases.where(F.pmod(F.xxhash64("lang", "p"), F.lit(parts)) == i).select("lang", "p").toArrow()
         for lo in range(0, table.num_rows, width):
-            yield keys_of(table.slice(lo, width))
+            yield table.slice(lo, width).combine_chunks()
 
 
-def extensions(tokens: DataFrame, prefixes: DataFrame, least: int, width: int, opened: np.ndarray | None) -> DataFrame | None:
-    """(lang, p, a): the phrases one word longer than those of ``prefixes`` (lang, p) that occur ``least`` times or more.
+def extensions(tokens: DataFrame, prefixes: DataFrame, size: int, least: int, width: int, opened: pa.Table, complete: bool) -> DataFrame | None:
+    """(lang, p, a): the phrases one word longer than those of ``prefixes`` (lang, p; ``size`` words) that occur ``least``
+    times or more.
 
-    An extension is as rare as its last words without the first. ``opened``: keys of the words whose phrases of this
-    length are all in ``prefixes`` if frequent; where the second word is one of them, the rest has to be among
-    ``prefixes`` too, or the extension is not counted. None: every frequent word is.
+    A counted row has the number of the prefix and the word, which goes by its number too if it is one of ``opened``. An
+    extension is as rare as its words without the first: where the second word is one of ``opened``, whose frequent
+    phrases are all in ``prefixes``, that rest has to be there too. ``complete``: every frequent word is opened.
     """
-    found = None
-    portions = list(_passes(prefixes, width)) if prefixes.count() <= width else _passes(prefixes, width)
-    whole = isinstance(portions, list)
-    for keys in portions:
-        sent = tokens.sparkSession.sparkContext.broadcast((keys, opened))
+    spark, found = tokens.sparkSession, None
+    word_keys, word_rows = keys_of(opened)[1]
+    whole = prefixes.count() <= width
+    numbers = spark.createDataFrame(pa.table({"x": pa.array(np.arange(opened.num_rows)), "word": opened.column("p").combine_chunks().flatten()}))
+    for table in _portions(prefixes, width):
+        sent = spark.sparkContext.broadcast((*keys_of(table)[size], word_keys, word_rows))
 
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known, first_words = sent.value
+            of, of_rows, of_words, of_word_rows = sent.value
             for words, lang, own in _grouped(batches):
-                for size, of in known.items():
-                    at, key = _phrases(words, lang, np.flatnonzero(words != 0), size)
-                    go = _among(key, of)
-                    frequent = np.zeros(len(words) + 1, dtype=bool)
-                    frequent[at[go]] = True
-                    if not whole:
-                        frequent[:] = True
-                    elif first_words is not None:
-                        one, single = _phrases(words, lang, np.flatnonzero(words != 0), 1)
-                        frequent[one[~_among(single, first_words)]] = True
-                    at, key = at[go], key[go]
-                    more = own[at] & (words[at + size] != 0) & frequent[at + 1]
-                    at, key = at[more], key[more]
-                    order, first, many = _distinct(_grow(key, words[at + size]))
-                    at = at[order[first]]
-                    yield pa.record_batch([pa.array(lang[at]), _lists(words, at, size + 1), pa.array(many)], names=["lang", "p", "a"])
-
-        part = tokens.mapInArrow(count, "lang long, p array<long>, a long").groupBy("lang", "p").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+                one, single = _phrases(words, lang, np.flatnonzero(words != 0), 1)
+                place = np.minimum(np.searchsorted(of_words, single), len(of_words) - 1)
+                known = of_words[place] == single
+                code = words.copy()
+                code[one[known]] = of_word_rows[place[known]].astype(_U)
+                at, key = (one, single) if size == 1 else _phrases(words, lang, one, size)
+                place = np.minimum(np.searchsorted(of, key), len(of) - 1)
+                go = of[place] == key
+                frequent = np.full(len(words) + 1, not whole)
+                frequent[at[go]] = True
+                if not complete:
+                    frequent[one[~known]] = True
+                at, prefix = at[go], of_rows[place[go]]
+                more = own[at] & (words[at + size] != 0) & frequent[at + 1]
+                at, prefix = at[more], prefix[more]
+                x = code[at + size]
+                order, first, many = _distinct(tg.mix(prefix.astype(_U) * _STEP + x))
+                pick = order[first]
+                yield pa.record_batch([pa.array(prefix[pick], pa.int32()), pa.array(tg.signed(x[pick])), pa.array(many, pa.int32())], names=["prefix", "x", "a"])
+
+        rows = spark.createDataFrame(table.append_column("prefix", pa.array(np.arange(table.num_rows), pa.int32())))
+        part = (tokens.mapInArrow(count, "prefix int, x long, a int").groupBy("prefix", "x").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+                .join(rows, "prefix").join(numbers, "x", "left")
+                .select("lang", F.concat("p", F.array(F.coalesce("word", "x"))).alias("p"), "a"))
         found = part if found is None else found.unionByName(part)
     return None if found is None else materialise(found, "extensions")
 
@@ -226,12 +236,12 @@ def extensions(tokens: DataFrame, prefixes: DataFrame, least: int, width: int, o
 def probe(tokens: DataFrame, phrases: DataFrame, width: int) -> DataFrame:
     """(lang, p, f, left, right): counts of ``phrases`` (lang, p), and whether all occurrences have one same neighbour a side."""
     found = None
-    for keys in _passes(phrases, width):
-        sent = tokens.sparkSession.sparkContext.broadcast(keys)
+    for table in _portions(phrases, width):
+        sent = tokens.sparkSession.sparkContext.broadcast(keys_of(table))
 
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for words, lang, own in _grouped(batches):
-                for size, known in sent.value.items():
+                for size, (known, _) in sent.value.items():
                     at, key = _phrases(words, lang, np.flatnonzero(own & (words != 0)), size)
                     go = _among(key, known)
                     at, key = at[go], key[go]
@@ -312,8 +322,8 @@ def _best(rows: DataFrame, top: int) -> DataFrame:
 def spelled(docs: DataFrame, phrases: DataFrame, width: int) -> DataFrame:
     """(lang, p, phrase) of ``phrases`` (lang, p), read from the texts."""
     found = None
-    for keys in _passes(phrases, width):
-        sent = docs.sparkSession.sparkContext.broadcast(keys)
+    for table in _portions(phrases, width):
+        sent = docs.sparkSession.sparkContext.broadcast(keys_of(table))
 
         def spell(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             seen: set[bytes] = set()
@@ -322,7 +332,7 @@ def spelled(docs: DataFrame, phrases: DataFrame, width: int) -> DataFrame:
                 for block in tg.blocks(batch.column(1)):
                     out, begin, start, end = _laid_out(block)
                     lang = np.repeat(langs[block.lo:block.hi], np.diff(begin))
-                    for size, known in sent.value.items():
+                    for size, (known, _) in sent.value.items():
                         at, key = _phrases(out, lang, np.flatnonzero(out), size)
                         go = _among(key, known)
                         at, key = at[go], key[go]
@@ -375,9 +385,9 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, width: int
         if end is None:
             break
         level, grown = level.select("lang", F.array("word").alias("p")), None
-        keys = None if last is None and all_words <= width else next(_passes(level, width)).get(1)
-        for size in range(2, LONGEST + 1):
-            level = extensions(tokens, level, least, width, keys)
+        opened, complete = level.toArrow().combine_chunks(), last is None and all_words <= width
+        for size in range(1, LONGEST):
+            level = extensions(tokens, level, size, least, width, opened, complete)
             if level is None:
                 break
             grown = level if grown is None else grown.unionByName(level)
