@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.functions import vectors
+from cohortlens.operators import selection
+from cohortlens.session import materialise
 
 
 def compare_keyed(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
@@ -20,15 +22,17 @@ def compare_keyed(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame
 
 def diff_keyed(a: DataFrame, b: DataFrame, key: str, value: str, tol: float) -> DataFrame:
     """Summary of :func:`compare_keyed` with the worst key (the smallest on a tie) and whether all is within ``tol``."""
-    d = compare_keyed(a, b, key, value)
+    d = materialise(compare_keyed(a, b, key, value), "differences")
+    median = selection.quantile(d, [], "rel_l2", 0.5, "median_rel_diff")
     s = d.agg(F.count_if("only_left").alias("only_left"), F.count_if("only_right").alias("only_right"),
               F.count_if("shape_mismatch").alias("shape_mismatch"), F.count("max_abs").alias("n_compared"),
               F.count_if(F.col("max_abs") != 0).alias("n_different"), F.max("max_abs").alias("max_abs_diff"),
-              F.max("rel_l2").alias("max_rel_diff"), F.percentile("rel_l2", 0.5).alias("median_rel_diff"),
+              F.max("rel_l2").alias("max_rel_diff"),
               F.max_by(key, F.struct("rel_l2", -F.col(key))).alias("worst_key"))
     ok = ((F.col("only_left") == 0) & (F.col("only_right") == 0) & (F.col("shape_mismatch") == 0)
           & (F.coalesce("max_rel_diff", F.lit(0.0)) < tol))
-    return s.withColumn("passed", ok)
+    order = ["only_left", "only_right", "shape_mismatch", "n_compared", "n_different", "max_abs_diff", "max_rel_diff", "median_rel_diff", "worst_key"]
+    return s.join(median, how="left").select(*order, ok.alias("passed"))  # one row beside one row
 
 
 def moments(df: DataFrame, value: str) -> DataFrame:

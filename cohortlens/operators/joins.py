@@ -29,22 +29,23 @@ def _spread(df: DataFrame, key: str) -> Column:
     return F.when(F.coalesce(F.col(key), F.lit("")) == "", F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.lit(64)) + 1).otherwise(0).cast("int")
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, key: str, size: str, keep_all: bool = False) -> DataFrame:
+def spread_join(rows: DataFrame, facts: DataFrame, key: str | list[str], size: str, keep_all: bool = False) -> DataFrame:
     """``rows`` with the columns of their key's row in ``facts`` (one row a key, ``size`` rows of ``rows`` have it).
 
     A key with more than half a partition's fair share of the rows is hot: its rows are dealt over as many numbers as it
     has such shares, and its row in ``facts`` is repeated for each. There are at most two hot keys a partition, so their
     list is small whatever the table, and repeating adds at most two rows a partition. ``keep_all``: rows without facts stay.
     """
+    keys = [key] if isinstance(key, str) else key
     facts = materialise(facts, "facts")
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     limit = max(1, int(facts.agg(F.sum(size)).first()[0] or 0) // (2 * partitions))
-    hot = F.broadcast(facts.where(F.col(size) > limit).select(key, F.ceil(F.col(size) / limit).cast("int").alias("_parts")))
-    mixed = F.xxhash64(*[c for c in rows.columns if c != key]) if len(rows.columns) > 1 else F.monotonically_increasing_id()
-    left = rows.withColumn("_mixed", mixed).join(hot, key, "left").withColumn(
+    hot = F.broadcast(facts.where(F.col(size) > limit).select(*keys, F.ceil(F.col(size) / limit).cast("int").alias("_parts")))
+    mixed = F.xxhash64(*[c for c in rows.columns if c not in keys]) if len(rows.columns) > len(keys) else F.monotonically_increasing_id()
+    left = rows.withColumn("_mixed", mixed).join(hot, keys, "left").withColumn(
         "_salt", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod("_mixed", F.col("_parts"))).cast("int")).drop("_parts", "_mixed")
     right = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(size) > limit, F.ceil(F.col(size) / limit) - 1).otherwise(0).cast("int"))))
-    return left.join(right, [key, "_salt"], "left" if keep_all else "inner").drop("_salt")
+    return left.join(right, [*keys, "_salt"], "left" if keep_all else "inner").drop("_salt")
 
 
 def pool_exclusion_reason(df: DataFrame, held: DataFrame, test_sources: DataFrame, licenses: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions import text
-from cohortlens.operators import bootstrap, ranking
+from cohortlens.operators import bootstrap, ranking, selection
 
 # ---- fixed values
 USUAL_SIZE = 224
@@ -116,8 +116,9 @@ def uneven_grids(sweep: DataFrame, value: str = "lr") -> DataFrame:
 
 def steady_throughput(epochs: DataFrame, keys: list[str], digits: int = 1) -> DataFrame:
     """Median images per second over the epochs after the first; NULL for a run with a single epoch."""
-    return epochs.groupBy(*keys).agg(F.round(F.percentile(F.when(F.col("epoch") > 0, F.col("img_per_s")), 0.5), digits)
-                                     .alias("img_per_s_steady"), F.count(F.lit(1)).alias("epochs"))
+    steady = selection.quantile(epochs.where("epoch > 0"), keys, "img_per_s", 0.5, "_m")
+    return (epochs.groupBy(*keys).agg(F.count(F.lit(1)).alias("epochs")).join(steady, keys, "left")
+            .select(*keys, F.round("_m", digits).alias("img_per_s_steady"), "epochs"))
 
 
 def benchmark_lookup(runs: DataFrame, benchmark: DataFrame) -> DataFrame:

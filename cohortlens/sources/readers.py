@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from cohortlens.functions import text
 
@@ -42,10 +42,59 @@ def blanks(df: DataFrame) -> DataFrame:
                        else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
+def csv_records(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8") -> DataFrame:
+    """(file, number, record): the CSV records of the files in order, with line breaks inside quotes kept.
+
+    Files stay splittable. Every piece of a file counts its quotes and, for either parity that may hold at its start, the
+    records that begin in it; running sums over a file's pieces, one row each, give the true parity and the number of the
+    first record. Only lines of records that span several are then brought together. A quote counts wherever it stands, so
+    fields with a lone quote have to be quoted themselves, as the format asks.
+    """
+    value = F.col("value") if encoding.upper() in ("UTF-8", "UTF8") else F.decode(F.col("value").cast("binary"), encoding)
+    raw = spark.read.text(paths, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("piece"), F.monotonically_increasing_id().alias("line"),
+        value.alias("text"))
+    inside = Window.partitionBy("file", "piece").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    quotes = F.length("text") - F.length(F.replace("text", F.lit('"')))
+    lines = raw.withColumns({"quotes": quotes, "odd": F.coalesce(F.sum(quotes).over(inside), F.lit(0)) % 2})
+    begun = {f"starts{p}": F.count_if(F.col("odd") == p) for p in (0, 1)}
+    pieces = lines.groupBy("file", "piece").agg(F.sum("quotes").alias("quotes"), *[c.alias(n) for n, c in begun.items()])
+    before = Window.partitionBy("file").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("parity", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
+    pieces = pieces.withColumn("first", F.coalesce(F.sum(F.when(F.col("parity") == 0, F.col("starts0")).otherwise(F.col("starts1"))).over(before), F.lit(0)))
+    placed = lines.join(pieces.select("file", "piece", "parity", "first"), ["file", "piece"])
+    open_ = (F.col("odd") + F.col("parity")) % 2
+    upto = Window.partitionBy("file", "piece").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("open", open_).withColumn("number", F.col("first") + F.count_if(F.col("open") == 0).over(upto) - 1)
+    alone = (F.col("open") == 0) & (F.col("quotes") % 2 == 0)
+    several = (placed.where(~alone).groupBy("file", "number").agg(F.sort_array(F.collect_list(F.struct("piece", "line", "text"))).alias("parts"))
+               .select("file", "number", F.array_join("parts.text", "\n").alias("record")))
+    records = placed.where(alone).select("file", "number", F.col("text").alias("record")).unionByName(several)
+    return records.withColumn("record", F.regexp_replace("record", r"\r$", ""))
+
+
 def read_strings(spark: SparkSession, paths: str | list[str], sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """CSV with a header, every column text, blanks kept as the empty string."""
-    df = spark.read.csv(paths, header=True, inferSchema=False, sep=sep, encoding=encoding, escape='"', multiLine=False)
-    return blanks(df.toDF(*[c.lstrip("﻿").strip() for c in df.columns]))
+    """CSV with a header in every file, every column text, blanks kept as the empty string. Files may have other columns or
+    another order of them: columns are taken by name, those that a file lacks are blank in its rows."""
+    records = csv_records(spark, paths, encoding)
+    how = {"sep": sep, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
+    heads = records.where("number = 0").select("file", F.regexp_replace("record", "^\ufeff", "").alias("head"))
+    names: dict[str, list[str]] = {}
+    for row in heads.select("head").distinct().orderBy("head").collect():
+        width = row["head"].count(sep) + 1
+        cells = spark.range(1).select(F.from_csv(F.lit(row["head"]), ", ".join(f"c{i} string" for i in range(width)), how).alias("c")).select("c.*").first()
+        names[row["head"]] = [c.strip() for c in cells if c is not None]
+    every = list(dict.fromkeys(c for head in names.values() for c in head))
+    out = None
+    rows = records.where("number > 0 and record <> ''").join(heads, "file")
+    for head, columns in names.items():
+        cells = F.from_csv("record", ", ".join(f"`{c}` string" for c in columns), how)
+        one = (rows if len(names) == 1 else rows.where(F.col("head") == head)).select(cells.alias("c")).select(
+            *[F.col(f"c.`{c}`") if c in columns else F.lit("").alias(c) for c in every])
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no header line")
+    return blanks(out)
 
 
 def detect_dialect(spark: SparkSession, path: str) -> tuple[str, str]:
