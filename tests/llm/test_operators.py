@@ -214,6 +214,41 @@ def test_html(body, text):
     assert html_extract.main_text(body) == text
 
 
+LONG = "A long enough text of the main part, with ten words or more in it."
+
+
+@pytest.mark.parametrize("body", [
+    "<article><svg/><p>{}</p></article>", "<article><svg><title>i</title><text>no</text><path/></svg><p>{}</p></article>", "<article><svg><path><p>{}</article>",
+    "<body><form id='aspnetForm'><nav><a href='/'>x</a></nav><div id='content'><p>{}</p></div></form></body>", "<body><title>t</title><form><p>{}</p></form>",
+    "<form>Your mail, please: <input></form><article><p>{}</p></article>", "<article><p>{}</p><form><label>Mail</label><p>Your mail</p></form></article>",
+    "<div class='container with-sidebar'><article><p>{}</p></article></div>", "<article><div class='form-content'><p>{}</p></div></article>",
+    "<div class='layout-sidebar-right'><article><p>{}</p></article><div class='sidebar'><article>A teaser that is long enough to count as a text.</article></div></div>",
+    "<div hidden><main>Nothing that anybody sees, in ten words or more than that.</main></div><main><p>{}</p></main>",
+    "<article><p>{}</p></article><section class='comments'><article>I like it, and I say so in a comment of many words.</article></section>"])
+def test_wrappers_and_drawings_drop_nothing(body):
+    assert html_extract.main_text(body.format(LONG)) == LONG
+
+
+def test_fitted_weights_serve_pages_without_structure(spark, make):
+    """What is learnt from pages that say where their article is holds for one that does not."""
+    pages = table(spark, SF, "pages")
+    weights = html_extract.fit(pages)
+    assert np.isfinite(weights).all() and weights[5] < 0 < weights[3]
+    got = [r["text"] for r in html_extract.extract(make("page_id long, url string, html string", [(
+        1, "u", f"<div><ul><li><a href='/'>Home</a></li><li><a href='/b'>Next page</a></li></ul></div><div><p>{LONG}</p><p>{LONG}</p></div>")]), weights).collect()]
+    assert got == [f"{LONG}\n{LONG}"]
+    whole = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    assert whole == {r["page_id"]: html_extract.main_text(r["html"]) for r in pages.collect()}
+
+
+def test_awkward_pages(make):
+    deep = "<div>" * 20_000 + "</span>" * 20_000 + "<article>" + f"<p>{LONG}" * 2_000
+    rows = [(1, "u", deep, "x", 1), (None, None, "<article>Text.", "x", 2), (3, "u", None, "x", 3), (3, "u", "", "x", 3), (3, "u", "", "x", 3), (4, "u", "<p", None, None)]
+    out = html_extract.extract(make("page_id long, url string, html string, text string, n_chars int", rows)).collect()
+    assert out[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in out) == [(0, 5), (1, 2_000 * len(LONG) + 1_999), (3, 0), (3, 0), (3, 0), (4, 0)]
+
+
 def test_min_cut_is_optimal():
     rng = np.random.default_rng(3)
     for _ in range(60):
