@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortlens.llm import preference
 from cohortlens.llm.boosting import quality_rules
 from cohortlens.llm.catalog import query, table
 from cohortlens.llm.collocations import collocations
@@ -15,7 +16,6 @@ from cohortlens.llm.langid import held_out, identify, train
 from cohortlens.llm.licenses import oracle, scan
 from cohortlens.llm.ngram_join import ngram_join
 from cohortlens.llm.packing import pack
-from cohortlens.llm.preference import preferences
 from cohortlens.llm.substring_dedup import repeated_passages
 from cohortlens.llm.toxicity import toxicity
 from cohortlens.llm.whitening import whiten
@@ -53,9 +53,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages"))
 
 
-@query("op7_chat_formatting")
+@query("op7_chat_formatting", preference.oracle())
 def op7(spark: SparkSession, folder: str) -> DataFrame:
-    return preferences(table(spark, folder, "conversations"))
+    return preference.texts(preference.preferences(table(spark, folder, "conversations")))
 
 
 @query("op8_license_scan", oracle())

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
@@ -264,20 +265,59 @@ def test_min_cut_is_optimal():
 
 def test_preferences_round_trip(spark, make):
     turns = [(1, 0, "user", "q"), (1, 1, "assistant", "long answer"), (2, 0, "user", "q"), (2, 1, "assistant", "no"), (3, 0, "user", "alone"), (3, 1, "assistant", "x"),
-             (4, 0, "user", "nobody answers"), (5, 0, None, None), (5, 1, "assistant", None), (1, 1, "assistant", "long answer")]
-    out = {r["chosen_id"]: r for r in preference.preferences(make("conv_id long, turn int, role string, text string", turns)).collect()}
-    assert set(out) == {1, 3, 4, 5} and out[1]["rejected_id"] == 2 and out[1]["prompt_turns"] == 1
-    assert out[1]["prompt"] == "<|user|>\nq<|end|>\n"
-    assert [tuple(x) for x in out[1]["chosen"]] == [("<|assistant|>\n", False), ("long answer<|end|>\n", True)]
-    assert [tuple(x) for x in out[1]["rejected"]] == [("<|assistant|>\n", False), ("no<|end|>\n", True)]
-    assert out[3]["kind"] == "echo" and out[3]["rejected"][1]["text"] == "alone<|end|>\n" and out[4]["kind"] == "unpaired" and out[4]["prompt"] is None
+             (4, 0, "user", "nobody answers"), (5, 0, None, None), (5, 1, "assistant", None), (1, 1, "assistant", "long answer"), (6, 0, "user", "alone"),
+             (6, 1, "assistant", "x"), (None, 0, "user", "q")]
+    rows = preference.preferences(make("conv_id long, turn int, role string, text string, kind string, prompt string", [(*t, "a", "b") for t in turns])).collect()
+    out = {(r["kind"], r["chosen_id"]): r for r in rows}
+    assert set(out) == {("pair", 1), ("single", 3), ("copy", 3), ("single", 4), ("single", 5)} and len(rows) == 5
+    pair, copy = out["pair", 1], out["copy", 3]
+    assert pair["rejected_id"] == 2 and pair["prompt_turns"] == 1 and pair["prompt"] == "<|user|>\nq<|end|>\n"
+    assert [tuple(x) for x in pair["chosen"]] == [("<|assistant|>\n", False), ("long answer<|end|>\n", True)]
+    assert [tuple(x) for x in pair["rejected"]] == [("<|assistant|>\n", False), ("no<|end|>\n", True)]
+    assert copy["rejected_id"] == 6 and copy["prompt"] is None and copy["chosen"] is None
+    assert out["single", 3]["prompt"] == "<|user|>\nalone<|end|>\n" and out["single", 3]["rejected"] is None
+    assert out["single", 4]["chosen"] == [] and out["single", 5]["prompt"] == "<||>\n<|end|>\n"
     whole = preference.gather(table(spark, SF, "conversations"))
-    made = preference.preferences(table(spark, SF, "conversations")).where("kind <> 'unpaired'").join(
-        whole.select(whole.conv_id.alias("chosen_id"), preference.render(whole.turns).alias("all")), "chosen_id")
-    for r in made.collect():
+    made = preference.preferences(table(spark, SF, "conversations")).where("kind <> 'copy'").join(
+        whole.select(whole.conv_id.alias("chosen_id"), preference.render(whole.turns).alias("all")), "chosen_id").collect()
+    assert made
+    for r in made:
         assert r["prompt"] + "".join(x["text"] for x in r["chosen"]) == r["all"]
 
 
+def test_rivals_by_brute_force(spark, make, tmp_path):
+    """Trees of conversations: each meets the best of those that share most turns with it. The SQL says the same."""
+    rng = np.random.default_rng(21)
+    convs = {i: tuple(("user", "assistant")[d % 2] + ":" + "abc"[rng.integers(3)] * int(rng.integers(1, 3)) for d in range(rng.integers(1, 6))) for i in range(160)}
+    convs |= {500 + i: ("user:hot", f"assistant:{'y' * (i % 9)}", *(["user:more"] if i % 2 else [])) for i in range(60)}
+    ones: dict = {}
+    for i, c in sorted(convs.items()):
+        ones.setdefault(c, i)
+    said = {i: sum(len(t) - 10 for t in c if t.startswith("assistant")) for c, i in ones.items()}
+
+    def common(a, b):
+        return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    want = {("copy", ones[c], i) for i, c in convs.items() if ones[c] != i}
+    for c, i in ones.items():
+        depth = max(common(c, o) for o in ones if o != c)
+        group = sorted((-said[j], j) for o, j in ones.items() if common(c, o) >= depth)
+        want.add(("pair", group[0][1], group[1][1] if group[0][1] == i else i) if depth else ("single", i, None))
+    frame = make("conv_id long, turn long, role string, text string", [(i, k, *t.split(":")) for i, c in convs.items() for k, t in enumerate(c)])
+    made = preference.texts(preference.preferences(frame)).toPandas()
+    assert {(r.kind, r.chosen_id, None if r.kind == "single" else int(r.rejected_id)) for r in made.itertuples()} == want and len(made) == len(want)
+    assert all(r.prompt_turns == common(convs[r.chosen_id], convs[int(r.rejected_id)]) for r in made.itertuples() if r.kind == "pair")
+    frame.write.parquet(str(tmp_path / "c"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    cols = list(made.columns)
+
+    def rows(data):
+        return sorted(tuple("" if v is None or v != v else str(int(v)) if isinstance(v, float) else str(v) for v in row) for row in data)
+
+    assert rows(made.itertuples(index=False)) == rows(db.sql(f"SELECT {', '.join(cols)} FROM ({preference.oracle()})").fetchall())
+
+
 def test_licences_by_brute_force(spark, make):
     tpl = {n: Counter(zip(w, w[1:])) for n, t in licenses.TEMPLATES.items() for w in [licenses.normal(t)]}
     mit = licenses.TEMPLATES["MIT"]
