@@ -8,6 +8,7 @@ from cohortlens.catalog.base import query
 from cohortlens.operators import arrays, cohort, folds, metrics, quality, runs, similarity, telemetry
 from cohortlens.plans import fixtures
 from cohortlens.plans.fixtures import NEAR, N_BITS, TEST_SOURCES, Views, with_views
+from cohortlens.session import scratch_path
 from cohortlens.sources import inventory
 
 
@@ -353,11 +354,14 @@ def a24(v: Views) -> DataFrame:
     return runs.spend_ledger(s).select(r("hours", 4), r("cost", 4), "warning_level")
 
 
-@query("a25_size_range", """SELECT min(octet_length(encode(html))) AS min_bytes, max(octet_length(encode(html))) AS max_bytes, count(*) AS n
-FROM pages WHERE ends_with(split_part(url, '?', 1), '5')""")
+@query("a25_size_range", """SELECT min(n)::bigint AS min_bytes, max(n)::bigint AS max_bytes, count(*) AS n
+FROM (SELECT sum(octet_length(encode(html)) + 1) AS n FROM pages WHERE html IS NOT NULL GROUP BY page_id % 32)""")
 def a25(v: Views) -> DataFrame:
-    files = v.table("pages").select(F.substring_index("url", "?", 1).alias("path"), F.octet_length("html").cast("bigint").alias("length"))
-    return inventory.size_range(files, "5")
+    """Files that stand in real folders."""
+    path = scratch_path(v.spark, "sizes")
+    pages = v.table("pages").where("html is not null").select((F.col("page_id") % 32).alias("part"), "html")
+    pages.repartition("part").write.partitionBy("part").text(path)
+    return inventory.size_range(inventory.list_files(v.spark, path), ".txt")
 
 
 @query("a26_fraction_sizes", with_views("cohort") + MANIFEST + """

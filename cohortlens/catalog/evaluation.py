@@ -105,6 +105,12 @@ def e6(v: Views) -> DataFrame:
     return rounded(one.unionByName(two), ["mean_diff", "sd_diff"])
 
 
+@query("e6_primary_seeds", PAIRED + """SELECT comparison, backbone, metric, seed, round(diff, 6) AS diff, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi
+FROM paired WHERE comparison = 'pretrained_minus_base_full' AND img = 224 AND frac = 1.0 AND metric = 'auroc'""")
+def e6b(v: Views) -> DataFrame:
+    return rounded(runs.primary_seeds(paired(v), "pretrained_minus_base_full", 224, 1.0, "auroc"), ["diff", "ci_lo", "ci_hi"])
+
+
 @query("e7_runs_long", with_views("preds") + LOCK + draws_sql("test_source", "levels") + replicate_sql("run, test_source", "test_source", "levels")
        + at_sql("run, test_source", "levels") + f""", cis AS (SELECT run, test_source, count(*) AS used, {CI_SQL} FROM reps GROUP BY run, test_source)
 SELECT run, test_source, {METRIC_COLUMNS}, g.g AS n_groups, {N_BOOT} AS n_boot, {N_BOOT} - used AS n_skipped_single_class, cis.* EXCLUDE (run, test_source, used)

@@ -50,6 +50,24 @@ def w4(v: Views) -> DataFrame:
     return runs.select_best(sweep, ["backbone", "family"], frozen=frozen).withColumn("best_score", F.round("best_score", 6))
 
 
+@query("w4_planned_grid", with_views("epochs") + """, s AS (SELECT backbone, CASE WHEN method LIKE 'lora%' THEN 'lora' ELSE 'full' END AS family, lr,
+ max(val_auroc) AS a FROM epochs WHERE method <> 'frozen' GROUP BY ALL),
+g AS (SELECT DISTINCT backbone, family, lr FROM s WHERE lr > 0.00015 UNION ALL
+ SELECT DISTINCT backbone, family, 0.5::double FROM s WHERE backbone = 'a' AND family = 'lora'),
+m AS (SELECT g.backbone, g.family, g.lr, s.a FROM g LEFT JOIN s ON s.backbone = g.backbone AND s.family = g.family AND abs(s.lr - g.lr) < 1e-12),
+b AS (SELECT backbone, family, count(*) AS n_values, count(*) FILTER (a IS NULL) AS n_missing, arg_max(lr, (a, -lr)) FILTER (a IS NOT NULL) AS best,
+ max(a) AS top, min(lr) AS lo, max(lr) AS hi FROM m GROUP BY ALL)
+SELECT backbone, family, CASE WHEN n_missing = 0 THEN best END AS best_lr, CASE WHEN n_missing = 0 THEN round(top, 6) END AS best_score, n_values, n_missing,
+ CASE WHEN n_missing = 0 THEN best IN (lo, hi) END AS edge_of_grid FROM b""")
+def w4c(v: Views) -> DataFrame:
+    """The smallest value tried was not planned; one arm has a planned value that nobody tried."""
+    e = v.epochs().where("method <> 'frozen'").withColumn("family", text.method_family(F.col("method")))
+    sweep = e.groupBy("backbone", "family", "lr").agg(F.max("val_auroc").alias("best_val_auroc"))
+    grid = sweep.where("lr > 0.00015").select("backbone", "family", "lr").unionByName(
+        sweep.where("backbone = 'a' and family = 'lora'").select("backbone", "family", F.lit(0.5).alias("lr")).distinct())
+    return runs.select_best(sweep, ["backbone", "family"], grid=grid).withColumn("best_score", F.round("best_score", 6))
+
+
 @query("w4_uneven_grids", with_views("runs") + """, g AS (SELECT backbone, CASE WHEN method LIKE 'lora%' THEN 'lora' ELSE 'full' END AS family,
  count(DISTINCT run) AS n FROM runs GROUP BY ALL) SELECT backbone, min(n) AS lo, max(n) AS hi FROM g GROUP BY backbone HAVING min(n) <> max(n)""")
 def w4b(v: Views) -> DataFrame:

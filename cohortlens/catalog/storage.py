@@ -108,12 +108,25 @@ def s7(v: Views) -> DataFrame:
     return readers.read_log_json(v.spark, path, "img_per_s", "epoch bigint, img_per_s double").select("epoch", r("img_per_s"))
 
 
-@query("s8_file_inventory", """SELECT name, count(*) AS files, round(sum(length) / 1073741824.0::double, 2) AS gib, sum(length)::bigint AS bytes FROM (
- SELECT CASE WHEN contains(url, '/fr/') THEN 'french' WHEN contains(url, '/en/') THEN 'english' END AS name, strlen(html) AS length FROM pages)
-WHERE name IS NOT NULL GROUP BY name""")
+def stored_pages(v: Views) -> str:
+    """A folder with the pages as files: language, part of eight, one file."""
+    path = scratch_path(v.spark, "stored")
+    pages = v.table("pages").where("html is not null").select(
+        F.coalesce(F.nullif(F.regexp_extract("url", "/(fr|en|de|es)/", 1), F.lit("")), F.lit("other")).alias("folder"), (F.col("page_id") % 8).alias("part"), "html")
+    pages.repartition("folder", "part").write.partitionBy("folder", "part").text(path)
+    return path
+
+
+STORED = """WITH stored AS (SELECT coalesce(nullif(regexp_extract(url, '/(fr|en|de|es)/', 1), ''), 'other') AS folder, page_id % 8 AS part,
+ sum(octet_length(encode(html)) + 1)::bigint AS length FROM pages WHERE html IS NOT NULL GROUP BY ALL)
+"""
+
+
+@query("s8_file_inventory", STORED + """SELECT CASE folder WHEN 'fr' THEN 'french' ELSE 'english' END AS name, count(*) AS files,
+ round(sum(length) / 1073741824.0::double, 2) AS gib, sum(length)::bigint AS bytes FROM stored WHERE folder IN ('fr', 'en') GROUP BY folder""")
 def s8(v: Views) -> DataFrame:
-    files = v.table("pages").select(F.col("url").alias("path"), F.octet_length("html").cast("bigint").alias("length"))
-    return inventory.file_inventory(files, {"french": "/fr/", "english": "/en/"})
+    """Files that stand in real folders."""
+    return inventory.file_inventory(inventory.list_files(v.spark, stored_pages(v)), {"french": "folder=fr", "english": "/folder=en/", "none": "folder=e"})
 
 
 @query("s9_cached_features", with_views("vecs") + "SELECT image_id, round(list_sum(list_transform(embedding, lambda x: x::double)), 6) AS total FROM vecs")
@@ -131,8 +144,9 @@ def s9(v: Views) -> DataFrame:
 
 
 def listing(v: Views) -> DataFrame:
-    """Stored files: those the log gives a licence."""
-    return v.downloads().where("api_license is not null").select(F.concat(F.lit("/data/images/"), "file").alias("path"), F.col("bytes").alias("length"))
+    """Stored files: those the log gives a licence. The others stand in another folder, which does not count."""
+    return v.downloads().select(F.when(F.col("api_license").isNull(), F.concat(F.lit("rejected/"), "file")).otherwise(F.col("file")).alias("path"),
+                                F.col("bytes").alias("length"))
 
 
 @query("s10_existing_files", with_views("downloads") + "SELECT image_id, file FROM downloads WHERE file IN (SELECT file FROM downloads WHERE api_license IS NOT NULL)")
@@ -162,12 +176,12 @@ def k2(v: Views) -> DataFrame:
     return v.spark.read.text(path)
 
 
-@query("k3_format_report", with_views("runs") + """SELECT concat('| ', backbone, ' | ', method, ' | ', count(*), ' | ', printf('%.3f', max(gpu_hours)), ' |') AS value
+@query("k3_format_report", with_views("runs") + """SELECT unnest(['| Backbone | Method | Runs | GPU-h |', '|---|---|---|---|']) AS value UNION ALL SELECT concat('| ', backbone, ' | ', method, ' | ', count(*), ' | ', printf('%.3f', max(gpu_hours)), ' |') AS value
 FROM runs GROUP BY backbone, method""")
 def k3(v: Views) -> DataFrame:
     path = scratch_path(v.spark, "report")
     t = v.runs().groupBy("backbone", "method").agg(F.count(F.lit(1)).alias("n"), text.decimals3(F.max("gpu_hours")).alias("hours"))
-    writers.format_report(t.orderBy("backbone", "method"), ["backbone", "method", "n", "hours"], path)
+    writers.format_report(t.orderBy("backbone", "method"), ["backbone", "method", "n", "hours"], path, ["Backbone", "Method", "Runs", "GPU-h"])
     return v.spark.read.text(path)
 
 

@@ -84,6 +84,12 @@ def primary_contrast(paired: DataFrame, comparison: str, img: int, frac: float,
                     F.when(F.col("seeds") > 0, "available").otherwise("NOT AVAILABLE").alias("status"))
 
 
+def primary_seeds(paired: DataFrame, comparison: str, img: int, frac: float, metric: str) -> DataFrame:
+    """The planned main comparison seed by seed: difference and interval. No run of either arm gives no row."""
+    hit = ((F.col("comparison") == comparison) & (F.col("img") == img) & (F.col("frac") == frac) & (F.col("metric") == metric))
+    return paired.where(hit).select("comparison", "backbone", "metric", "seed", "diff", "ci_lo", "ci_hi")
+
+
 def time_to_level(epochs: DataFrame, keys: list[str], level: float) -> DataFrame:
     """First elapsed time at which validation AUROC reaches ``level``; best epoch, the earliest on ties."""
     return epochs.groupBy(*keys).agg(
@@ -93,13 +99,37 @@ def time_to_level(epochs: DataFrame, keys: list[str], level: float) -> DataFrame
 
 
 def select_best(sweep: DataFrame, keys: list[str], value: str = "lr", score: str = "best_val_auroc",
-                frozen: DataFrame | None = None) -> DataFrame:
+                frozen: DataFrame | None = None, grid: DataFrame | None = None) -> DataFrame:
     """Best value per arm (the smaller on a tie) and whether it lies at the edge of the tried values. A different
-    earlier choice in ``frozen`` (keys, value) is reported as ``changes_frozen``."""
+    earlier choice in ``frozen`` (keys, value) is reported as ``changes_frozen``.
+
+    ``grid`` (keys, value): the planned values. Then only they compete, the edge is theirs, ``n_missing`` of them were not
+    tried, and an arm with missing values has no best one. Values within 1e-12 are the same; an arm without a plan, or
+    without any trial, has no row."""
+    if grid is not None:
+        return _with_frozen(_planned_best(sweep, keys, value, score, grid), keys, value, frozen)
     best = sweep.groupBy(*keys).agg(
         F.max_by(value, F.struct(score, -F.col(value))).alias(f"best_{value}"), F.max(score).alias("best_score"),
         F.countDistinct(value).alias("n_values"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    best = best.withColumn("edge_of_grid", F.col(f"best_{value}").isin(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    return _with_frozen(best.withColumn("edge_of_grid", F.col(f"best_{value}").isin(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi"), keys, value, frozen)
+
+
+def _planned_best(sweep: DataFrame, keys: list[str], value: str, score: str, grid: DataFrame) -> DataFrame:
+    planned = grid.select(*keys, F.col(value).alias("_p")).distinct()
+    # the same number of 1e-12 or the next one: an equal join, and the exact bound on what it finds
+    near = planned.withColumn("_n", F.explode(F.array(*[F.round(F.col("_p") * 1e12).cast("long") + i for i in (-1, 0, 1)])))
+    tried = sweep.select(*keys, F.col(value).alias("_v"), F.col(score).alias("_s"), F.round(F.col(value) * 1e12).cast("long").alias("_n"))
+    met = near.join(tried, [*keys, "_n"], "left").where((F.abs(F.col("_v") - F.col("_p")) < 1e-12) | F.col("_v").isNull())
+    each = met.groupBy(*keys, "_p").agg(F.max("_s").alias("_s"), F.max(F.col("_v").isNotNull()).alias("_tried"))
+    arms = each.groupBy(*keys).agg(F.max_by("_p", F.when(F.col("_tried"), F.struct("_s", -F.col("_p")))).alias("_best"), F.max("_s").alias("best_score"),
+                                   F.count(F.lit(1)).alias("n_values"), F.count_if(~F.col("_tried")).alias("n_missing"),
+                                   F.min("_p").alias("_lo"), F.max("_p").alias("_hi")).where("n_missing < n_values")
+    whole = F.col("n_missing") == 0
+    return arms.select(*keys, F.when(whole, F.col("_best")).alias(f"best_{value}"), F.when(whole, F.col("best_score")).alias("best_score"), "n_values", "n_missing",
+                       F.when(whole, F.col("_best").isin(F.col("_lo"), F.col("_hi"))).alias("edge_of_grid"))
+
+
+def _with_frozen(best: DataFrame, keys: list[str], value: str, frozen: DataFrame | None) -> DataFrame:
     if frozen is not None:
         old = frozen.select(*keys, F.col(value).alias("_old"))
         best = (best.join(old, keys, "left")

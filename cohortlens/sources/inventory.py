@@ -5,17 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+
+def plain_path(path: Column) -> Column:
+    """A path without scheme and host, and without slashes at its end."""
+    return F.regexp_replace(F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/+$", "")
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Path and length of every file below ``root``; the contents are never read."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length"))
+    """Path below ``root`` (an absolute path or address) and length of every file; the contents are never read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return found.select(F.substring(plain_path(F.col("path")), F.length(plain_path(F.lit(root))) + 2, F.length("path")).alias("path"), "length")
 
 
 def file_inventory(files: DataFrame, prefixes: dict[str, str]) -> DataFrame:
-    """Files and GiB per named prefix."""
-    label = F.coalesce(*[F.when(F.col("path").contains(p), name) for name, p in prefixes.items()])
+    """Files and GiB below each named folder. Of nested folders the first that is named counts."""
+    label = F.coalesce(*[F.when(F.col("path").startswith(p.strip("/") + "/"), name) for name, p in prefixes.items()])
     return (files.withColumn("name", label).where(F.col("name").isNotNull()).groupBy("name")
             .agg(F.count(F.lit(1)).alias("files"), F.round(F.sum("length") / F.lit(2.0 ** 30), 2).alias("gib"),
                  F.sum("length").alias("bytes")))
@@ -28,14 +34,13 @@ def size_range(files: DataFrame, ending: str) -> DataFrame:
 
 
 def existing_files(df: DataFrame, files: DataFrame, key: str = "file") -> DataFrame:
-    """Rows whose file is in the listing (compared by file name)."""
-    names = files.select(F.substring_index("path", "/", -1).alias(key))
-    return df.join(names, key, "left_semi")
+    """Rows whose file, a path below the listed folder, is in the listing."""
+    return df.join(files.select(F.col("path").alias(key)), key, "left_semi")
 
 
 def missing_files(df: DataFrame, files: DataFrame, key: str = "file") -> DataFrame:
-    names = files.select(F.substring_index("path", "/", -1).alias(key))
-    return df.join(names, key, "left_anti").agg(F.count(F.lit(1)).alias("missing"))
+    """How many rows have no such file; a null file is missing."""
+    return df.join(files.select(F.col("path").alias(key)), key, "left_anti").agg(F.count(F.lit(1)).alias("missing"))
 
 
 def cached_features(keys: DataFrame, path: str, build: Callable[[DataFrame], DataFrame], key: str = "image_id") -> DataFrame:

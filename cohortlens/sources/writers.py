@@ -29,8 +29,11 @@ def report_lines(df: DataFrame, cols: list[Column]) -> DataFrame:
                               F.lit(" |")).alias("value"))
 
 
-def format_report(df: DataFrame, cols: list[str], path: str | None = None) -> DataFrame:
-    lines = report_lines(df, [F.col(c) for c in cols])
+def format_report(df: DataFrame, cols: list[str], path: str | None = None, header: list[str] | None = None) -> DataFrame:
+    """The rows of ``df`` as a markdown table below the names of its columns (``header``; none: ``cols``) and a separator."""
+    names = cols if header is None else header
+    top = df.sparkSession.createDataFrame([("| " + " | ".join(names) + " |",), ("|" + "---|" * len(names),)], "value string").coalesce(1)
+    lines = top.union(report_lines(df, [F.col(c) for c in cols]))
     if path is not None:
         lines.write.mode("overwrite").text(path)
     return lines

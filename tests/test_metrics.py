@@ -114,6 +114,14 @@ def test_trailing_median_across_chunks(spark, monkeypatch):
     assert got == {i: (m, m < 54.0) for i in range(2, 23) for m in [sorted(v[i - 2:i + 1])[1]]}
 
 
+def test_only_planned_values_compete(spark):
+    s = spark.createDataFrame([("a", 1e-5, 0.9), ("a", 1e-4, 0.7), ("a", 3e-4, 0.8), ("a", 1e-3, 0.8), ("b", 1e-4, 0.9), ("c", 1e-4, 0.5)], "k string, lr double, best_val_auroc double")
+    g = spark.createDataFrame([("a", 1e-4 + 1e-16), ("a", 3e-4), ("a", 1e-3), ("b", 1e-4), ("b", 3e-4), ("d", 1e-4)], "k string, lr double")
+    frozen = spark.createDataFrame([("a", 1e-4)], "k string, lr double")
+    got = {r.k: (r.best_lr, r.best_score, r.n_values, r.n_missing, r.edge_of_grid, r.changes_frozen) for r in runs.select_best(s, ["k"], grid=g, frozen=frozen).collect()}
+    assert got == {"a": (3e-4, 0.8, 3, 0, False, True), "b": (None, None, 2, 1, None, False)}
+
+
 def test_missing_contrast_is_reported(spark):
     empty = spark.createDataFrame([], "comparison string, img int, frac double, metric string, diff double")
     assert runs.primary_contrast(empty, "x", 224, 1.0, "auroc").first().status == "NOT AVAILABLE"

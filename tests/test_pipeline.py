@@ -125,7 +125,12 @@ def test_readers(spark, tmp_path):
     (tmp_path / "r" / "results.json").write_text(json.dumps(run, indent=1))
     (tmp_path / "r" / "unfinished.json").write_text(json.dumps({"backbone": "b"}, indent=1))
     assert readers.epochs(readers.read_results(spark, str(tmp_path / "r" / "*.json")), ["backbone"]).count() == 1
-    assert inventory.file_inventory(inventory.list_files(spark, str(tmp_path)), {"runs": "/r/"}).first().files == 2
+    files = inventory.list_files(spark, f"file://{tmp_path}/")
+    assert inventory.file_inventory(files, {"runs": "r", "none": "es"}).first().files == 2
+    assert {r.path for r in files.collect()} == {p.relative_to(tmp_path).as_posix() for p in tmp_path.rglob("*") if p.is_file()}
+    wanted = spark.createDataFrame([("r/results.json",), ("results.json",), ("log.txt",), ("other/log.txt",), (None,)], "file string")
+    assert {r.file for r in inventory.existing_files(wanted, files).collect()} == {"r/results.json", "log.txt"}
+    assert inventory.missing_files(wanted, files).first().missing == 3
     with pytest.raises(ValueError):
         readers.canonical(spark.createDataFrame([("1",)], "isic_id string"))
 
