@@ -81,9 +81,10 @@ def s5(v: Views) -> DataFrame:
 
 
 @query("s6_read_telemetry", """SELECT count(*) AS n, round(sum(least(value, 100)), 3) AS util, sum(cast(json_extract_string(props, '$.k') AS bigint))::double AS mem,
- max(epoch_ms(ts))::bigint AS last_ms FROM events WHERE event_id % 13 <> 0""")
+ max(epoch_us(ts) // 1000)::bigint AS last_ms FROM events WHERE event_id % 13 <> 0""")
 def s6(v: Views) -> DataFrame:
-    """Samples as a headerless log with a unit after the memory; every thirteenth line is too short."""
+    """Samples as a headerless log with a unit after the memory; every thirteenth line is too short. Stamps hold whole
+    milliseconds: what is finer is cut off, not rounded."""
     path = scratch_path(v.spark, "telemetry")
     s = v.samples()
     stamp = F.date_format(F.col("ts").cast("timestamp"), readers.TELEMETRY_TIME)
