@@ -10,7 +10,7 @@ from cohortlens.catalog.relations import PAIRS, run_pairs
 from cohortlens.functions.hashing import h60
 from cohortlens.operators import bootstrap, metrics, probe, runs
 from cohortlens.plans import evaluation
-from cohortlens.plans.fixtures import DUCK, N_BOOT, Views, with_views
+from cohortlens.plans.fixtures import DUCK, GRID, N_BOOT, Views, with_views
 
 CI = [f"{k}_{s}" for k in bootstrap.KEYS for s in ("lo", "hi")]
 
@@ -19,11 +19,11 @@ def rounded(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
-@query("e1_auroc", with_views("preds") + """, s AS (SELECT run, score, sum(y)::double AS p, sum(1 - y)::double AS q FROM preds GROUP BY ALL),
+@query("e1_auroc", with_views("preds", grid=GRID) + """, s AS (SELECT run, score, sum(y)::double AS p, sum(1 - y)::double AS q FROM preds GROUP BY ALL),
 c AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY run ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s)
 SELECT run, round(sum(p * (below + q / 2)) / nullif(sum(p) * sum(q), 0), 6) AS auroc, sum(p)::bigint AS n_pos, sum(q)::bigint AS n_neg FROM c GROUP BY run""")
 def e1(v: Views) -> DataFrame:
-    return rounded(metrics.auroc(v.predictions(), ["run"]), ["auroc"])
+    return rounded(metrics.auroc(v.predictions(GRID), ["run"]), ["auroc"])
 
 
 @query("e2_threshold", with_views("preds") + LOCK + "SELECT run, threshold FROM thr")
@@ -31,9 +31,9 @@ def e2(v: Views) -> DataFrame:
     return metrics.threshold(v.predictions().where("split = 'val'"), ["run"])
 
 
-@query("e3_evaluate_locked", with_views("preds") + LOCK + at_sql("run, split", "locked") + f"SELECT run, split, {METRIC_COLUMNS} FROM mf")
+@query("e3_evaluate_locked", with_views("preds", grid=GRID) + LOCK + at_sql("run, split", "locked") + f"SELECT run, split, {METRIC_COLUMNS} FROM mf")
 def e3(v: Views) -> DataFrame:
-    return shown_metrics(metrics.evaluate_locked(v.predictions(), ["run"]))
+    return shown_metrics(metrics.evaluate_locked(v.predictions(GRID), ["run"]))
 
 
 # Replicates: multiplicities of the groups as one vector a replicate, counts of a score in the groups as another, and their

@@ -5,7 +5,11 @@ import datetime as dt
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+import pytest
+
+import __spark_entry__ as entry
 import verify
+from cohortlens.plans.fixtures import Views
 
 
 def test_telemetry_stamps_are_cut_to_milliseconds(spark, tmp_path):
@@ -18,3 +22,18 @@ def test_telemetry_stamps_are_cut_to_milliseconds(spark, tmp_path):
     con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
     line = verify.compare(spark, con, str(tmp_path), "s6_read_telemetry")
     assert line.startswith("ok"), line
+
+
+@pytest.mark.parametrize("name", ["a12_confusion_at_half", "a13_institution_metrics", "a14_curves", "e1_auroc", "e3_evaluate_locked"])
+def test_metrics_see_scores_of_a_thousand_values(name):
+    assert "% 1000 as double) / 1000" in entry.oracle_sql()[name]
+
+
+def test_scores_are_the_same_in_both_engines(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = Views(spark, folder).predictions(1000).select("run", "image_id", "score").toPandas()
+    assert rows["score"].nunique() > 900
+    con = verify.connect(folder)
+    con.register("got", rows)
+    sql = entry.oracle_sql()["e1_auroc"].split(", s AS (SELECT")[0]
+    assert con.execute(sql + " SELECT count(DISTINCT g.score), count(*) FILTER (p.score <> g.score) FROM preds p JOIN got g USING (run, image_id)").fetchone() == (rows["score"].nunique(), 0)
