@@ -49,6 +49,26 @@ def test_auroc_and_threshold(spark, preds):
         metrics.evaluate_locked(df.withColumn("split", F.lit("val")), ["run"])
 
 
+def test_predictions_are_read_and_scored_once(spark, preds):
+    """Thresholds, metrics and confusion compute a costly score once a row; scores that are no numbers are left out."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def costly(x):
+        seen.add(1)
+        return x
+
+    data = preds[:-40] + [("hot", "nan", "g0", 1, float("nan")), ("hot", "none", "g0", 1, None)]
+    rows = [r for r in data if r[0] != "oneclass"]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("split", F.when(F.xxhash64("image_id") % 2 == 0, "val").otherwise("test"))
+    df = df.withColumns({"score": F.udf(costly, "double")("score"), "source": F.lit("s"), "threshold": F.lit(0.5)})
+    for run in (lambda: metrics.evaluate_locked(df.drop("threshold"), ["run"]), lambda: metrics.institution_metrics(df.drop("threshold"), ["run"]),
+                lambda: metrics.confusion(df, ["run"])):
+        before = seen.value
+        got = run().collect()
+        assert seen.value - before == len(rows)
+    assert {r.run: r.n for r in got} == {k: sum(r[0] == k and r[4] is not None and r[4] == r[4] for r in rows) for k in ("hot", "small")}
+
+
 def test_confusion_agrees_with_metrics_at(spark, preds):
     df = spark.createDataFrame(preds, SCHEMA).withColumn("threshold", F.lit(0.5))
     a = {r.run: r.asDict() for r in metrics.confusion(df, ["run"]).collect()}
