@@ -145,3 +145,21 @@ def test_only_planned_values_compete(spark):
 def test_missing_contrast_is_reported(spark):
     empty = spark.createDataFrame([], "comparison string, img int, frac double, metric string, diff double")
     assert runs.primary_contrast(empty, "x", 224, 1.0, "auroc").first().status == "NOT AVAILABLE"
+
+
+def test_alignment_of_more_runs_than_bits(spark):
+    """More runs than bits in a number, every pair of them, and one run without images. An image is shuffled at most once a task."""
+    runs, images = 70, 300
+    rows = spark.range(runs).selectExpr("concat('r', id) as run", "id as n").crossJoin(spark.range(images).selectExpr("concat('i', id) as image_id", "id as i"))
+    rows = rows.where("not (n % 7 = 3 and i % 10 = n % 10)").repartition(4, "image_id").select("run", "image_id")
+    names = spark.range(runs).selectExpr("concat('r', id) as run")
+    pairs = names.withColumnRenamed("run", "run_1").crossJoin(names.withColumnRenamed("run", "run_2")).where("run_1 < run_2")
+    pairs = pairs.unionByName(spark.createDataFrame([("r0", "unknown")], "run_1 string, run_2 string"))
+    got = {(r.run_1, r.run_2): r.n_unmatched for r in bootstrap.check_aligned(pairs, rows).collect()}
+    have = {}
+    for r in rows.collect():
+        have.setdefault(r.run, set()).add(r.image_id)
+    want = {(a, b): len(have[a] ^ have.get(b, set())) for a, b in pairs.collect()}
+    assert got == want
+    plan = bootstrap.check_aligned(pairs, rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "image_id" not in plan  # pairs meet counts, not images
