@@ -9,6 +9,7 @@ from cohortlens.catalog.base import query
 from cohortlens.operators import folds, joins, quality
 from cohortlens.plans import pool
 from cohortlens.plans.fixtures import Views, with_views
+from cohortlens.session import materialise
 
 
 @query("q1_qc_basic", with_views("qc") + r"""SELECT 'rows' AS check, count(*) AS n FROM qc
@@ -65,16 +66,13 @@ POOL_SQL = with_views("cohort", "meta") + MANIFEST + POOL.format(
            "substr(trim(regexp_replace(e.attribution, '[^A-Za-z0-9]+', '_', 'g'), '_'), 1, 60)) END")
 
 
-def selected_pool(v: Views) -> DataFrame:
-    return pool.select_pool(v.meta(), v.source_map(), manifest(v))
-
-
 @query("q6_pool_leaks", POOL_SQL + """, p AS (SELECT * FROM classified WHERE excluded IS NULL)
 SELECT 'held_out_images' AS check, (SELECT count(*) FROM p WHERE image_id IN (SELECT image_id FROM held)) AS n
 UNION ALL SELECT 'test_source_images', (SELECT count(*) FROM p WHERE source IN (SELECT source FROM tsrc))
 UNION ALL SELECT 'empty', (SELECT (count(*) = 0)::bigint FROM p)""")
 def q6(v: Views) -> DataFrame:
-    return quality.pool_leaks(selected_pool(v), manifest(v))
+    m = materialise(manifest(v).where("split <> 'train'").select("image_id", "lesion_id", "patient_id", "source", "split"), "manifest")
+    return quality.pool_leaks(pool.select_pool(v.meta(), v.source_map(), m), m)
 
 
 @query("q7_licence_mismatches", with_views("cohort", "downloads") + """SELECT count(*) FILTER (api_license IS NOT NULL AND api_license <> license) AS mismatches

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.functions import text
+from cohortlens.session import materialise
 
 # ---- fixed values
 REQUIRED = ["image_id", "patient_id", "lesion_id", "label", "label_source"]
@@ -98,8 +99,11 @@ def device_share(df: DataFrame, focus: str = FOCUS) -> DataFrame:
 
 
 def pool_leaks(pool: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Violations in a pretraining pool: held-out images, images of test sources, and whether it is empty."""
-    held = manifest.where(F.col("split").isin("val", "test")).select("image_id").distinct()
+    """Violations in a pretraining pool: held-out images, images of test sources, and whether it is empty. Pool and held-out
+    rows are stored, as three counts read them."""
+    pool = materialise(pool.select("image_id", "source"), "pool")
+    manifest = materialise(manifest.where(F.col("split").isin("val", "test")).select("image_id", "source", "split"), "held")
+    held = manifest.select("image_id").distinct()
     srcs = manifest.where("split = 'test'").select("source").distinct()
     a = pool.join(held, "image_id", "left_semi").agg(F.count(F.lit(1)).alias("n"))
     b = pool.join(srcs, "source", "left_semi").agg(F.count(F.lit(1)).alias("n"))

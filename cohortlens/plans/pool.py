@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.operators import cohort, joins, similarity
+from cohortlens.session import materialise
 
 # ---- fixed value
 LICENSES = ["CC-0", "CC-BY"]
 
 
 def classify_pool(meta: DataFrame, source_map: DataFrame, manifest: DataFrame, licenses: list[str] = LICENSES) -> DataFrame:
-    """Every dermoscopic row with the first reason that keeps it out of the pool (NULL if it stays)."""
-    rows = cohort.with_source(meta.where(cohort.is_dermoscopic(F.col("image_type"))), source_map)
-    held = manifest.where(F.col("split").isin("val", "test"))
-    return joins.pool_exclusion_reason(rows, held, manifest.where("split = 'test'"), licenses)
+    """Every dermoscopic row with the first reason that keeps it out of the pool (NULL if it stays). The held-out rows are
+    stored, as every identifier is looked up in them; of the metadata only what the pool needs goes along."""
+    rows = meta.where(cohort.is_dermoscopic(F.col("image_type"))).select("image_id", "license", "attribution", "lesion_id", "patient_id")
+    held = materialise(manifest.where(F.col("split").isin("val", "test")).select("image_id", "lesion_id", "patient_id", "source", "split"), "held")
+    return joins.pool_exclusion_reason(cohort.with_source(rows, source_map), held, held.where("split = 'test'"), licenses)
 
 
 def select_pool(meta: DataFrame, source_map: DataFrame, manifest: DataFrame, licenses: list[str] = LICENSES) -> DataFrame:
