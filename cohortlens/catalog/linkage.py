@@ -11,6 +11,7 @@ from cohortlens.catalog.relations import HELD, pool_and_held
 from cohortlens.operators import folds, graph, similarity
 from cohortlens.plans import pool
 from cohortlens.plans.fixtures import DUCK, NEAR, N_BITS, TEST_SOURCES, Views, with_views
+from cohortlens.session import materialise
 
 # Near pairs folded to one row per pair of hashes, and stars inside equal hashes.
 NEAR_SQL = f"""rep AS (SELECT word, min(image_id) AS id, count(*) AS n FROM vecs GROUP BY word),
@@ -136,7 +137,8 @@ FROM one LEFT JOIN ft ON ft.group_id = one.group_id AND split = 'train'""")
 
 @query("h7_partition", PARTITION_SQL)
 def h7(v: Views) -> DataFrame:
-    return folds.partition(v.cohort(), v.decisions(), TEST_SOURCES)
+    c = materialise(v.cohort(), "cohort")
+    return folds.partition(c, v.decisions(c.select("image_id", "label"), ("file", "sha256")), TEST_SOURCES)
 
 
 @query("h8_select_pool", POOL_SQL + "SELECT image_id, license, attribution, source FROM classified WHERE excluded IS NULL")

@@ -9,6 +9,8 @@ import pytest
 
 import __spark_entry__ as entry
 import verify
+from cohortlens.operators import cohort, graph, joins, quality
+from cohortlens.plans import pool
 from cohortlens.plans.fixtures import Views
 
 
@@ -37,3 +39,60 @@ def test_scores_are_the_same_in_both_engines(spark):
     con.register("got", rows)
     sql = entry.oracle_sql()["e1_auroc"].split(", s AS (SELECT")[0]
     assert con.execute(sql + " SELECT count(DISTINCT g.score), count(*) FILTER (p.score <> g.score) FROM preds p JOIN got g USING (run, image_id)").fetchone() == (rows["score"].nunique(), 0)
+
+
+def test_copies_are_decided_like_their_clusters(spark):
+    rows = [("a", "d1", "benign"), ("b", "d1", "malignant"), ("c", "d2", "benign"), ("d", "d2", "benign"), ("e", "d3", "benign")]
+    df = spark.createDataFrame(rows, "image_id string, sha256 string, label string")
+    comp = df.selectExpr("image_id", "min(image_id) over (partition by sha256) as component")
+    want = {tuple(r) for r in graph.decide_clusters(df, comp).select("image_id", "dup_cluster", "action").collect()}
+    assert {tuple(r) for r in graph.decide_copies(df).select("image_id", "dup_cluster", "action").collect()} == want
+    blank = spark.createDataFrame([("x", "", "benign"), ("y", "", "malignant"), ("z", None, "benign")], df.schema)
+    assert {r.action for r in graph.decide_copies(blank).collect()} == {"keep"}
+
+
+@pytest.fixture
+def shuffled(spark):
+    """No broadcast and no adaptive plan: rows stay where the join's keys send them."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield spark
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_blank_keys_do_not_meet_in_one_task(shuffled):
+    df = shuffled.range(4000).selectExpr("concat('i', id) as image_id", "if(id % 2 = 0, '', concat('L', id)) as lesion_id")
+    held = shuffled.range(4000).selectExpr("concat('L', id * 10 + 1) as lesion_id")
+    out = joins.members(df, held, "lesion_id", present=False)
+    got = out.selectExpr("lesion_id", "spark_partition_id() as task").collect()
+    assert sum(r.lesion_id == "" for r in got) == 2000 and len(got) == 3600
+    tasks = [r.task for r in got if r.lesion_id == ""]
+    assert max(tasks.count(t) for t in set(tasks)) < 1000
+
+
+def test_anonymous_rows_do_not_meet_in_one_task(shuffled):
+    """Half of the rows are anonymous; where the lookup is no broadcast they are dealt over the tasks."""
+    spark = shuffled
+    meta = spark.range(4000).selectExpr("concat('i', id) as image_id", "if(id % 2 = 0, ' Anonymous', concat('Lab ', id % 400)) as attribution")
+    smap = spark.range(400).selectExpr("concat('Lab ', id) as attribution", "concat('S', id) as source", "'x' as country")
+    got = cohort.with_source(meta, smap).selectExpr("source", "image_id", "spark_partition_id() as task").collect()
+    assert len(got) == 4000 and sum(r.source == "anonymous" for r in got) == 2000
+    assert all(r.source == f"S{int(r.image_id[1:]) % 400}" for r in got if r.source != "anonymous")
+    tasks = [r.task for r in got if r.source == "anonymous"]
+    assert max(tasks.count(t) for t in set(tasks)) < 1000
+
+
+def test_pool_and_manifest_are_computed_once_for_the_leaks(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(x):
+        seen.add(1)
+        return x
+
+    rows = spark.range(50).selectExpr("concat('i', id) as image_id", "concat('S', id % 5) as source")
+    rows = rows.withColumn("image_id", pool.F.udf(told, "string")("image_id"))
+    held = spark.createDataFrame([("i3", "S9", "test"), ("i4", "S1", "val"), ("i5", "S0", "train")], "image_id string, source string, split string")
+    assert {r.check: r.n for r in quality.pool_leaks(rows, held).collect()} == {"held_out_images": 2, "test_source_images": 0, "empty": 0}
+    assert seen.value == 50
