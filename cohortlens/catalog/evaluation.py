@@ -36,6 +36,11 @@ def e3(v: Views) -> DataFrame:
     return shown_metrics(metrics.evaluate_locked(v.predictions(GRID), ["run"]))
 
 
+def predicted(v: Views) -> DataFrame:
+    """What resampling needs of the predictions."""
+    return v.predictions().select("run", "image_id", "split", "source", "group_id", "y", "score")
+
+
 # Replicates: multiplicities of the groups as one vector a replicate, counts of a score in the groups as another, and their
 # product as the weight of the score.
 def draws_sql(unit: str, table: str, b: int = N_BOOT) -> str:
@@ -68,7 +73,7 @@ CI_SQL = ", ".join(f"round(quantile_cont({k}, {q}), 6) AS {k}_{s}" for k in boot
 SELECT r.run, r.test_source, any_value(g.g) AS n_groups, {N_BOOT} AS n_boot, {N_BOOT} - count(*) AS n_skipped_single_class, {CI_SQL}
 FROM reps r JOIN (SELECT test_source, count(*) AS g FROM gi GROUP BY 1) g USING (test_source) GROUP BY r.run, r.test_source""")
 def e4(v: Views) -> DataFrame:
-    rows = metrics.with_levels(evaluation.locked_test_rows(v.predictions(), ["run"]))
+    rows = metrics.with_levels(evaluation.locked_test_rows(predicted(v).drop("image_id"), ["run"]))
     return rounded(bootstrap.bootstrap_ci(rows, ["run", "test_source"], ["test_source"], N_BOOT), CI)
 
 
@@ -84,7 +89,7 @@ paired AS (SELECT p.*, a.metric, y.value - a.value AS diff, lo AS ci_lo, hi AS c
 
 
 def paired(v: Views) -> DataFrame:
-    rows = evaluation.locked_test_rows(v.predictions(), ["run"]).withColumn("u", F.lit(1))
+    rows = evaluation.locked_test_rows(predicted(v), ["run"]).withColumn("u", F.lit(1))
     return bootstrap.paired_ci(rows, run_pairs(v), "run", ["u"], N_BOOT).drop("u")
 
 
@@ -116,7 +121,7 @@ def e6b(v: Views) -> DataFrame:
 SELECT run, test_source, {METRIC_COLUMNS}, g.g AS n_groups, {N_BOOT} AS n_boot, {N_BOOT} - used AS n_skipped_single_class, cis.* EXCLUDE (run, test_source, used)
 FROM mf JOIN cis USING (run, test_source) JOIN (SELECT test_source, count(*) AS g FROM gi GROUP BY 1) g USING (test_source)""")
 def e7(v: Views) -> DataFrame:
-    return rounded(evaluation.runs_long(v.predictions(), ["run"], N_BOOT), ["auroc", "sensitivity", "specificity", "flag_rate", *CI])
+    return rounded(evaluation.runs_long(predicted(v).drop("image_id"), ["run"], N_BOOT), ["auroc", "sensitivity", "specificity", "flag_rate", *CI])
 
 
 def probe_rows(v: Views) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from cohortlens.operators import bootstrap, metrics
+from cohortlens.session import materialise
 
 
 def locked_test_rows(preds: DataFrame, keys: list[str], target: float = metrics.TARGET_SENSITIVITY) -> DataFrame:
-    """Test rows with the threshold their run locked on validation."""
+    """Test rows with the threshold their run locked on validation. The predictions are stored: thresholds, metrics and
+    replicates read them, and none scores them again."""
+    preds = materialise(preds, "predictions")
     thr = metrics.locked(preds, keys, target)
     return preds.where("split = 'test'").join(thr, keys)
 

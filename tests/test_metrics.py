@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import bootstrap, metrics, ranking, runs
+from cohortlens.plans import evaluation
 
 
 def auc(y, s):
@@ -163,3 +164,42 @@ def test_alignment_of_more_runs_than_bits(spark):
     assert got == want
     plan = bootstrap.check_aligned(pairs, rows)._jdf.queryExecution().optimizedPlan().toString()
     assert "image_id" not in plan  # pairs meet counts, not images
+
+
+def test_sums_of_bytes_by_lanes_carry_nothing():
+    """Segments of all sizes around the number of rows that a byte can take, up to the largest multiplicity."""
+    rng = np.random.default_rng(5)
+    for top, n in ((1, 3), (7, 8), (100, 13), (255, 21)):
+        w = rng.integers(0, top + 1, (900, n)).astype(np.uint8)
+        w[:300] = top
+        lanes = bootstrap._lanes(w)
+        group = rng.integers(0, 900, 2000)
+        first = np.array([0, 1, 3, 40, 300, 301, 1500])
+        want = [w[group[a:b]].sum(axis=0, dtype=np.int64) for a, b in zip(first, [*first[1:], 2000])]
+        assert (bootstrap._segment_sums(lambda g: lanes.take(g, axis=0), group, first, top, n) == np.array(want)).all()
+
+
+def test_locked_test_rows_score_predictions_once(spark, preds):
+    """Thresholds, replicates and metrics of a whole report compute a costly score once a row."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def costly(x):
+        seen.add(1)
+        return x
+
+    rows = [r for r in preds if r[0] != "oneclass"]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("split", F.when(F.xxhash64("image_id") % 2 == 0, "val").otherwise("test"))
+    df = df.withColumns({"score": F.udf(costly, "double")("score"), "source": F.lit("s")})
+    assert evaluation.runs_long(df, ["run"], 10).count() == 4
+    assert seen.value == len(rows)
+
+
+def test_multiplicities_are_the_draws_of_the_slots(spark):
+    """Units of different sizes, a part of the replicates: counted in the tasks as the joined draws count them."""
+    rows = [(u, f"{u}{i}") for u, n in (("a", 30), ("b", 7), ("c", 1)) for i in range(n)]
+    numbered = bootstrap._numbered(spark.createDataFrame(rows, "u string, group_id string"), ["u"])
+    got = bootstrap._multiplicities(numbered, len(rows), 3, 20, 4)
+    want = np.zeros((len(rows), 17), dtype=int)
+    for r in bootstrap._slots(numbered, 3, 20, 4).collect():
+        want[r._id, r._b - 3] += 1
+    assert (got == want).all()
