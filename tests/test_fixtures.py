@@ -96,3 +96,14 @@ def test_pool_and_manifest_are_computed_once_for_the_leaks(spark):
     held = spark.createDataFrame([("i3", "S9", "test"), ("i4", "S1", "val"), ("i5", "S0", "train")], "image_id string, source string, split string")
     assert {r.check: r.n for r in quality.pool_leaks(rows, held).collect()} == {"held_out_images": 2, "test_source_images": 0, "empty": 0}
     assert seen.value == 50
+
+
+def test_decisions_take_whole_log_entries(spark):
+    """Two entries of an image with one number: file and digest come from the same one, whatever columns are asked for."""
+    v = Views(spark, "/root/testdata/sf0.001")
+    tied = v.log().groupBy("image_id", "seq").count().where("count > 1").select("image_id").distinct()
+    assert tied.count() == 1
+    want = {tuple(r) for r in v.downloads().join(tied, "image_id").select("image_id", "sha256").collect()}
+    rows = tied.withColumn("label", pool.F.lit("benign"))
+    for logged in (("sha256",), ("file", "sha256")):
+        assert {(r.image_id, r.sha256) for r in v.decisions(rows, logged).collect()} == want
