@@ -178,3 +178,18 @@ def test_alert_state_spans_batches(spark, tmp_path):
         q.awaitTermination(120)
     got = {r.epoch: (r.median_last3, r.alert) for r in spark.read.parquet(out).collect()}
     assert got == {2: (85.0, True), 3: (85.0, True), 4: (95.0, False)}
+
+
+def test_eligible_records_are_the_unique_ones_that_pass(spark):
+    """Copies, conflicts inside and between eligible and other rows, and nulls that only their place tells apart."""
+    names = ["image_id", "image_type", "confirm", "diagnosis_1", "sex", "body_site"]
+    good, other = ("dermoscopic", "histopathology", "benign"), ("clinical", "histopathology", "benign")
+    rows = [("a", *good, "f", "x"), ("a", *good, "f", "x"), ("b", *good, "f", "x"), ("b", *good, "m", "x"), ("c", *good, "f", None), ("c", *good, None, "f"),
+            ("d", *good, "f", "x"), ("d", *other, "f", "x"), ("e", *other, "f", "x"), ("f", *good, None, None), ("f", *good, None, None), ("", *good, "f", "x")]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in names))
+    steps = cohort.eligibility_steps()
+    got = cohort.eligible_records(df, steps)
+    assert got.columns == names
+    assert {tuple(r) for r in got.collect()} == {rows[0], rows[9]} == {tuple(r) for r in cohort.apply_steps(cohort.unique_records(df), steps).collect()}
+    plan = cohort.eligible_records(df, steps).select("sex")._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(body_site" not in plan and "max(sex" in plan and "struct" not in plan
