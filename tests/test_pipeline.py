@@ -193,3 +193,25 @@ def test_eligible_records_are_the_unique_ones_that_pass(spark):
     assert {tuple(r) for r in got.collect()} == {rows[0], rows[9]} == {tuple(r) for r in cohort.apply_steps(cohort.unique_records(df), steps).collect()}
     plan = cohort.eligible_records(df, steps).select("sex")._jdf.queryExecution().optimizedPlan().toString()
     assert "max(body_site" not in plan and "max(sex" in plan and "struct" not in plan
+
+
+def test_source_gates_compute_the_cohort_once(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    from cohortlens.plans import fixtures
+
+    seen, whole = spark.sparkContext.accumulator(0), fixtures.Views.cohort
+
+    def counted(self):
+        def note(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        c = whole(self)
+        return c.mapInArrow(note, c.schema)
+
+    rows = whole(fixtures.Views(spark, "/root/testdata/sf0.01")).count()
+    monkeypatch.setattr(fixtures.Views, "cohort", counted)
+    assert entry.queries()["p11_input_gates"](spark, "/root/testdata/sf0.01").count() > 0
+    assert seen.value == rows
