@@ -189,8 +189,7 @@ def k3(v: Views) -> DataFrame:
 @query("k4_write_file_list", with_views("cohort", "downloads") + "SELECT file AS value FROM cohort JOIN downloads USING (image_id) WHERE api_license IS NOT NULL")
 def k4(v: Views) -> DataFrame:
     path = scratch_path(v.spark, "list")
-    no_licence = v.downloads().where("api_license is null")
-    writers.write_file_list(pool.file_list(v.cohort(), v.log(), no_licence), path)
+    writers.write_file_list(pool.file_list(v.cohort(), v.downloads(), F.col("api_license").isNull()), path)
     return v.spark.read.text(path)
 
 

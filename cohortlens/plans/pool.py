@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlens.operators import cohort, joins, similarity
 from cohortlens.session import materialise
@@ -51,7 +51,7 @@ def contamination_summary(pool: DataFrame, held: DataFrame, n_bits: int, t: int
     return sizes.join(held_n, "_k").join(ex, "_k").drop("_k")
 
 
-def file_list(pool: DataFrame, log: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
-    """Files of the pool from the latest download log, without the excluded images."""
-    rows = pool.join(joins.last_entry(log).select("image_id", "file"), "image_id")
-    return rows if exclude is None else rows.join(exclude.select("image_id"), "image_id", "left_anti")
+def file_list(pool: DataFrame, latest: DataFrame, exclude: Column | None = None) -> DataFrame:
+    """Files of the pool from the latest entries of the download log; ``exclude``: which entries make no file."""
+    kept = latest if exclude is None else latest.where(~F.coalesce(exclude, F.lit(False)))
+    return pool.join(kept.select("image_id", "file"), "image_id")

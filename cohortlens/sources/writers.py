@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlens.functions.hashing import row_fingerprint
+from cohortlens.session import materialise
 
 
 def write_table(df: DataFrame, path: str, order: list[str], fmt: str = "parquet") -> None:
@@ -40,7 +41,9 @@ def format_report(df: DataFrame, cols: list[str], path: str | None = None, heade
 
 
 def write_file_list(df: DataFrame, path: str) -> None:
-    """One file name to a line, and beside it the attribution table of the same images."""
+    """One file name to a line, and beside it the attribution table of the same images. The rows are computed once and stored
+    for both."""
+    df = materialise(df.select("file", "image_id", "license", "attribution"), "list")
     df.select("file").orderBy("file").write.mode("overwrite").text(path)
     df.select("image_id", "license", "attribution").write.mode("overwrite").csv(f"{path}_attribution", header=True)
 

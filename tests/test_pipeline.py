@@ -215,3 +215,21 @@ def test_source_gates_compute_the_cohort_once(spark, monkeypatch):
     monkeypatch.setattr(fixtures.Views, "cohort", counted)
     assert entry.queries()["p11_input_gates"](spark, "/root/testdata/sf0.01").count() > 0
     assert seen.value == rows
+
+
+def test_file_list_computes_its_rows_once(spark, tmp_path):
+    from cohortlens.sources import writers
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    log = spark.createDataFrame([(f"i{i}", f"f{i}", None if i == 3 else "CC-0") for i in range(5)], "image_id string, file string, api_license string")
+    rows = spark.createDataFrame([(f"i{i}", "CC-0", "me") for i in range(1, 6)], "image_id string, license string, attribution string")
+    listed = pool.file_list(rows.mapInArrow(note, rows.schema), log, F.col("api_license").isNull())
+    writers.write_file_list(listed, str(tmp_path / "list"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "list")).orderBy("value").collect()] == ["f1", "f2", "f4"]
+    assert spark.read.csv(str(tmp_path / "list_attribution"), header=True).count() == 3 and seen.value == 5
