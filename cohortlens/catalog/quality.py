@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.catalog.aggregates import MANIFEST, manifest
 from cohortlens.catalog.base import query
@@ -48,7 +48,9 @@ def q4(v: Views) -> DataFrame:
 SELECT (SELECT count(*) FROM (SELECT group_id FROM m GROUP BY 1 HAVING count(DISTINCT split) > 1)) AS groups_in_several_splits,
  (SELECT count(*) FROM m WHERE split <> 'test' AND sha256 IN (SELECT sha256 FROM m WHERE split = 'test')) AS test_copies_in_development""")
 def q5(v: Views) -> DataFrame:
-    return folds.invariants(joins.matched(manifest(v), v.downloads().select("image_id", "sha256")))
+    """Two rules over the same rows, which are stored for them."""
+    rows = joins.matched(manifest(v).select("image_id", "group_id", "split"), v.downloads().select("image_id", "sha256"))
+    return folds.invariants(materialise(rows.select("group_id", "split", F.unhex("sha256").alias("sha256")), "matched").withColumn("sha256", F.hex("sha256")))
 
 
 POOL = """, held AS (SELECT * FROM manifest WHERE split IN ('val', 'test')), tsrc AS (SELECT DISTINCT source FROM manifest WHERE split = 'test'),

@@ -233,3 +233,9 @@ def test_file_list_computes_its_rows_once(spark, tmp_path):
     writers.write_file_list(listed, str(tmp_path / "list"))
     assert [r.value for r in spark.read.text(str(tmp_path / "list")).orderBy("value").collect()] == ["f1", "f2", "f4"]
     assert spark.read.csv(str(tmp_path / "list_attribution"), header=True).count() == 3 and seen.value == 5
+
+
+def test_invariants_of_groups_and_copies(spark):
+    bad = spark.createDataFrame([("g", "train", "1"), ("g", "val", "2"), ("h", "test", "3"), ("h", "test", "3"), ("i", "train", "3"), ("j", None, ""), ("j", "val", "")],
+                                "group_id string, split string, sha256 string")
+    assert tuple(folds.invariants(bad).first()) == (1, 1)
