@@ -239,3 +239,15 @@ def test_invariants_of_groups_and_copies(spark):
     bad = spark.createDataFrame([("g", "train", "1"), ("g", "val", "2"), ("h", "test", "3"), ("h", "test", "3"), ("i", "train", "3"), ("j", None, ""), ("j", "val", "")],
                                 "group_id string, split string, sha256 string")
     assert tuple(folds.invariants(bad).first()) == (1, 1)
+
+
+def test_latest_log_over_one_and_several_batches(spark, tmp_path):
+    cols = "image_id string, file string, seq long"
+    one, two = (spark.createDataFrame(r, cols) for r in ([("a", "1", 1), ("a", "2", 2), ("b", "3", 1)], [("a", "0", 1), ("b", "4", 5)]))
+    write = monitors.log_upsert(str(tmp_path))
+    write(one, 0)
+    alone = monitors.latest_log(spark.read.parquet(str(tmp_path)))
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in alone.select("image_id", "file").collect()} == {("a", "2"), ("b", "3")}
+    write(two, 1)
+    assert {tuple(r) for r in monitors.latest_log(spark.read.parquet(str(tmp_path))).select("image_id", "file").collect()} == {("a", "2"), ("b", "4")}
