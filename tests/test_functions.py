@@ -47,3 +47,10 @@ def test_vector_norms(spark):
     df = spark.createDataFrame([([3.0, 4.0], [0.0, 5.0])], "a array<double>, b array<double>")
     r = df.select(vectors.rel_l2(F.col("a"), F.col("b")).alias("r"), vectors.max_abs_diff(F.col("a"), F.col("b")).alias("m")).first()
     assert r.r == pytest.approx(10 ** 0.5 / 5) and r.m == 3.0
+
+
+def test_cells_are_stripped_like_texts(spark):
+    cells = ["", " ", "a", " a", "a ", "\ta b\n", "é", "é ", " x", "x　", "x\x1f", "\x85", "a b", "!~", "~", "\x7fa", "a\U0001f600", " \U0001f600 ", None]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    got = df.select("c", text.strip(F.col("c")).alias("a"), text.strip_cell(F.col("c")).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got]
