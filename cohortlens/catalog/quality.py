@@ -50,7 +50,7 @@ SELECT (SELECT count(*) FROM (SELECT group_id FROM m GROUP BY 1 HAVING count(DIS
 def q5(v: Views) -> DataFrame:
     """Two rules over the same rows, which are stored for them."""
     rows = joins.matched(manifest(v).select("image_id", "group_id", "split"), v.downloads().select("image_id", "sha256"))
-    return folds.invariants(materialise(rows.select("group_id", "split", F.unhex("sha256").alias("sha256")), "matched").withColumn("sha256", F.hex("sha256")))
+    return folds.invariants(materialise(rows.select("group_id", "split", F.unhex("sha256").alias("sha256")), "matched"))
 
 
 POOL = """, held AS (SELECT * FROM manifest WHERE split IN ('val', 'test')), tsrc AS (SELECT DISTINCT source FROM manifest WHERE split = 'test'),

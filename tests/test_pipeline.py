@@ -239,6 +239,7 @@ def test_invariants_of_groups_and_copies(spark):
     bad = spark.createDataFrame([("g", "train", "1"), ("g", "val", "2"), ("h", "test", "3"), ("h", "test", "3"), ("i", "train", "3"), ("j", None, ""), ("j", "val", "")],
                                 "group_id string, split string, sha256 string")
     assert tuple(folds.invariants(bad).first()) == (1, 1)
+    assert tuple(folds.invariants(bad.withColumn("sha256", F.unhex(F.concat("sha256", "sha256")))).first()) == (1, 1)
 
 
 def test_latest_log_over_one_and_several_batches(spark, tmp_path):
