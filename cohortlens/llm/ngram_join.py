@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.llm import textgrid as tg
 from cohortlens.operators.graph import components
@@ -33,6 +33,7 @@ from cohortlens.session import materialise
 SHINGLE = 5
 DELETION_BAND = 64
 STARS, MANY_STARS, MANY = 2, 24, 48
+CROWDED, SKETCH = 16, 1024
 FULL, DELETED, SIZE = 0, 1, 2
 POSTINGS = "key long, id long, band int, segment int, kind int, own boolean, twofold boolean, n int, units int"
 MULTI = POSTINGS + ", count int"
@@ -177,6 +178,30 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> It
                                   names=["src", "dst"])
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the shingles by hash, as signed words of 64 bits."""
+    bit = (tg.mix(s ^ np.uint64(SKETCH)) % np.uint64(SKETCH)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    names = ["id", *(f"b{i}" for i in range(SKETCH // 64))]
+    for batch in batches:
+        for block in tg.blocks(batch.column(1)):
+            rows = np.array([sketch(s) for s in tg.shingle_sets(tg.words(block, lower=True), k)]).reshape(-1, SKETCH // 64)
+            yield pa.record_batch([batch.column(0).slice(block.lo, block.hi - block.lo), *(pa.array(c) for c in rows.T.copy())], names=names)
+
+
+def crowded_pairs(probe: DataFrame, index: DataFrame, sketches: DataFrame, fits: Column, num: int, den: int) -> DataFrame:
+    """(r, s): the pairs that meet at a key and whose sketches differ in no more bits than the similarity allows."""
+    words = [c for c in sketches.columns if c != "id"]
+    mine = sketches.select(F.col("id").alias("r"), *(F.col(c).alias(f"r{c}") for c in words))
+    theirs = sketches.select(F.col("id").alias("s"), *(F.col(c).alias(f"s{c}") for c in words))
+    differ = sum((F.bit_count(F.col(f"r{c}").bitwiseXOR(F.col(f"s{c}"))) for c in words), F.lit(0))
+    return (probe.join(mine, "r").join(index.join(theirs, "s"), "key")
+            .where(fits & (differ * (den + num) <= (F.col("nr") + F.col("ns")) * (den - num))).select("r", "s"))
+
+
 def link(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(src, dst): the pairs (a, b) of ids whose texts really are similar. ``texts``: (id, text)."""
     rows = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
@@ -252,7 +277,14 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index = (open_.where("own").select("key", "id", "c").join(size, "id").join(asking.select("key").distinct(), "key", "left_semi")
              .select("key", F.col("id").alias("s"), F.col("n").alias("ns"), F.col("c").alias("cs")))
     fits = (F.col("ns") <= F.col("nr")) & (F.col("ns") * den >= F.col("nr") * num)
-    cross = probe.join(index, "key").where(fits & (F.col("cr") != F.col("cs"))).select("r", "s")
+    apart = fits & (F.col("cr") != F.col("cs"))
+    crowded = materialise(open_.where(F.col("all") >= CROWDED).select("key").distinct(), "crowded")
+    dense_r, dense_s = (materialise(x.join(crowded, "key", "left_semi"), "dense") for x in (probe, index))
+    dense = dense_r.select(F.col("r").alias("id")).unionByName(dense_s.select(F.col("s").alias("id"))).distinct()
+    sketches = materialise(involved.join(dense, "id", "left_semi").distinct()
+                           .mapInArrow(lambda it: _sketches(it, k), ", ".join(["id long", *(f"b{i} long" for i in range(SKETCH // 64))])), "sketches")
+    cross = (probe.join(crowded, "key", "left_anti").join(index, "key").where(apart).select("r", "s")
+             .unionByName(crowded_pairs(dense_r, dense_s, sketches, apart, num, den)))
     short = lacking(sizes, num, den).where("need > 0").select(F.col("id").alias("r"), "band", F.col("n").alias("nr"))
     rest = (short.join(sizes.where("own").select(F.col("id").alias("s"), "band", F.col("n").alias("ns")), "band")
             .where(fits & (F.col("r") != F.col("s"))).select("r", "s"))

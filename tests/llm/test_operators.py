@@ -100,6 +100,34 @@ def test_sets_in_too_few_segments_are_compared_with_the_band(make, monkeypatch):
     assert {r[0]: r[1:] for r in rows_of(got)} == brute_components(texts)
 
 
+def test_near_copies_under_the_threshold_are_not_listed(make, monkeypatch):
+    """Each text has four words of its own in a common base, some share theirs: few of all pairs are worth a comparison."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(200)]
+    texts: dict[int, str] = {}
+    for n in range(240):
+        words = list(base)
+        for i in rng.choice(200, 4, replace=False):
+            words[i] = f"e{n}_{i}"
+        texts[n] = " ".join(words)
+    texts |= {300 + n: texts[n].replace("w7 ", "neu ") for n in range(5)}
+    listed, link = [], ngram_join.link
+    monkeypatch.setattr(ngram_join, "link", lambda pairs, *rest: listed.append(pairs.count()) or link(pairs, *rest))
+    got = ngram_join.ngram_join(make("doc_id long, text string", list(texts.items())))
+    assert {r[0]: r[1:] for r in rows_of(got)} == brute_components(texts)
+    assert listed[1] < 8_000  # 24,248 without sketches
+
+
+def test_sketches_differ_in_no_more_bits_than_the_sets():
+    rng = np.random.default_rng(4)
+    for n in (3, 140, 2000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for cut in (0, n // 10, n // 2):
+            b = np.unique(np.concatenate((a[cut:], rng.integers(0, 1 << 63, cut).astype(np.uint64))))
+            bits = sum(int(x).bit_count() for x in (ngram_join.sketch(a) ^ ngram_join.sketch(b)).view(np.uint64))
+            assert bits <= len(np.setxor1d(a, b)) and (cut == 0) == (bits == 0)
+
+
 def test_language_held_out_accuracy(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     out = langid.identify(docs, langid.train(docs.where(~langid.held_out()))).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
