@@ -1,9 +1,12 @@
 """Language identification by interpolated Kneser-Ney character models (operator 1).
 
 The n-grams of all training documents are counted: each task counts words once per group of texts and n-grams once per
-distinct word, Spark sums the counts. A language keeps its ``CAPACITY`` most frequent 5-grams (a bound on the model, not on
-what is counted); shorter orders are continuation counts derived from them. A word is scored with its boundaries, so a
-document's cross-entropy is a sum over its distinct words, divided by its letters and word ends.
+distinct word, Spark sums the counts; shorter orders are continuation counts derived from them. A word is scored with its
+boundaries, so a document's cross-entropy is a sum over its distinct words, divided by its letters and word ends.
+
+Up to ``CAPACITY`` 5-grams a language the whole model is sent to the tasks. A larger one stays in Spark, all orders of it, and
+the tasks get the log probabilities of as many of each language's most frequent 5-grams; what else a document holds is looked up
+by joins, order by order, and added to its sum. Either way every counted n-gram takes part.
 
 A model is a set of sorted hash arrays, one an order, with a column of log probabilities for every language, and one with
 the backoff weights of contexts. The language of lowest cross-entropy is chosen. The margin to the second is calibrated
@@ -13,8 +16,9 @@ language's own marks a document as rejected.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +162,78 @@ def kneser_ney(code: np.ndarray, n: np.ndarray) -> tuple[list, list]:
     return probs, backs
 
 
+@dataclass
+class Tail:
+    """The whole model as tables: (lang, ord, code, count), (lang, ord, context, total, types), and the discounts by
+    language and order."""
+
+    levels: DataFrame
+    contexts: DataFrame
+    discount: dict[tuple[str, int], float]
+
+    def logs(self, codes: DataFrame) -> DataFrame:
+        """(code, logs): the log probabilities of distinct codes in every language, in order. An order's codes meet those of
+        the order below, of which each stands for 4,096 at most."""
+        langs = sorted({lang for lang, _ in self.discount})
+        lower = None
+        for order in range(1, ORDER + 1):
+            kinds = F.explode(F.array(*[F.struct(F.lit(v).alias("lang"), F.lit(self.discount[v, order]).alias("d")) for v in langs]))
+            asked = (codes.select(_low(order).alias("code")).distinct().select("code", kinds.alias("k")).select("code", "k.*")
+                     .withColumns({"context": F.shiftright("code", 12), "below": _low(order - 1)}))
+            rows = (asked.join(self.contexts.where(F.col("ord") == order).drop("ord"), ["lang", "context"], "left")
+                    .join(self.levels.where(F.col("ord") == order).drop("ord"), ["lang", "code"], "left"))
+            rows = rows.withColumn("p", F.lit(1 / 4096)) if lower is None else rows.join(lower, ["lang", "below"])
+            seen = F.greatest(F.coalesce("count", F.lit(0)) - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("d") * F.col("types") / F.col("total") * F.col("p")
+            found = rows.select("lang", "code", F.when(F.col("total").isNull(), F.col("p")).otherwise(seen).alias("p"))
+            lower = materialise(found, "order").withColumnRenamed("code", "below")
+        by = F.sort_array(F.collect_list(F.struct("lang", F.log("p").alias("log"))))
+        return lower.groupBy(F.col("below").alias("code")).agg(F.transform(by, lambda x: x["log"]).alias("logs"))
+
+
+def _low(order: int) -> Column:
+    return F.col("code").bitwiseAND(F.lit((1 << 12 * order) - 1))
+
+
+def tables(sums: DataFrame) -> Tail:
+    """The model of all counted 5-grams (lang, code, n)."""
+    level = sums.select("lang", "code", F.col("n").alias("count"))
+    levels, contexts, discount = None, None, {}
+    for order in range(ORDER, 0, -1):
+        if order < ORDER:
+            level = level.groupBy("lang", _low(order).alias("code")).agg(F.count(F.lit(1)).alias("count"))
+        level = materialise(level, "level")
+        for lang, n1, n2 in level.groupBy("lang").agg(F.count_if(F.col("count") == 1), F.count_if(F.col("count") == 2)).collect():
+            discount[lang, order] = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
+        some = level.groupBy("lang", F.shiftright("code", 12).alias("context")).agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("types"))
+        some, named = some.withColumn("ord", F.lit(order)), level.withColumn("ord", F.lit(order))
+        levels, contexts = (named, some) if levels is None else (levels.unionByName(named), contexts.unionByName(some))
+    return Tail(levels, materialise(contexts, "contexts"), discount)
+
+
+def entropies(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` with ``bits`` a symbol in every language and ``size`` instead of ``text``, by head and tail."""
+    rest = [c for c in rows.columns if c != "text"]
+    held = rows.sparkSession.sparkContext.broadcast(replace(model, tail=None))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, texts in _groups(batch, len(rest) + 1):
+                logs, size, missed = held.value.partial(texts)
+                yield pa.record_batch([*(batch.column(c).slice(lo, len(texts)) for c in range(len(rest) + 1)), pa.array(logs.tolist(), pa.list_(pa.float64())),
+                                       pa.array(size.astype(float)), pa.array(missed, pa.list_(pa.struct([("code", pa.int64()), ("n", pa.int64())])))],
+                                      names=[*rest, "_row", "_logs", "size", "_missed"])
+
+    kinds = dict(rows.dtypes)
+    some = materialise(rows.select(*rest, F.monotonically_increasing_id().alias("_row"), "text").mapInArrow(
+        summed, ", ".join([*(f"{c} {kinds[c]}" for c in rest), "_row long, _logs array<double>, size double, _missed array<struct<code:long,n:long>>"])), "heads")
+    missed = some.select("_row", F.explode("_missed").alias("m")).select("_row", "m.*")
+    logs = materialise(model.tail.logs(missed.select("code").distinct()), "tails")
+    langs = range(len(model.langs))
+    more = missed.join(logs, "code").groupBy("_row").agg(F.array(*[F.sum(F.col("n") * F.col("logs")[j]) for j in langs]).alias("_more"))
+    bits = [-(F.col("_logs")[j] + F.coalesce(F.col("_more")[j], F.lit(0.0))) / F.greatest("size", F.lit(1.0)) / float(np.log(2)) for j in langs]
+    return some.join(more, "_row", "left").select(*rest, F.array(*bits).alias("bits"), "size")
+
+
 @dataclass
 class Model:
     """Sorted hashes of n-grams with log probabilities, and of contexts with log backoff weights, by order from 1; a column
@@ -169,6 +245,8 @@ class Model:
     slope: float = 1.0
     shift: float = 0.0
     usual: np.ndarray | None = None
+    head: tuple[np.ndarray, np.ndarray] | None = None
+    tail: Tail | None = None
 
     def logs(self, code: np.ndarray) -> np.ndarray:
         out = np.zeros((len(code), len(self.langs)), dtype=np.float32)
@@ -198,14 +276,38 @@ class Model:
                 bits[:, j] = np.bincount(x.doc, a_word[x.word], len(texts))
         return -bits / np.maximum(size, 1)[:, None] / np.log(2), size
 
+    def partial(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[dict]]]:
+        """Sums of the logs of every text by the head alone, its number of symbols, and the codes that are not in the head."""
+        x = lexicon(texts)
+        logs, size, missed = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts)), [[] for _ in texts]
+        if not len(x.word):
+            return logs, size, missed
+        code, of = grams(x)
+        distinct, back = np.unique(code, return_inverse=True)
+        at, hit = _find(self.head[0], distinct)
+        known = np.where(hit[:, None], self.head[1][at], 0) if len(self.head[0]) else np.zeros((len(distinct), len(self.langs)))
+        size = np.bincount(x.doc, (x.length + 1)[x.word], len(texts))
+        for j in range(len(self.langs)):
+            logs[:, j] = np.bincount(x.doc, np.bincount(of, known[back, j], len(x.length))[x.word], len(texts))
+        odd = np.flatnonzero(~hit[back])
+        by = np.argsort(x.word, kind="stable")
+        first = np.searchsorted(x.word[by], np.arange(len(x.length) + 1))
+        for i in odd.tolist():
+            w = of[i]
+            for doc in x.doc[by[first[w]:first[w + 1]]].tolist():
+                missed[doc].append(int(code[i]))
+        return logs, size, [[{"code": c, "n": n} for c, n in Counter(m).items()] for m in missed]
+
     def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Number of the chosen language (-1: no letter), score, rejected, bits a symbol."""
-        bits, size = self.entropy(texts)
+        return self.choose(*self.entropy(texts))
+
+    def choose(self, bits: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         best = bits.argmin(axis=1)
         some = size > 0
-        low = bits[np.arange(len(texts)), best]
+        low = bits[np.arange(len(size)), best]
         score = np.where(some, 1 / (1 + np.exp(-(self.slope * evidence(bits, size) + self.shift))), 0)
-        odd = low > self.usual[best] if self.usual is not None else np.zeros(len(texts), dtype=bool)
+        odd = low > self.usual[best] if self.usual is not None else np.zeros(len(size), dtype=bool)
         return np.where(some, best, -1), score, ~some | odd | (score < 0.5), low
 
 
@@ -248,9 +350,8 @@ def assemble(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     return model
 
 
-def calibrate(model: Model, texts: list[str], truth: list[str]) -> Model:
+def calibrate(model: Model, bits: np.ndarray, size: np.ndarray, truth: list[str]) -> Model:
     """Logistic regression of being right on the evidence (with Platt's targets), and the usual range of each language."""
-    bits, size = model.entropy(texts)
     some = size > 0
     best = bits.argmin(axis=1)
     right = np.array([model.langs[b] == t for b, t in zip(best, truth, strict=True)])[some]
@@ -283,16 +384,30 @@ def train(docs: DataFrame, capacity: int = CAPACITY, calibration: int = CALIBRAT
     known = docs.select("lang", "text", "doc_id").where("lang is not null and text is not null")
     sums = known.select("lang", "text").mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     sums = materialise(sums, "ngrams")
-    counts = {}
-    for (lang,) in sums.select("lang").distinct().collect():
-        top = sums.where(F.col("lang") == lang).select("code", "n").orderBy(F.desc("n"), "code").limit(capacity).toPandas()
-        counts[lang] = (top["code"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy())
-    if not counts:
+    sizes = dict(sums.groupBy("lang").count().collect())
+    if not sizes:
         return None
     short = known.where(F.length("text") <= CALIBRATION_CHARS)
     ids = materialise(short.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration).distinct(), "sample")
-    some = short.join(ids, "doc_id", "left_semi").orderBy("doc_id", "text").select("text", "lang").toPandas()
-    return calibrate(assemble(counts), some["text"].tolist(), some["lang"].tolist())
+    some = short.join(ids, "doc_id", "left_semi")
+    if max(sizes.values()) > capacity:
+        model = Model(sorted(sizes), [], [], tail=tables(sums))
+        frequent = None
+        for lang in model.langs:
+            top = sums.where(F.col("lang") == lang).orderBy(F.desc("n"), "code").limit(capacity).select("code")
+            frequent = top if frequent is None else frequent.unionByName(top)
+        top = model.tail.logs(materialise(frequent.distinct(), "head")).orderBy("code").toPandas()
+        model.head = top["code"].to_numpy().astype(np.uint64), np.array(top["logs"].tolist(), dtype=np.float32).reshape(-1, len(model.langs))
+        seen = entropies(some.select("doc_id", "lang", "text"), model).orderBy("doc_id", "size").toPandas()
+        bits = np.array(seen["bits"].tolist(), dtype=float).reshape(-1, len(model.langs))
+        return calibrate(model, bits, seen["size"].to_numpy(), seen["lang"].tolist())
+    counts = {}
+    for lang in sizes:
+        whole = sums.where(F.col("lang") == lang).select("code", "n").toPandas()
+        counts[lang] = (whole["code"].to_numpy().astype(np.int64).view(np.uint64), whole["n"].to_numpy())
+    model = assemble(counts)
+    seen = some.orderBy("doc_id", "text").select("text", "lang").toPandas()
+    return calibrate(model, *model.entropy(seen["text"].tolist()), seen["lang"].tolist())
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -302,7 +417,24 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     Otherwise ``lang_pred`` is the best language and ``rejected`` says that it should not be trusted. Ties go to the first
     language in order. Repeated rows stay repeated; an empty table gives an empty result.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    names = ["doc_id", "held_out", "lang_pred", "score", "rejected", "bits"]
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double, rejected boolean, bits double"
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    tiered = model is not None and model.tail is not None
+    held = docs.sparkSession.sparkContext.broadcast(replace(model, tail=None, head=None) if tiered else model)
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            best, score, rejected, bits = m.choose(np.array(batch.column(2).to_pylist()), batch.column(3).to_numpy())
+            said = [m.langs[b] if b >= 0 else UNKNOWN for b in best.tolist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array(score.astype(float)), pa.array(rejected),
+                                   pa.array(bits.astype(float))], names=names)
+
+    if tiered:
+        return entropies(rows, model).mapInArrow(chosen, schema)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -310,10 +442,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             for lo, texts in _groups(batch, 2):
                 n = len(texts)
                 best, score, rejected, bits = m.judge(texts) if m is not None else (np.full(n, -1), np.zeros(n), np.ones(n, dtype=bool), np.zeros(n))
-                names = [m.langs[b] if b >= 0 else UNKNOWN for b in best.tolist()]
-                yield pa.record_batch([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(names, pa.string()), pa.array(score.astype(float)),
-                                       pa.array(rejected), pa.array(bits.astype(float))], names=["doc_id", "held_out", "lang_pred", "score", "rejected", "bits"])
+                said = [m.langs[b] if b >= 0 else UNKNOWN for b in best.tolist()]
+                yield pa.record_batch([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(said, pa.string()), pa.array(score.astype(float)),
+                                       pa.array(rejected), pa.array(bits.astype(float))], names=names)
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(
-        scored, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean, bits double")
+    return rows.mapInArrow(scored, schema)

@@ -137,6 +137,15 @@ def test_language_held_out_accuracy(spark):
     assert all(r[1] == (zlib.crc32(str(r[0]).encode()) % 3 == 1) for r in rows_of(out.select("doc_id", "held_out")))
 
 
+def test_a_small_capacity_drops_no_ngram(make):
+    """With 1,000 codes in the tasks the rest is joined: the scores are those of the whole model."""
+    rows = duckdb.sql(f"select doc_id, text, lang from '{SF}/documents.parquet' where length(text) < 3000 order by doc_id limit 120").fetchall()
+    docs = make("doc_id long, text string, lang string", [*rows, (900, None, "en"), (901, "", "de"), (902, "123", "en"), (None, "ganz neue Wörter", None), (rows[0][0], *rows[0][1:])])
+    got = [sorted(rows_of(langid.identify(docs, langid.train(docs, capacity=n))), key=str) for n in (1 << 20, 1_000)]
+    assert [r[:3] for r in got[0]] == [r[:3] for r in got[1]] and len(got[0]) == len(rows) + 5
+    assert np.allclose([[*r[3:]] for r in got[0]], [[*r[3:]] for r in got[1]], rtol=1e-3, atol=1e-4)
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     code, of = langid.grams(x := langid.lexicon(["abab aba bab abba ba"]))
     codes, n = langid._add(None, code, np.bincount(x.word, minlength=len(x.length))[of])
