@@ -18,7 +18,8 @@ words and a Jaccard similarity of at least ``threshold`` is a repeated passage.
 A first that shares only a shorter phrase hides nothing: windows that are in no passage with it are grouped anew by more of
 their surroundings. A passage of 50 words that covers a window of 16 goes on for 17 words to its left or to its right, so
 windows that share neither drop out; of the rest every run of 50 words that covers the window is a key, and equal keys are
-passages. Two such steps suffice whatever the size of a group.
+passages. Two such steps suffice whatever the size of a group. Windows of one document with the same surroundings (a phrase
+said over and over) are one row with a list of places.
 
 Texts are joined once for each document; what is sent on for a pair of documents is the words around its windows
 (``CONTEXT`` on either side), not the text.
@@ -167,12 +168,22 @@ def _trim(batches: Iterator[pa.RecordBatch], context: int) -> Iterator[pa.Record
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
-def _passages(batches: Iterator[pa.RecordBatch], threshold: float, min_words: int) -> Iterator[pa.RecordBatch]:
-    """Rows with words > 0: the repeated passages of a document and an origin. Rows with words = 0: a window by a key of its
-    surroundings, ``missed`` if it is in none of the passages."""
+def _by_sides(key: np.ndarray, ident: np.ndarray, start: np.ndarray, missed: np.ndarray) -> tuple:
+    """A row for every key of a document: (key, id, starts, missed), ``missed`` if any of its windows is."""
+    order = np.lexsort((start, key, ident))
+    key, ident, start, missed = key[order], ident[order], start[order], missed[order]
+    first = np.append(0, np.flatnonzero((key[1:] != key[:-1]) | (ident[1:] != ident[:-1])) + 1)
+    starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(start.astype(np.int32)))
+    return key[first], ident[first], starts, np.logical_or.reduceat(missed, first)
+
+
+def _passages(batches: Iterator[pa.RecordBatch], threshold: float, min_words: int, sides: bool) -> Iterator[pa.RecordBatch]:
+    """Rows with words > 0: the repeated passages of a document and an origin. Rows with words = 0 (if ``sides``): the windows of
+    a document by a key of their surroundings, ``missed`` if one of them is in none of the passages."""
     inside = np.arange(WINDOW)
-    half = max(0, min_words - WINDOW) // 2
-    names = ["key", "id", "start", "words", "origin", "origin_start", "missed"]
+    half = max(0, min_words - WINDOW) // 2 if sides else 0
+    kinds = {"key": pa.int64(), "id": pa.int64(), "start": pa.int32(), "words": pa.int32(), "origin": pa.int64(), "origin_start": pa.int32(),
+             "starts": pa.list_(pa.int32()), "missed": pa.bool_()}
     last: tuple = (None,)
     for batch in batches:
         out: list[tuple] = []
@@ -208,7 +219,7 @@ def _passages(batches: Iterator[pa.RecordBatch], threshold: float, min_words: in
                     span = stretch(grow(back, yback, len(x) - a, len(y) - b, sxb, syb), grow(x, y, a, b, sx, sy), threshold, min_words)
                     if span:
                         left, oleft, right, _ = span
-                        out.append((0, ident, off + a - left, left + right, origin, b - oleft, False))
+                        out.append((0, ident, off + a - left, left + right, origin, b - oleft, None, False))
                         covered |= (s >= a - left) & (s + WINDOW <= a + right)
                 if half:
                     for l in (0, half):
@@ -216,13 +227,12 @@ def _passages(batches: Iterator[pa.RecordBatch], threshold: float, min_words: in
                         if ok.any():
                             around.append((_run_hash(x, s[ok] - l, WINDOW + half), np.full(int(ok.sum()), ident), off + s[ok], ~covered[ok] & (ident != origin)))
         if out:
-            yield pa.record_batch([pa.array(c, pa.bool_() if n == "missed" else pa.int32() if n in ("start", "words", "origin_start") else pa.int64())
-                                   for n, c in zip(names, zip(*out, strict=True), strict=True)], names=names)
+            yield pa.record_batch([pa.array(c, kind) for kind, c in zip(kinds.values(), zip(*out, strict=True), strict=True)], names=list(kinds))
         if around:
-            key, ident, start, missed = (np.concatenate(c) for c in zip(*around, strict=True))
+            key, ident, starts, missed = _by_sides(*(np.concatenate(c) for c in zip(*around, strict=True)))
             none = pa.array(np.zeros(len(key), dtype=np.int32))
-            yield pa.record_batch([pa.array(tg.signed(key)), pa.array(ident.astype(np.int64)), pa.array(start.astype(np.int32)), none,
-                                   none.cast(pa.int64()), none, pa.array(missed)], names=names)
+            yield pa.record_batch([pa.array(tg.signed(key)), pa.array(ident.astype(np.int64)), none, none, none.cast(pa.int64()), none,
+                                   starts, pa.array(missed)], names=list(kinds))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -250,15 +260,15 @@ def _stars(groups: DataFrame) -> DataFrame:
     return rows.join(lead, "key").where("id > origin or start > ostart").select("id", "origin", "start", "ostart")
 
 
-def _compared(stars: DataFrame, texts: DataFrame, threshold: float, min_words: int) -> DataFrame:
+def _compared(stars: DataFrame, texts: DataFrame, threshold: float, min_words: int, sides: bool) -> DataFrame:
     """The rows of ``_passages`` for all windows and their firsts; one row of windows and one text for each document."""
     seeds = stars.groupBy("id").agg(F.collect_set(F.struct("origin", "start", "ostart")).alias("at"))
     near = (seeds.join(texts, "id").select("id", "at", "text")
             .mapInArrow(lambda it: _trim(it, CONTEXT), "id long, origin long, starts array<int>, ostarts array<int>, begins array<int>, parts array<string>"))
     return materialise(near.join(texts.select(F.col("id").alias("origin"), F.col("text").alias("ty")), "origin")
                        .select("id", "origin", "starts", "ostarts", "begins", "parts", "ty")
-                       .mapInArrow(lambda it: _passages(it, threshold, min_words),
-                                   "key long, id long, start int, words int, origin long, origin_start int, missed boolean"), "passages")
+                       .mapInArrow(lambda it: _passages(it, threshold, min_words, sides),
+                                   "key long, id long, start int, words int, origin long, origin_start int, starts array<int>, missed boolean"), "passages")
 
 
 def _copies(rows: DataFrame, copies: DataFrame, min_words: int) -> DataFrame:
@@ -291,16 +301,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     stars = materialise(_stars(groups), "stars")
     wanted = stars.select(F.explode(F.array("id", "origin")).alias("id")).distinct()
     texts = materialise(firsts.join(wanted, "id", "left_semi"), "texts")
-    seen = _compared(stars, texts, threshold, min_words)
+    seen = _compared(stars, texts, threshold, min_words, True)
     found = seen.where("words > 0").select("id", "start", "words", "origin", "origin_start")
 
-    window = seen.where("words = 0").groupBy("key", "id", "start").agg(F.min("missed").alias("missed"))
-    unclear = materialise(window.groupBy("key").agg(F.max("missed").alias("missed"), F.min("id").alias("a"), F.max("id").alias("z"))
+    windows = seen.where("words = 0")
+    unclear = materialise(windows.groupBy("key").agg(F.max("missed").alias("missed"), F.min("id").alias("a"), F.max("id").alias("z"))
                           .where("missed and a < z").select("key"), "unclear")
     if not unclear.isEmpty():
-        open_ = seen.where("words = 0").join(unclear, "key", "left_semi").groupBy("id").agg(F.collect_set("start").alias("starts"))
+        open_ = windows.join(unclear, "key", "left_semi").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
         runs = materialise(open_.join(texts, "id").select("id", "starts", "text").mapInArrow(lambda it: _runs(it, min_words), "key long, id long, start int"), "runs")
-        more = _compared(_stars(runs).where("id > origin"), texts, threshold, min_words)
+        more = _compared(_stars(runs).where("id > origin"), texts, threshold, min_words, False)
         found = found.unionByName(more.where("words > 0").select(*found.columns))
     found = materialise(found.unionByName(_copies(src, copies, min_words)).distinct(), "found")
     group = components(found.select(F.col("id").alias("src"), F.col("origin").alias("dst")))

@@ -509,6 +509,22 @@ def test_passages_behind_a_shared_phrase(spark, make):
         assert n >= 50 and docs[doc].split()[start:start + n] == docs[origin].split()[ostart:ostart + n]
 
 
+def test_a_phrase_said_over_and_over_is_one_row_of_a_document(make, monkeypatch):
+    """The second step joins a row for each document and surroundings, however often the document repeats them."""
+    rng = np.random.default_rng(14)
+    fresh = lambda n: [f"t{x}" for x in rng.integers(0, 1 << 40, n)]
+    phrase, more, tables = fresh(40), fresh(20), {}
+    docs = {i: [w for _ in range(20) for w in phrase + fresh(30)] + (phrase + more if i in (7, 9) else []) + fresh(30) for i in range(12)}
+    written = substring_dedup.materialise
+    monkeypatch.setattr(substring_dedup, "materialise", lambda frame, tag: tables.setdefault(tag, []).append(written(frame, tag)) or tables[tag][-1])
+    got = rows_of(substring_dedup.repeated_passages(make("doc_id long, text string", [(d, " ".join(w)) for d, w in docs.items()])))
+    assert {r[:5] for r in got} == {(9, 1400, 60, 7, 1400)}
+    first, second = tables["passages"]
+    opened = first.where("words = 0").join(tables["unclear"][0], "key", "left_semi")
+    assert 0 < opened.count() == opened.select("key", "id").distinct().count()
+    assert second.where("words = 0").isEmpty()
+
+
 def test_a_second_occurrence_in_the_same_document_is_found(spark, make):
     rng = np.random.default_rng(12)
     text = lambda n: " ".join(f"t{x}" for x in rng.integers(0, 1 << 30, n))
