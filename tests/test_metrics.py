@@ -203,3 +203,37 @@ def test_multiplicities_are_the_draws_of_the_slots(spark):
     for r in bootstrap._slots(numbered, 3, 20, 4).collect():
         want[r._id, r._b - 3] += 1
     assert (got == want).all()
+
+
+def test_hashes_of_many_numbers_are_their_md5():
+    for head, n in ((b"0:7:", 10500), (b"3:999:", 101), (b"9" * 52 + b":", 1200)):
+        assert bootstrap._hashed(head, n).tolist() == [h60(head.decode() + str(i)) for i in range(n)]
+
+
+def test_rows_meet_multiplicities_by_blocks(spark, preds, monkeypatch):
+    """Many small blocks, one group with most rows, rows without a group or a score, several rounds of replicates: the same as
+    walking the rows in order, without a table of all multiplicities in the driver."""
+    rng = random.Random(6)
+    rows = [("s" + str(i % 3), "r" + str(rng.randrange(4)), f"g{min(rng.randrange(90), 40)}", rng.randrange(2), rng.choice([0.5, round(rng.random(), 2)]))
+            for i in range(3000)]
+    rows += [("s0", "r1", None, 1, 0.4), ("s1", "only", "new", 1, float("nan")), ("s1", "r1", "new", 0, None), ("s3", "r1", "new", 0, 0.2)]
+    df = spark.createDataFrame(rows, "u string, run string, group_id string, y int, score double").withColumn("threshold", F.lit(0.5))
+    order = ["u", "run", "b"]
+    values = [*order, "n_pos", "n_neg", "tp", "false_positives", "auroc"]
+
+    def all_of() -> tuple[list, list]:
+        reps = bootstrap.replicates(df, ["run", "u"], ["u"], 13, 2).select(*values).orderBy(*order).collect()
+        return reps, sorted(bootstrap.bootstrap_ci(df, ["run", "u"], ["u"], 13, 2).collect())
+
+    with monkeypatch.context() as m:
+        m.setattr(bootstrap, "CELLS", 0)
+        want = all_of()
+    for name, value in (("GROUPS", 4), ("N_BOOT", 5), ("PACK", 500), ("HELD", 100), ("WIDE", 200), ("DRAWN", 300)):
+        monkeypatch.setattr(bootstrap, name, value)
+    monkeypatch.setattr(bootstrap, "_multiplicities", None)
+    got = all_of()
+    assert len(got[0]) > 100 and [r[:-1] for r in got[0]] == [r[:-1] for r in want[0]]
+    assert [r.auroc for r in got[0]] == pytest.approx([r.auroc for r in want[0]])
+    for a, b in zip(got[1], want[1], strict=True):
+        assert a[:5] == b[:5] and all(x == y or x == pytest.approx(y) for x, y in zip(a, b))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None
