@@ -237,3 +237,23 @@ def test_rows_meet_multiplicities_by_blocks(spark, preds, monkeypatch):
     for a, b in zip(got[1], want[1], strict=True):
         assert a[:5] == b[:5] and all(x == y or x == pytest.approx(y) for x, y in zip(a, b))
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None
+
+
+def test_both_sides_of_a_pair_read_stored_replicates(spark, preds):
+    df = spark.createDataFrame([(*p[:5],) for p in preds if p[0] != "oneclass"], SCHEMA).withColumns({"threshold": F.lit(0.5), "u": F.lit(1)})
+    names = [r.run for r in df.select("run").distinct().collect()]
+    pairs = spark.createDataFrame([("same", names[0], names[0])], "comparison string, run_1 string, run_2 string")
+    got = bootstrap.paired_ci(df, pairs, "run", ["u"], 5)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "group_id" not in plan
+    assert {(r["diff"], r.ci_lo, r.ci_hi) for r in got.collect()} == {(0.0, 0.0, 0.0)}
+
+
+def test_digests_of_images_tell_runs_apart(spark):
+    """Same number of images, one of them another: a digest differs, whatever the signs of the hashes."""
+    rows = [(r, f"i{i if not (r == 'b' and i == 7) else 99}") for r in "ab" for i in range(50)]
+    df = spark.createDataFrame(rows, "run string, image_id string")
+    pairs = spark.createDataFrame([("a", "a"), ("a", "b")], "run_1 string, run_2 string")
+    bootstrap.assert_aligned(pairs.where("run_2 = 'a'"), df)
+    with pytest.raises(ValueError):
+        bootstrap.assert_aligned(pairs, df)
