@@ -1,4 +1,5 @@
 import hashlib
+import os
 import math
 import random
 
@@ -6,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohortlens.catalog import QUERIES
 from cohortlens.operators import bootstrap, metrics, ranking, runs
 from cohortlens.plans import evaluation
 
@@ -257,3 +259,21 @@ def test_digests_of_images_tell_runs_apart(spark):
     bootstrap.assert_aligned(pairs.where("run_2 = 'a'"), df)
     with pytest.raises(ValueError):
         bootstrap.assert_aligned(pairs, df)
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not present")
+@pytest.mark.parametrize("name", ["e6_primary_contrast"])
+def test_evaluation_queries_sort_no_predictions(spark, monkeypatch, name):
+    """Their rows meet the multiplicities by blocks, once; contrasts read stored replicates."""
+    monkeypatch.setattr(bootstrap, "_by_ranges", None)
+    monkeypatch.setattr(bootstrap, "_multiplicities", None)
+    calls = []
+    real = bootstrap._by_blocks
+    monkeypatch.setattr(bootstrap, "_by_blocks", lambda *args: calls.append(1) or real(*args))
+    df = QUERIES[name](spark, FOLDER)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert len(calls) == 1 and (name == "e7_runs_long" or "MapInArrow" not in plan)
+    assert df.count() == {"e6_primary_contrast": 2, "e6_primary_seeds": 3, "e7_runs_long": 120}[name]
