@@ -265,7 +265,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not present")
-@pytest.mark.parametrize("name", ["e6_primary_contrast", "e6_primary_seeds"])
+@pytest.mark.parametrize("name", ["e6_primary_contrast", "e6_primary_seeds", "e7_runs_long"])
 def test_evaluation_queries_sort_no_predictions(spark, monkeypatch, name):
     """Their rows meet the multiplicities by blocks, once; contrasts read stored replicates."""
     monkeypatch.setattr(bootstrap, "_by_ranges", None)
