@@ -138,7 +138,8 @@ FROM one LEFT JOIN ft ON ft.group_id = one.group_id AND split = 'train'""")
 @query("h7_partition", PARTITION_SQL)
 def h7(v: Views) -> DataFrame:
     c = materialise(v.cohort(), "cohort")
-    return folds.partition(c, v.decisions(c.select("image_id", "label"), ("file", "sha256")), TEST_SOURCES)
+    m = folds.partition(c, v.decisions(c.select("image_id", "label"), ("file", "sha256"), as_bytes=True), TEST_SOURCES)
+    return m.withColumn("sha256", F.lower(F.hex("sha256")))
 
 
 @query("h8_select_pool", POOL_SQL + "SELECT image_id, license, attribution, source FROM classified WHERE excluded IS NULL")

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.operators import cohort, folds, joins, quality, sampling, telemetry
+from cohortlens.operators import cohort, folds, graph, joins, quality, sampling, telemetry
 from cohortlens.plans import pool
 from cohortlens.session import scratch_path
 from cohortlens.sources import inventory, readers
@@ -252,3 +252,28 @@ def test_latest_log_over_one_and_several_batches(spark, tmp_path):
     assert {tuple(r) for r in alone.select("image_id", "file").collect()} == {("a", "2"), ("b", "3")}
     write(two, 1)
     assert {tuple(r) for r in monitors.latest_log(spark.read.parquet(str(tmp_path))).select("image_id", "file").collect()} == {("a", "2"), ("b", "4")}
+
+
+def test_partition_stores_wide_rows_once(spark, job, monkeypatch):
+    """Linking, folds and copies store only what they read; digests as bytes give the partition of digests as text."""
+    _, _, c, dec = job
+    want = sorted(folds.partition(c, dec, ["SynthC"]).collect())
+    stored = {}
+    real = folds.materialise
+    monkeypatch.setattr(folds, "materialise", lambda df, tag: stored.setdefault(tag, df.columns) and real(df, tag))
+    narrow = folds.partition(c, dec.withColumn("sha256", F.col("sha256").cast("binary")), ["SynthC"])
+    assert sorted(narrow.withColumn("sha256", F.col("sha256").cast("string")).collect()) == want
+    assert set(stored) == {"usable", "linked", "single"}
+    for tag in ("linked", "single"):
+        assert not {"attribution", "license", "file", "sha256", "diagnosis_detail"} & set(stored[tag])
+
+
+def test_copies_of_byte_digests_are_those_of_text(spark):
+    rows = [("a", b"x", "1"), ("b", b"x", "2"), ("c", b"", "1"), ("d", None, "1"), ("e", b"y", "1"), ("f", b"y", "1"), ("g", b"z", "1")]
+    df = spark.createDataFrame(rows, "image_id string, sha256 binary, label string")
+    text = df.withColumn("sha256", F.col("sha256").cast("string"))
+    got = graph.decide_copies(df)
+    assert got.columns == ["image_id", "sha256", "label", "dup_cluster", "action"] and dict(got.dtypes)["sha256"] == "binary"
+    got = {tuple(r) for r in got.withColumn("sha256", F.col("sha256").cast("string")).collect()}
+    assert got == {tuple(r) for r in graph.decide_copies(text).collect()}
+    assert {(i, s, c) for i, s, _, c, _ in got} == {("a", "x", "dupa"), ("b", "x", "dupa"), ("c", "", ""), ("d", None, ""), ("e", "y", "dupe"), ("f", "y", "dupe"), ("g", "z", "")}
