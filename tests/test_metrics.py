@@ -1,9 +1,10 @@
 import hashlib
-import os
 import math
+import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,3 +278,9 @@ def test_evaluation_queries_sort_no_predictions(spark, monkeypatch, name):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert len(calls) == 1 and (name == "e7_runs_long" or "MapInArrow" not in plan)
     assert df.count() == {"e6_primary_contrast": 2, "e6_primary_seeds": 3, "e7_runs_long": 120}[name]
+
+
+def test_vectors_of_four_and_eight_bytes_add_up():
+    small, large = np.array([1, 2, 3], dtype=np.int32), np.array([1 << 40, 5, 7], dtype=np.int64)
+    w = pa.array([small.tobytes(), large.tobytes(), small.tobytes()], pa.binary())
+    assert bootstrap._of_vectors(3)(w, np.array([0, 2])).tolist() == [[(1 << 40) + 1, 7, 10], [1, 2, 3]]
